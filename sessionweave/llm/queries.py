@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, secret_scan, simhash
+from . import decontamination, quality_rules, secret_scan, simhash, url_filter
 from .common import table
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -38,10 +38,29 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Verdict, host and path prefix.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Hosts whose canonical URLs make up the list.
+LISTED_HOSTS = "(^|[.-])(casino|bets|poker|pills|loans)([.-]|$)"
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_secret_scan": op6_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_url_filter": op9_url_filter,
 }
 
 #: The words of a text by the contamination rule.
@@ -74,6 +93,44 @@ def _secrets_sql() -> str:
     from docs left join spans using (doc_id) group by doc_id"""
 
 
+def _rules_sql() -> str:
+    """Repeats of at least ten words cover what ten-word windows found twice cover; one over 200 words holds a 201-word window twice."""
+    gram = "array_to_string(w[k:k + {n} - 1], ' ')"
+    def windows(n: int, source: str) -> str:
+        return f"""select doc_id, {n} as n, k from (select doc_id, k, count(*) over (partition by doc_id, {gram.format(n=n)}) as c
+        from (select doc_id, w, unnest(range(1, len(w) - {n - 2})) as k from {source} where len(w) >= {n})) where c > 1"""
+
+    def words(windows: str) -> str:
+        return f"select doc_id, n, count(distinct j) as words from (select doc_id, n, unnest(range(k, k + n)) as j from ({windows})) group by doc_id, n"
+
+    return rf"""with docs as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    shorter as ({words(windows(3, "docs") + " union all " + windows(10, "docs"))}),
+    covered as (select * from shorter union all {words(windows(201, "(select docs.* from docs join shorter s on s.doc_id = docs.doc_id and s.n = 10 and s.words > 200)"))}),
+    lines as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from docs) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+    base as (select doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(lines.n, 0)::bigint as n_dup_lines,
+        coalesce(c3.words, 0)::bigint as n_repeat_words, coalesce(c10.words, 0) as in_repeats, c201.words is not null as long_repeat
+        from docs left join lines using (doc_id) left join covered c3 on c3.doc_id = docs.doc_id and c3.n = 3
+        left join covered c10 on c10.doc_id = docs.doc_id and c10.n = 10 left join covered c201 on c201.doc_id = docs.doc_id and c201.n = 201),
+    judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        not base_failed and not (in_repeats > 0.3 * n_words or long_repeat) as kept from judged"""
+
+
+def _urls_sql() -> str:
+    host = rf"translate(regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = rf"regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 2)"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then" for _, h, p in ordered]
+    rule = " ".join(f"{f} '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
+    verdict = " ".join(f"{f} '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True))
+    return rf"""with parts as (select page_id, {host} as host, {path} as path from pages),
+    named as (select *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html)?/*$', '') as canonical from parts),
+    listed as (select distinct canonical from named where regexp_matches(host, '{LISTED_HOSTS}'))
+    select page_id, host, path, case {rule} end as rule,
+        case {verdict} when host <> '' and canonical in (select canonical from listed) then 'block' else 'allow' end as verdict from named"""
+
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": f"""with windows as (
         select distinct item_id::varchar as item, len(w) as size, array_to_string(w, ' ') as words from (
@@ -89,4 +146,6 @@ ORACLES: dict[str, str] = {
         sha256(coalesce(items, '')) as items_sha256, coalesce(n, 0) > 0 and 20 * coalesce(n, 0) >= len(w) as contaminated
     from docs left join covered using (doc_id) left join named using (doc_id)""",
     "op6_secret_scan": _secrets_sql(),
+    "op8_quality_rules": _rules_sql(),
+    "op9_url_filter": _urls_sql(),
 }
