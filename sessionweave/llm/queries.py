@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, secret_scan, simhash, url_filter
+from . import decontamination, quality_classifier, quality_rules, secret_scan, simhash, url_filter
 from .common import table
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -55,12 +55,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_secret_scan": op6_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 #: The words of a text by the contamination rule.
@@ -97,8 +102,8 @@ def _rules_sql() -> str:
     """Repeats of at least ten words cover what ten-word windows found twice cover; one over 200 words holds a 201-word window twice."""
     gram = "array_to_string(w[k:k + {n} - 1], ' ')"
     def windows(n: int, source: str) -> str:
-        return f"""select doc_id, {n} as n, k from (select doc_id, k, count(*) over (partition by doc_id, {gram.format(n=n)}) as c
-        from (select doc_id, w, unnest(range(1, len(w) - {n - 2})) as k from {source} where len(w) >= {n})) where c > 1"""
+        return f"""select doc_id, {n} as n, unnest(ks) as k from (select doc_id, list(k) as ks
+        from (select doc_id, w, unnest(range(1, len(w) - {n - 2})) as k from {source} where len(w) >= {n}) group by doc_id, {gram.format(n=n)} having count(*) > 1)"""
 
     def words(windows: str) -> str:
         return f"select doc_id, n, count(distinct j) as words from (select doc_id, n, unnest(range(k, k + n)) as j from ({windows})) group by doc_id, n"
