@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, url_filter
-from .common import table
+from . import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, url_filter, warc
+from .common import scratch_path, table
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -33,6 +33,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_warc(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    return warc.read_warc(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _joined(spans: F.Column) -> F.Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
@@ -147,6 +154,14 @@ def _urls_sql() -> str:
         case {verdict} when host <> '' and canonical in (select canonical from listed) then 'block' else 'allow' end as verdict from named"""
 
 
+def _warc_sql() -> str:
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v{g} >> {35 - 5 * k}) & 31)::int + 1, 1)" for g in range(4) for k in range(8))
+    parts = ", ".join(f"('0x' || substr(sha1(payload), {10 * g + 1}, 10))::bigint as v{g}" for g in range(4))
+    return f"""with records as (select *, min(page_id) over (partition by payload) as first, {parts} from (select page_id, coalesce(html, '') as payload from pages))
+    select page_id, strlen(payload)::bigint as payload_bytes, {letters} as payload_digest,
+        case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from records"""
+
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": f"""with windows as (
         select distinct item_id::varchar as item, len(w) as size, array_to_string(w, ' ') as words from (
@@ -161,6 +176,7 @@ ORACLES: dict[str, str] = {
     select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
         sha256(coalesce(items, '')) as items_sha256, coalesce(n, 0) > 0 and 20 * coalesce(n, 0) >= len(w) as contaminated
     from docs left join covered using (doc_id) left join named using (doc_id)""",
+    "op5_warc": _warc_sql(),
     "op6_secret_scan": _secrets_sql(),
     "op8_quality_rules": _rules_sql(),
     "op9_url_filter": _urls_sql(),
