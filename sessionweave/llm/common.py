@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
 STEP_BYTES = 2 << 20
@@ -94,3 +96,21 @@ def joined_bytes(column: pa.Array, separator: bytes = b"") -> tuple[np.ndarray,
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, not when its driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, text) with a unique key in the order of the ids: the id itself, or where ids repeat or are null, the rank among
+    the rows sorted by id (nulls first) and text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    whole = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return rows.select(F.col("id").cast("long").alias("key"), "id", "text")
+    ranked = rows.orderBy(F.asc_nulls_first("id"), F.asc_nulls_first("text")).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    kind = rows.schema["id"].dataType.simpleString()
+    return written(rows.sparkSession.createDataFrame(ranked, f"key long, id {kind}, text string"), "keyed")

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, url_filter, warc
+from . import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter, warc
 from .common import scratch_path, table
 
 BASE_KINDS = ("assign", "access", "hex")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -76,6 +80,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
@@ -154,6 +159,23 @@ def _urls_sql() -> str:
         case {verdict} when host <> '' and canonical in (select canonical from listed) then 'block' else 'allow' end as verdict from named"""
 
 
+def _substrings_sql(least_words: int = 14, most_words: int = 12) -> str:
+    pattern = substring_dedup.sentence_pattern(most_words)
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""with docs as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '{pattern}') as s from documents),
+    bare as (select doc_id, list_transform(s, lambda x: trim(x, {space})) as b from docs),
+    pieces as (select doc_id, unnest(range(1, len(b) + 1)) as k, unnest(b) as piece, unnest(list_transform(b, lambda x: len(regexp_extract_all(x, '[^ 	
+]+')))) as words from bare),
+    longer as (select *, sum(words) over (partition by doc_id order by k) as upto, max(k) over (partition by doc_id) as last from pieces),
+    ends as (select a.doc_id, a.k, min(b.k) as e from longer a join longer b on a.doc_id = b.doc_id and b.k > a.k and b.k <= a.k + {least_words} where b.upto - a.upto + a.words >= {least_words} group by a.doc_id, a.k),
+    spans as (select doc_id, k, e, (select array_to_string(b[k:e], chr(10)) from bare where bare.doc_id = ends.doc_id) as span from ends),
+    later as (select doc_id, k, e from (select *, row_number() over (partition by span order by doc_id, k) as n from spans) where n > 1),
+    gone as (select distinct doc_id, unnest(range(k, e + 1)) as k from later),
+    lost as (select doc_id, list(k) as ks from gone group by doc_id)
+    select doc_id, case when ks is null then text else array_to_string(list_transform(list_filter(range(1, len(s) + 1), lambda k: not list_contains(ks, k)), lambda k: s[k]), '') end as text,
+        len(s)::bigint as n_sentences, coalesce(len(ks), 0)::bigint as n_removed from docs left join lost using (doc_id)"""
+
+
 def _warc_sql() -> str:
     letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v{g} >> {35 - 5 * k}) & 31)::int + 1, 1)" for g in range(4) for k in range(8))
     parts = ", ".join(f"('0x' || substr(sha1(payload), {10 * g + 1}, 10))::bigint as v{g}" for g in range(4))
@@ -163,6 +185,7 @@ def _warc_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": _substrings_sql(),
     "op3_decontamination": f"""with windows as (
         select distinct item_id::varchar as item, len(w) as size, array_to_string(w, ' ') as words from (
             select item_id, unnest(case when len(w) = 0 then [] when len(w) < 13 then [w] else list_transform(range(1, len(w) - 11), lambda k: w[k:k + 12]) end) as w
