@@ -185,7 +185,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per document: id, held_out, score, predicted. Learns from labels outside the held-out fold only."""
     stats = written(statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null").where(~F.coalesce(held_out("id"), F.lit(True)))
-    sample = stats.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(most_labelled).toPandas()
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(most_labelled)
+    sample = stats.join(F.broadcast(chosen), "id").orderBy("id", "label").limit(most_labelled).toPandas()
     model = RuleModel.fit(sample[list(STATISTICS)].to_numpy(np.float64), (sample["label"].to_numpy() > 0).astype(np.float64))
     scored = stats.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
