@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter, warc
+from . import decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -58,6 +58,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_suffixes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
@@ -165,7 +171,8 @@ def _substrings_sql(least_words: int = 14, most_words: int = 12) -> str:
     return rf"""with docs as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '{pattern}') as s from documents),
     bare as (select doc_id, list_transform(s, lambda x: trim(x, {space})) as b from docs),
     pieces as (select doc_id, unnest(range(1, len(b) + 1)) as k, unnest(b) as piece, unnest(list_transform(b, lambda x: len(regexp_extract_all(x, '[^ 	
-]+')))) as words from bare),
+
+]+')))) as words from bare),
     longer as (select *, sum(words) over (partition by doc_id order by k) as upto, max(k) over (partition by doc_id) as last from pieces),
     ends as (select a.doc_id, a.k, min(b.k) as e from longer a join longer b on a.doc_id = b.doc_id and b.k > a.k and b.k <= a.k + {least_words} where b.upto - a.upto + a.words >= {least_words} group by a.doc_id, a.k),
     spans as (select doc_id, k, e, (select array_to_string(b[k:e], chr(10)) from bare where bare.doc_id = ends.doc_id) as span from ends),
