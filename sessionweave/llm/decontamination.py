@@ -17,7 +17,7 @@ count; empty tables give no rows, or no hits. Columns other than the ids and tex
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -164,12 +164,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, one_in: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, spans (merged [first, end) word numbers, flattened), items, contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, one_in: int = 20, block_bytes: int = 4 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: id, n_words, n_hit, spans (merged [first, end) word numbers, flattened), items, contaminated, and the columns to carry along."""
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema[id_col].dataType
-    state = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    found_columns = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")]
+    state = docs.select(F.col(text_col).cast("string").alias("searched_text"), *found_columns, F.col(id_col), *(F.col(c) for c in carry))
     schema = state.schema
     for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
         if number:
@@ -178,15 +178,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             windows = tables.value
-            for part in slices(batches, "text"):
-                counts, found = windows.search(as_bytes(part.column(1)))
-                spans, items = part.column(3).to_pylist(), part.column(4).to_pylist()
+            for part in slices(batches, "searched_text"):
+                counts, found = windows.search(as_bytes(part.column(0)))
+                spans, items = part.column(2).to_pylist(), part.column(3).to_pylist()
                 for doc, (own, own_items) in found.items():
                     old = spans[doc]
                     spans[doc] = [x for s in merged([*zip(old[::2], old[1::2], strict=True), *own]) for x in s]
                     items[doc] = sorted({*items[doc], *own_items})
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=part.schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *part.columns[4:]], names=part.schema.names)
 
         state = state.mapInArrow(scan, schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: x - total)  # over s1, e1, s2, e2: e2 - (s2 - (e1 - s1))
-    return state.select(F.col(id_col).cast(kind), "n_words", hit.alias("n_hit"), "spans", "items").withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
+    return state.select(id_col, "n_words", hit.alias("n_hit"), "spans", "items", ((hit > 0) & (F.lit(one_in) * hit >= F.col("n_words"))).alias("contaminated"), *carry)

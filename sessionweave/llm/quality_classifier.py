@@ -13,20 +13,22 @@ mean, 0.5 without any; repeated documents each give a row; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, slices, small_batches, written
+from .common import as_bytes, slices, small_batches
 
 #: (statistic index, whether above, threshold), all of which must hold.
 Rule = tuple[tuple[int, bool, float], ...]
 
-STATISTICS = ("n_chars", "n_words", "word_length", "upper", "digits", "marks", "symbols", "bars", "shouts", "distinct", "short", "line_repeats", "stops", "longest_word", "stutter")
+NAMES = ("n_chars", "n_words", "word_length", "upper", "digits", "marks", "symbols", "bars", "shouts", "distinct", "short", "line_repeats", "stops", "longest_word", "stutter")
+STATISTICS = tuple(f"stat_{n}" for n in NAMES)
 _GROUPS = {
     "upper": range(65, 91), "digits": range(48, 58), "marks": b".,;:'\"()-", "symbols": b"#*$%&<>@^~", "bars": b"|", "shouts": b"!?", "stops": b".",
 }
@@ -58,20 +60,19 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
         "stutter": np.array([sum(a == b for a, b in zip(w, w[1:], strict=False)) for w in words]) / np.maximum(counts, 1),
     }
     out["line_repeats"][n_lines == 0] = 0
-    return np.column_stack([out[s] for s in STATISTICS]).astype(np.float64)
+    return np.column_stack([out[n] for n in NAMES]).astype(np.float64)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, one double for each of STATISTICS)."""
+def statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with one double more for each of STATISTICS."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            found = statistics_of(as_bytes(part.column(1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[:, k].copy()) for k in range(len(STATISTICS)))], names=["id", *STATISTICS])
+        for part in slices(batches, text_col):
+            found = statistics_of(as_bytes(part.column(text_col)))
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[:, k].copy()) for k in range(len(STATISTICS)))], names=[*part.schema.names, *STATISTICS])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(s, T.DoubleType()) for s in STATISTICS)]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -181,12 +182,18 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", threshold: float = 0.3, most_labelled: int = 20_000) -> DataFrame:
-    """One row per document: id, held_out, score, predicted. Learns from labels outside the held-out fold only."""
-    stats = written(statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null").where(~F.coalesce(held_out("id"), F.lit(True)))
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", most_labelled: int = 20_000) -> RuleModel:
+    """A model of the labels outside the held-out fold. Only the sample's texts are measured."""
+    known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null").where(~held_out("id"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(most_labelled)
-    sample = stats.join(F.broadcast(chosen), "id").orderBy("id", "label").limit(most_labelled).toPandas()
-    model = RuleModel.fit(sample[list(STATISTICS)].to_numpy(np.float64), (sample["label"].to_numpy() > 0).astype(np.float64))
-    scored = stats.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), model.column().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    sample = statistics(texts, "text").drop("text").orderBy("id", "label", *STATISTICS).limit(most_labelled).toPandas()
+    return RuleModel.fit(sample[list(STATISTICS)].to_numpy(np.float64), (sample["label"].to_numpy() > 0).astype(np.float64))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", threshold: float = 0.3, most_labelled: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: id, held_out, score, predicted, and the columns to carry along, which may be the text."""
+    model = fit_quality(docs, labels, id_col, text_col, label_id_col, label_col, most_labelled)
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("measured_text"), *(F.col(c) for c in carry))
+    scored = statistics(source, "measured_text").withColumn("score", model.column())
+    return scored.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)

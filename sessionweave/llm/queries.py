@@ -113,8 +113,9 @@ _RULES = [
 
 def _secrets_sql() -> str:
     found = " union all ".join(
-        f"""select doc_id, '{kind}' as kind, {rank} as rank, unnest(list_transform(range(1, len(m) + 1), lambda k: {{'a': list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0), 'n': length(m[k]), 'v': length(v[k])}})) as s
-        from (select doc_id, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {group}) as v, string_split_regex(text, '{pattern.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+")}') as p from docs)"""
+        f"""select doc_id, '{kind}' as kind, {rank} as rank, length(v) as v, length(m) as n, sum(length(p) + length(m)) over (partition by doc_id order by k) - length(m) as a
+        from (select doc_id, unnest(range(1, len(m) + 1)) as k, unnest(m) as m, unnest(v) as v, unnest(p[1:len(m)]) as p
+        from (select doc_id, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {group}) as v, string_split_regex(text, '{pattern.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+")}') as p from docs))"""
         for rank, (kind, pattern, group, _) in enumerate(_RULES)
     )
     least = " ".join(f"when '{kind}' then {n}" for kind, _, _, n in _RULES)
@@ -122,7 +123,7 @@ def _secrets_sql() -> str:
     join = "string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, rank)"
     counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE_KINDS)
     return f"""with docs as (select doc_id, coalesce(text, '') as text from documents),
-    spans as (select doc_id, kind, rank, s.a::bigint as a, s.n::bigint as n from ({found}) where s.v >= case kind {least} end)
+    spans as (select doc_id, kind, rank, a::bigint as a, n::bigint as n from ({found}) where v >= case kind {least} end)
     select doc_id, {counts}, sha256(coalesce({join} filter (where {base}), '')) as base_sha256, coalesce({join}, '') as spans
     from docs left join spans using (doc_id) group by doc_id"""
 

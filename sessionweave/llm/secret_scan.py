@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re._constants as C
 import re._parser
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, slices, small_batches
 
@@ -258,24 +259,27 @@ def _scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, redact: str | None = None) -> DataFrame:
-    """One row per document: the id and spans (array of kind, start, end); with `redact` also the text, each span replaced by it."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, redact: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: the id, spans (array of kind, start, end), with `redact` also redacted, the text with each span
+    replaced by it (overlapping spans by one), and the columns to carry along."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(text_col).cast("string").alias("scanned_text"), F.col(id_col), *(F.col(c) for c in carry))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    found = ["spans"] + ["redacted"] * (redact is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(rules)
-        for part in slices(batches, "text"):
-            texts = as_bytes(part.column(1))
-            spans = scanner.spans(texts)
-            columns = [part.column(0), pa.array([[{"kind": scanner.rules[r].kind, "start": s, "end": e} for s, e, r in x] for x in spans], kind)]
+        for part in slices(batches, "scanned_text"):
+            texts = part.column(0)
+            spans = scanner.spans(as_bytes(texts))
+            columns = [pa.array([[{"kind": scanner.rules[r].kind, "start": s, "end": e} for s, e, r in x] for x in spans], kind)]
             if redact is not None:
-                columns.append(pa.array([_redacted(t, x, redact) if x else t.as_py() for t, x in zip(part.column(1), spans, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "spans", "text"][: len(columns)])
+                columns.append(pa.array([_redacted(t, x, redact) if x else t.as_py() for t, x in zip(texts, spans, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, *part.columns[1:]], names=[*found, *part.schema.names[1:]])
 
-    schema = f"id {source.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>" + (", text string" if redact is not None else "")
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    spans_type = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    types = [T.StructField("spans", spans_type), T.StructField("redacted", T.StringType())][: len(found)]
+    return source.mapInArrow(run, T.StructType([*types, *source.schema.fields[1:]])).select(id_col, *found, *carry)
 
 
 def _redacted(text: pa.Scalar, spans: list[tuple[int, int, int]], mark: str) -> str:
