@@ -35,7 +35,18 @@ from .common import as_bytes, slices, small_batches, written
 #: Pieces of one length that are ranked together; more of them are dealt to several groups.
 RANKED_TOGETHER = 200_000
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
+
+
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
 
 
 _RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -83,26 +94,43 @@ class WordTokenizer:
         self.flat.extend(ids)
         self.starts.append(len(self.flat))
 
+    @staticmethod
+    def _alike(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers words so that equal ones, judged by a 64-bit hash, share one; and where each number's first word is."""
+        if not len(first):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ahead, back = _powers(1 << max(22, len(data).bit_length()))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ahead[: len(data)])])
+            hashes = (sums[last] - sums[first]) * back[first]
+        order = np.argsort(hashes)
+        fresh = np.concatenate([[True], np.diff(hashes[order]) != 0])
+        number = np.empty(len(first), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        return number, order[fresh]
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's closed by the closing id, and where each text ends."""
         if len(self.codes) > REMEMBERED:
             self._forget()
-        words: list[bytes] = []
-        stops = []
-        for text in texts:
-            words += (text if b"<|" in text else text.lower()).split()
-            words.append(b"")
-            stops.append(len(words) - 1)
-        coded = list(map(self.codes.get, words))
+        joined = b" ".join([*(t if b"<|" in t else t.lower() for t in texts), b""])
+        data = np.frombuffer(joined, np.uint8)
+        edges = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
+        first, last = edges[::2], edges[1::2]  # of each word
+        one, sample = self._alike(data, first, last)
+        distinct = [joined[a:b] for a, b in zip(first[sample].tolist(), last[sample].tolist(), strict=True)]
+        coded = list(map(self.codes.get, distinct))
         if None in coded:
-            self._learn({w for w, code in zip(words, coded, strict=True) if code is None})
-            coded = list(map(self.codes.get, words))
-        known = np.array(coded, np.int64)
+            self._learn({w for w, code in zip(distinct, coded, strict=True) if code is None})
+            coded = list(map(self.codes.get, distinct))
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        words_before = np.searchsorted(first, text_ends)
+        known = np.insert(np.array(coded, np.int64)[one], words_before, 0)
         starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32)
         sizes = np.diff(starts)[known]
         ends = np.cumsum(sizes)
         ids = flat[np.repeat(starts[known] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, ends[np.array(stops, np.int64)]
+        return ids, ends[words_before + np.arange(len(texts))]
 
 
 @lru_cache(maxsize=2)
