@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_lengths, joined_bytes, keyed, release, remove, scratch_path, slices, small_batches, written
+from .common import as_bytes, byte_lengths, co_partitioned_by_some_keys, joined_bytes, keyed, release, remove, scratch_path, slices, small_batches, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -159,7 +159,7 @@ def _batches(docs: DataFrame, number: int) -> list[DataFrame]:
 def _scan(spark: SparkSession, docs: DataFrame, kind: Minimizers, batches: int) -> tuple[DataFrame, DataFrame]:
     """Places (key, at) that match an earlier context in full, and (prefix, key, at) of contexts whose prefix has several."""
     levels, full, parts = Levels(spark), [], []
-    for number, batch in enumerate(_batches(docs, batches)):
+    for batch in _batches(docs, batches):
         levels.merge()
         run = levels.store(_suffixes(batch, kind))
         own = spark.table(run)
@@ -291,7 +291,8 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     kind = Minimizers(length, anchor)
     rows = keyed(docs, id_col, text_col)
-    full, parts = _scan(spark, rows, kind, batches)
+    with co_partitioned_by_some_keys(spark):  # levels are bucketed by prefix and joined by prefix and context, in place
+        full, parts = _scan(spark, rows, kind, batches)
     spans = _partial(spark, rows, written(parts, "parts"), kind, most_contexts)
     release(spark)
     matched = full.select("key", F.greatest(F.col("at") - (length - anchor), F.lit(0)).alias("begin"), (F.col("at") + length).alias("end"))

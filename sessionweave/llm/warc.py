@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, small_batches, written
+from .common import co_partitioned_by_some_keys, remove, small_batches, written
 
 #: Key ranges whose payload bytes are counted; bounds what the driver gets.
 RANGES = 4096
@@ -122,10 +122,7 @@ def write_warc(records: DataFrame, path: str, key_col: str, url_col: str, payloa
     narrow = rows.select("shard", "key", "sha", F.octet_length("payload").alias("size"))
     firsts = narrow.where(F.col("size") >= least_revisit).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     revisits = written(narrow.join(firsts.select("sha", "first"), "sha").where("key is null or key <> first").select("shard", "key", "sha", "first").distinct(), "revisits")
-    keys = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(keys)
-    spark.conf.set(keys, "false")  # payloads are shuffled once, by shard; the revisits follow them
-    try:
+    with co_partitioned_by_some_keys(spark):  # payloads are shuffled once, by shard; the revisits follow them
         held = rows.repartition(shards, "shard")
         same = (held["shard"] == revisits["shard"]) & held["key"].eqNullSafe(revisits["key"]) & (held["sha"] == revisits["sha"])
         joined = held.join(revisits, same, "left").select(held["shard"], held["key"], held["sha"], "url", F.col("payload").cast("binary").alias("payload"), "first").sortWithinPartitions("shard", "key", "sha", "url")
@@ -161,9 +158,6 @@ def write_warc(records: DataFrame, path: str, key_col: str, url_col: str, payloa
             yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], names=names)
 
         made = written(joined.mapInArrow(write, "file string, temporary string, records long, bytes long, sha256 string, first_key long, last_key long"), "archived")
-    finally:
-        spark.conf.set(keys, before)
-
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = arrow_fs.FileSystem.from_uri(path)
         for batch in batches:
