@@ -106,7 +106,7 @@ def alignment_errors(i: Column, facial: Column) -> Column:
 
 def with_integration(records: DataFrame, facial_names_segment: bool = False, checks: dict | None = None) -> DataFrame:
     """Adds the struct `integration`: statuses (PASS without errors), the errors and each modality's availability."""
-    checks = checks or {"text": text_errors, "speech": speech_record_errors, "facial": facial_errors}
+    checks = checks if checks is not None else {"text": text_errors, "speech": speech_record_errors, "facial": facial_errors}
     i = F.col("identity")
     found = F.concat(identity_errors(i), *(check(F.col(name)) for name, check in checks.items()))
     aligned = alignment_errors(i, F.col("facial")) if facial_names_segment else F.array().cast("array<string>")

@@ -135,6 +135,8 @@ def residuals(df: DataFrame, y: str, x: str, out: str = "residual") -> DataFrame
 
 def correlation_p_value(r: float, n: int) -> float:
     """Two-sided p of a correlation under t with n - 2 degrees of freedom, by the regularised incomplete beta function."""
+    if r == 0:
+        return 1.0
     if n < 3 or math.isnan(r):
         return math.nan
     if abs(r) >= 1:

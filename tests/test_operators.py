@@ -233,18 +233,33 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["a"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from sessionweave.streaming.frames import stream_temporal_features
+class FakeState:
+    hasTimedOut = False
+
+    def __init__(self):
+        self.exists, self.get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.ms = ms
+
+
+def test_streaming_state_equals_batch(spark):
+    """The state function that Structured Streaming calls, fed in three micro-batches."""
+    import pandas as pd
+
+    from sessionweave.streaming.frames import advance
 
     rnd = random.Random(4)
     schema = "session_id string, frame_index int, face_detected int, ear double, pitch double, yaw double, roll double, gaze double"
-    rows = [(s, i, rnd.randint(0, 1), rnd.random() / 2, *(rnd.random() for _ in range(4))) for i in range(1, 60) for s in "ab"]
+    rows = [("a", i, rnd.randint(0, 1), rnd.random() / 2, *(rnd.random() for _ in range(4))) for i in range(1, 60)]
+    names, state, out = [c.split()[0] for c in schema.split(", ")], FakeState(), []
     for k in range(3):
-        spark.createDataFrame([r for r in rows if (r[1] - 1) // 20 == k], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    stream = stream_temporal_features(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("streamed").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    columns = ["session_id", "frame_index", "blink", "cumulative_blinks", "gaze_smooth", "gaze_label"]
-    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*columns).collect())
-    assert rounded(spark.table("streamed")) == rounded(frames.temporal_features(spark.createDataFrame(rows, schema)))
+        out += [f for f in advance(("a",), iter([pd.DataFrame([r for r in rows if (r[1] - 1) // 20 == k], columns=names)]), state)]
+    streamed = pd.concat(out).set_index("frame_index")
+    for r in frames.temporal_features(spark.createDataFrame(rows, schema)).collect():
+        s = streamed.loc[r["frame_index"]]
+        assert (s["blink"], s["cumulative_blinks"], s["gaze_label"]) == (r["blink"], r["cumulative_blinks"], r["gaze_label"])
+        assert pd.isna(s["gaze_smooth"]) if r["gaze_smooth"] is None else math.isclose(s["gaze_smooth"], r["gaze_smooth"])
