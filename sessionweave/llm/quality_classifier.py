@@ -141,6 +141,8 @@ class RuleModel:
                     margin[held] += 0.5 * gradient[held].sum() / max(1e-3, (_sigmoid(margin[held]) * (1 - _sigmoid(margin[held]))).sum())
             found |= dict.fromkeys(rules)
         rules = list(found)
+        if not rules:  # too few rows to split
+            return cls((), (), float(np.log(y.mean() / (1 - y.mean()))))
         z = np.column_stack([_holds(r, x) for r in rules]).astype(np.float64)
         z, kept = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows are one
         rules = [rules[k] for k in kept]
