@@ -7,7 +7,7 @@ The suffixes that are indexed begin at minimizers: positions whose `anchor`-byte
 string of `length` bytes has its minimizers at the same places wherever it occurs, so equal strings always share an indexed suffix.
 An index level is a sorted, bucketed table of suffixes: the prefix's hash, a hash of all bytes that a match through this suffix
 can reach (`length` onwards, length - anchor back), and the first place where that context occurs. Documents arrive in batches
-by key. A batch's suffixes are sorted the same way and merge-scanned against each existing level without a shuffle. A suffix whose
+by key. A batch's suffixes are sorted the same way and merge-scanned against each existing level. A suffix whose
 context is known matches in full. Its new contexts become a level of the smallest size, and before the next batch two levels of
 equal size merge into one of twice the size, so that a batch meets a logarithmic number of levels.
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_lengths, co_partitioned_by_some_keys, joined_bytes, keyed, release, remove, scratch_path, slices, small_batches, written
+from .common import as_bytes, byte_lengths, joined_bytes, keyed, release, remove, scratch_path, slices, small_batches, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -291,8 +291,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     kind = Minimizers(length, anchor)
     rows = keyed(docs, id_col, text_col)
-    with co_partitioned_by_some_keys(spark):  # levels are bucketed by prefix and joined by prefix and context, in place
-        full, parts = _scan(spark, rows, kind, batches)
+    full, parts = _scan(spark, rows, kind, batches)
     spans = _partial(spark, rows, written(parts, "parts"), kind, most_contexts)
     release(spark)
     matched = full.select("key", F.greatest(F.col("at") - (length - anchor), F.lit(0)).alias("begin"), (F.col("at") + length).alias("end"))
