@@ -501,7 +501,7 @@ def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 
 
-@_query(f"with e as (select vec_id, embedding::double[] as v from embeddings) select a.vec_id as a, b.vec_id as b, round({_COS}, 5) as similarity, case when round(1 - {_COS}, 5) = 0 then 0.0 else round(1 - {_COS}, 5) end as distance from e a join e b on a.vec_id < b.vec_id")
+@_query(f"with e as (select vec_id, embedding::double[] as v from embeddings) select a.vec_id as a, b.vec_id as b, round({_COS}, 5) + 0.0 as similarity, round(1 - {_COS}, 5) as distance from e a join e b on a.vec_id < b.vec_id")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vectors.cosine_pairs(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 5)
 
