@@ -1,10 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences, here also at commas, semicolons, colons, bars and line ends, and after `most_words` words, so that
-a passage falls into the same pieces wherever it stands. From every sentence a span runs over at least two sentences and at least
+a passage falls into like pieces wherever it stands. From every sentence a span runs over at least two sentences and at least
 `least_words` words, as few as that takes. Spans are hashed (96 bits) and joined globally; all but the first occurrence of a span
-(by document id, then place) are repeats, and every sentence inside a repeat is removed. Any passage of at least
-least_words + 3 * most_words words that occurs earlier loses its whole sentences.
+(by document id, then place) are repeats, and every sentence inside a repeat is removed.
+
+As the SQL has it, words without a mark are cut after every `most_words` words from the last mark on. Such cuts depend on what
+stands before a passage, so a passage without marks can be missed. With `whole` these cuts are made at the least word hash of every
+`most_words` neighbouring words instead: inside a passage they are then the same wherever it stands, but for less than `most_words`
+words at either end, and any passage of at least least_words + 3 * most_words words that occurs earlier loses what stands between.
 
 Hashes are counted with partial aggregation before they are shuffled, and the join back to the spans is an equi-join whose hot
 keys Spark's adaptive execution splits.
@@ -34,13 +38,41 @@ def sentence_pattern(most_words: int) -> str:
     return rf"[{_WS}]*(?:[^{_WS}]*[^{_WS}.,;:!?|][ \t]+){{0,{most_words - 1}}}[^{_WS}]+[{_WS}]*"
 
 
+#: A word with the white space around it; what of it says whether the sentence ends here.
+_WORD = re.compile(rf"[{_WS}]*[^{_WS}]+[{_WS}]*".encode())
+_ENDS = re.compile(rf"[.,;:!?|][{_WS}]*\Z|[\n\r\f\x0B][{_WS}]*\Z".encode())
+
+
+def cut_by_content(words: list[bytes], most_words: int) -> list[int]:
+    """Ends of pieces of at most so many words; each but the last is after the (first) least hash of some window of so many words."""
+    if len(words) <= most_words:
+        return [len(words)]
+    hashes = np.array([xxhash.xxh64_intdigest(w.strip()) for w in words], np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, most_words).argmin(axis=1)
+    return np.union1d(least + np.arange(len(least)) + 1, [len(words)]).tolist()
+
+
 class Spans:
-    def __init__(self, least_words: int, most_words: int) -> None:
+    def __init__(self, least_words: int, most_words: int, whole: bool = False) -> None:
         self.pattern = re.compile(sentence_pattern(most_words).encode())
         self.least_words = least_words
+        self.most_words = most_words
+        self.whole = whole
 
     def sentences(self, text: bytes) -> list[bytes]:
-        return self.pattern.findall(text)
+        if not self.whole:
+            return self.pattern.findall(text)
+        out, run = [], []
+        for word in _WORD.findall(text):
+            run.append(word)
+            if _ENDS.search(word):
+                out += self._pieces(run)
+                run = []
+        return out + self._pieces(run) if run else out
+
+    def _pieces(self, run: list[bytes]) -> list[bytes]:
+        ends = cut_by_content(run, self.most_words)
+        return [b"".join(run[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def of(self, text: bytes) -> list[tuple[int, int, bytes]]:
         """(first sentence, number of sentences, digest) of each span."""
@@ -80,12 +112,12 @@ def _spans(docs: DataFrame, spans: Spans) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "h long, g int, key long, first int, n int")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 14, most_words: int = 12) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 14, most_words: int = 12, whole: bool = False) -> DataFrame:
     """One row per document: id, text without repeats, n_sentences, n_removed."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = keyed(docs, id_col, text_col)
-    cutter = Spans(least_words, most_words)
+    cutter = Spans(least_words, most_words, whole)
     spans = _spans(rows, cutter)
     place = F.struct("key", "first")
     repeated = written(spans.groupBy("h", "g").agg(F.min(place).alias("at"), F.count("*").alias("c")).where("c > 1").select("h", "g", "at"), "repeated")
