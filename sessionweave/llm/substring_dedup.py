@@ -9,6 +9,8 @@ As the SQL has it, words without a mark are cut after every `most_words` words f
 stands before a passage, so a passage without marks can be missed. With `whole` these cuts are made at the least word hash of every
 `most_words` neighbouring words instead: inside a passage they are then the same wherever it stands, but for less than `most_words`
 words at either end, and any passage of at least least_words + 3 * most_words words that occurs earlier loses what stands between.
+By the SQL only spans from a sentence on count, so the last sentences of a passage or copy can stay. With `whole` the shortest span
+that ends with each sentence counts too, and a text of fewer than `least_words` words is one span.
 
 Hashes are counted with partial aggregation before they are shuffled, and the join back to the spans is an equi-join whose hot
 keys Spark's adaptive execution splits.
@@ -87,7 +89,21 @@ class Spans:
                 break
             out.append((k, end - k, xxhash.xxh3_128_digest(b"\n".join(bare[k:end]))))
             words -= counts[k]
-        return out
+        return self._with_tails(bare, counts, out) if self.whole else out
+
+    def _with_tails(self, bare: list[bytes], counts: list[int], spans: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+        """The spans and the shortest one that ends with each sentence; for fewer than least_words words the whole text."""
+        if bare and sum(counts) < self.least_words:
+            return [(0, len(bare), xxhash.xxh3_128_digest(b"\n".join(bare)))]
+        have, k, words = {(first, n) for first, n, _ in spans}, 0, 0
+        for end, count in enumerate(counts, 1):
+            words += count
+            while words - counts[k] >= self.least_words and end - k > 2:
+                words -= counts[k]
+                k += 1
+            if words >= self.least_words and end - k >= 2 and (k, end - k) not in have:
+                spans.append((k, end - k, xxhash.xxh3_128_digest(b"\n".join(bare[k:end]))))
+        return spans
 
 
 def _spans(docs: DataFrame, spans: Spans) -> DataFrame:

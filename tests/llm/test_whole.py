@@ -28,3 +28,25 @@ def test_content_cuts_keep_every_byte_and_the_marks():
         assert b"".join(pieces) == b"".join(plain.sentences(text)) and all(1 <= len(p.split()) <= 12 for p in pieces)
     marked = b"  One two, three.\nfour \n five| six"
     assert cutter.sentences(marked) == plain.sentences(marked)
+
+
+def test_tails_of_copies_and_passages_go(spark):
+    """Copies lose everything and a passage between other texts loses all its sentences, down to the last short one."""
+    copied = "One two three four five six, seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen. The end."
+    docs = spark.createDataFrame([(1, copied), (2, copied), (3, f"Before. {copied} And after it."), (4, "Too short."), (5, "Too short."), (6, "Too short. Or not.")], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs, whole=True).collect()}
+    assert found == {1: copied, 2: "", 3: "Before. And after it.", 4: "Too short.", 5: "", 6: "Too short. Or not."}
+
+
+def test_spans_are_all_shortest_ones():
+    rnd = random.Random(5)
+    cutter = substring_dedup.Spans(14, 12, whole=True)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["a", "b.", "c", "d", "e"]) for _ in range(rnd.randrange(60))).encode()
+        counts = [len(p.split()) for p in cutter.sentences(text)]
+        fits = {(a, b) for b in range(len(counts) + 1) for a in range(b - 1) if sum(counts[a:b]) >= 14}
+        wanted = {(a, min(b for x, b in fits if x == a)) for a, _ in fits} | {(max(a for a, x in fits if x == b), b) for _, b in fits}
+        if 0 < sum(counts) < 14:
+            wanted = {(0, len(counts))}
+        found = [(k, k + n) for k, n, _ in cutter.of(text)]
+        assert len(found) == len(set(found)) and set(found) == wanted
