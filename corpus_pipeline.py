@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences.
 
 Each stage takes what the one before it kept: the quality classifier drops documents it rejects; of each group of SimHash near
-copies the one with the least id stays; documents that a benchmark contaminates go; secrets are replaced in the texts that remain;
+copies the one with the least id stays, if any has one; documents that a benchmark contaminates go; secrets are replaced in the texts that remain;
 and these are packed into sequences.
 
 The near-copy stage keeps to the SimHash operator's own contract: fingerprints of three-word shingles, linked at two bits or fewer.
@@ -30,10 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies; rows that repeat its id go too."""
-    grouped = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = grouped.where("doc_id <=> component").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies: the one with the least id (nulls last), then fingerprint, then text.
+
+    Groups are of fingerprints, not of ids: where ids are null or repeat, each row stays or goes by its own text.
+    """
+    prints = written(simhash.fingerprints(docs, carry=("lang", "source", "n_chars")), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id")
+    distinct = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    best = distinct.join(simhash.groups(prints), "fp").groupBy("group").agg(F.min(F.struct("least", "fp")).alias("best")).select(F.col("best.fp").alias("fp"))
+    row = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("doc_id"), *CARRIED)
+    return prints.join(best, "fp", "left_semi").groupBy("fp").agg(F.min(row).alias("kept")).select(*(F.col(f"kept.{c}").alias(c) for c in COLUMNS))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ link. A fingerprint enters its own grid cell and those one step away: two vector
 cell. Pairs that meet are verified exactly. In cells that many fingerprints enter (a dense group of near copies) pairs aren't
 formed: there each fingerprint gives itself and its 64 single-bit changes as keys, and whoever shares a key is within two bits.
 
-Copies are folded into one fingerprint first, components are found on the distinct fingerprints' least ids.
+Copies are folded into one fingerprint first, components are found on the distinct fingerprints.
 
 Nulls and edge cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; a null
 id is ignored when the least id of a group is taken (a group of null ids only has a null component); repeated rows each give a
@@ -15,7 +15,7 @@ row; an empty table gives no rows. Columns other than id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, slices, small_batches, written
 from .components import connected_components
@@ -67,16 +68,19 @@ def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): each row's fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: Sequence[str] | None = None) -> DataFrame:
+    """(id, fp): each row's fingerprint as a signed long; with `carry` also the text and those columns."""
     small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in carry or ()))
+    kept = [] if carry is None else source.schema.names[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(as_bytes(part.column(1)), words).view(np.int64))], names=["id", "fp"])
+            fp = pa.array(fingerprints_of(as_bytes(part.column(1)), words).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), fp, *(part.column(c) for c in kept)], names=["id", "fp", *kept])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    fields = [source.schema["id"], T.StructField("fp", T.LongType()), *(source.schema[c] for c in kept)]
+    return source.mapInArrow(run, T.StructType(fields))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -95,12 +99,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(keyed.join(least, "key").select(F.col("rep").alias("a"), "b").where("a <> b")).distinct()
 
 
+def groups(prints: DataFrame) -> DataFrame:
+    """(fp, group): the distinct fingerprints and the least one that links of up to two bits reach, whatever the ids are."""
+    distinct = written(prints.select("fp").distinct().withColumn("rep", F.col("fp")), "distinct")
+    found = connected_components(links(distinct))
+    return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row per document: id, fp (signed long), component (least id that links of up to two bits reach)."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    found = connected_components(links(distinct))
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    grouped = written(prints.groupBy("fp").agg(F.min("id").alias("rep")).join(groups(prints), "fp"), "grouped")
+    named = grouped.join(grouped.groupBy("group").agg(F.min("rep").alias("component")), "group").select("fp", "component")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 

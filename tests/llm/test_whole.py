@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from sessionweave.llm import substring_dedup
+import corpus_pipeline
+from sessionweave.llm import simhash, substring_dedup
 
 
 def test_unmarked_passage_is_found_at_every_shift(spark):
@@ -50,3 +51,19 @@ def test_spans_are_all_shortest_ones():
             wanted = {(0, len(counts))}
         found = [(k, k + n) for k, n, _ in cutter.of(text)]
         assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_null_and_repeated_ids_stay_or_go_by_their_texts(spark):
+    """Each different text stays once, whatever its id; a copy with an id is kept before one without."""
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four"), (7, "red green blue black"), (7, "north south east west"), (None, "red green blue black"), (None, None), (None, "one two three four")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert found.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted({*rows} - {(None, "red green blue black")}, key=str)
+
+
+def test_links_lead_through_fingerprints_without_an_id(spark, monkeypatch):
+    """0 and 15 are four bits apart, and linked only through 3, which no id has."""
+    prints = spark.createDataFrame([(1, 0), (None, 3), (2, 15)], "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    assert {r["component"] for r in simhash.near_duplicates(prints).collect()} == {1}
