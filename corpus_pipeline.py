@@ -49,8 +49,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
-    scanned = secret_scan.scan_secrets(docs, redact=REDACTED, carry=("lang", "source", "n_chars"))
+    """All documents, secrets in their texts replaced, private keys to their END line."""
+    scanned = secret_scan.scan_secrets(docs, rules=secret_scan.REDACTED_RULES, redact=REDACTED, carry=("lang", "source", "n_chars"))
     changed = F.size("spans") > 0
     return scanned.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 

@@ -3,7 +3,7 @@
 Each rule has a detection pattern (a short text that every find contains and few others do) and a full pattern (the whole span). The detection
 patterns are compiled together: parsed, turned into a nondeterministic automaton over bytes, made deterministic by subset
 construction and minimised, giving one transition array that scans all rules in a single pass over the bytes. The pass runs many
-stretches of text abreast; stretches begin after bytes that occur in no rule, where the automaton is in its first state anyway.
+stretches of text abreast; stretches begin after bytes that occur in no detection pattern, where the automaton is in its first state anyway.
 Where the pass reports a rule, the stretch of bytes around it that the rule can use at all is resolved with the rule's own full
 automaton: leftmost, longest, without overlap; a resolved match that fails the rule's least length is dropped.
 
@@ -55,6 +55,14 @@ RULES = (
     Rule("private_key", r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----", r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----"),
 )
 
+_KEY = r"(RSA |EC |OPENSSH )?PRIVATE KEY-----"
+_KEY_HEAD = r"([\r\n\t\x20]*Proc-Type: 4,ENCRYPTED\r?\nDEK-Info: [A-Z0-9-]+,[A-Fa-f0-9]+)?"
+#: Whole keys to redact: up to the END line, through line ends (also written \n) and white space; a key without one as far as its full lines go.
+REDACTED_RULES = (
+    *RULES[:-1],
+    Rule("private_key", RULES[-1].detect, rf"-----BEGIN {_KEY}{_KEY_HEAD}([A-Za-z0-9+/=\\\r\n\t\x20]*-----END {_KEY}|([\r\n]+[A-Za-z0-9+/=]{{40}}[A-Za-z0-9+/=]*)*)"),
+)
+
 
 class _Nfa:
     """Thompson's construction over bytes from the standard library's parse of a pattern."""
@@ -183,7 +191,7 @@ class Scanner:
         self.first_accepting = int(np.count_nonzero(self.accept == 0)) * 256
         self.full = [Automaton([r.full], anywhere=False) for r in rules]
         self.usable = [np.isin(np.arange(256), list(a.alphabet)) for a in self.full]
-        self.outside = ~np.isin(np.arange(256), list(auto.alphabet.union(*(a.alphabet for a in self.full))))
+        self.outside = ~np.isin(np.arange(256), list(auto.alphabet))
         self.begin = int(rank[0]) * 256
 
     def detect(self, data: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +236,7 @@ class Scanner:
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """Each text's (start, end, rule) in code points, by start and then rule."""
-        joined = b"\n".join([*texts, b""])
+        joined = b"\xff".join([*texts, b""])  # a byte of no rule and no text
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         data = np.frombuffer(joined, np.uint8)
         if not len(data):
