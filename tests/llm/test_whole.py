@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 from sessionweave.llm import simhash, substring_dedup
+from sessionweave.operators import vectors
 
 
 def test_unmarked_passage_is_found_at_every_shift(spark):
@@ -86,3 +87,10 @@ def test_whole_private_keys_are_redacted(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
     found = corpus_pipeline.redact_secrets(spark, docs, "").orderBy("doc_id").collect()
     assert [r["text"] for r in found] == list(texts.values()) and all(r["n_chars"] == len(r["text"]) for r in found)
+
+
+def test_neighbours_among_equals_are_those_of_least_id(spark):
+    ids = random.Random(7).sample(range(1, 201), 200)
+    corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in ids], "id long, v array<double>").coalesce(1)
+    found = vectors.nearest(spark.createDataFrame([(1000, [1.0, 0.0])], "id long, v array<double>"), corpus, "id", "v").orderBy("rank").collect()
+    assert [r["neighbour"] for r in found] == [1, 2, 3, 4, 5]
