@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,10 +18,12 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset; it gets a temporary folder then."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _OWN_DIR[0]
@@ -32,36 +33,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that later steps don't depend on its lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def own_shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run meanwhile are deleted as each query ends."""
+    name = "spark.sql.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+class Table:
+    """A scratch table in the shared folder: `df` reads it. It goes with drop(), or at the latest when the driver ends."""
 
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self.spark = df.sparkSession
+        self.path = scratch_path(self.spark, name)
+        with own_shuffles_end(self.spark):
+            df.write.parquet(self.path)
+        target, store = _file(self.spark, self.path)
+        store.deleteOnExit(target)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    def drop(self) -> None:
+        remove(self.spark, self.path)
 
 
-@contextmanager
-def co_partitioned_by_some_keys(spark: SparkSession) -> Iterator[None]:
-    """Lets joins that run meanwhile use sides that are dealt by some of the join's keys only, instead of shuffling them again."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so that later steps don't depend on its lineage."""
+    return Table(df, name).df
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table once nothing reads it any more."""
+    target, store = _file(spark, path)
+    store.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,19 +124,29 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not when its driver next happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text) with a unique key in the order of the ids: the id itself, or where ids repeat or are null, the rank among
-    the rows sorted by id (nulls first) and text."""
+    """(key, id, text) with a unique key in the order of the ids: the id itself, or where ids repeat or are null (or aren't whole
+    numbers) a number in the order of id (nulls first), then a hash of the text.
+
+    For such numbers the rows are dealt by ranges of id and hash, equal rows by chance among themselves, sorted within the ranges,
+    numbered there and written once; neither one task nor Python sees them all.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     whole = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
     if whole and rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         return rows.select(F.col("id").cast("long").alias("key"), "id", "text")
-    ranked = rows.orderBy(F.asc_nulls_first("id"), F.asc_nulls_first("text")).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    kind = rows.schema["id"].dataType.simpleString()
-    return written(rows.sparkSession.createDataFrame(ranked, f"key long, id {kind}, text string"), "keyed")
+    order = ["id", "h", "g", "salt"]
+    hashed = rows.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text"), "salt": F.rand(5)})
+    ranked = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranked.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
+
+
+def source_of(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str], results: Iterable[str]) -> tuple[DataFrame, list[F.Column], list[F.Column]]:
+    """The text as `t`, the id as `i` and the columns to carry under names of their own; then the id and the carried columns by
+    their first names again. A text to carry is `t` itself, so that it moves once. A column named like a result isn't carried."""
+    names = [c for c in dict.fromkeys(carry) if c != id_col and c not in set(results)]
+    same = docs.schema[text_col].dataType.typeName() == "string"
+    inner = {c: "t" if same and c == text_col else f"c{k}" for k, c in enumerate(names)}
+    moved = [F.col(c).alias(n) for c, n in inner.items() if n != "t"]
+    source = docs.select(F.col(text_col).cast("string").alias("t"), F.col(id_col).alias("i"), *moved)
+    return source, [F.col("i").alias(id_col)], [F.col(n).alias(c) for c, n in inner.items()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, small_batches
+from .common import as_bytes, slices
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Bytes that begin a code point outside white space.
@@ -120,7 +120,6 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_repeat: int = 10, most_covered: float = 0.3, most_longest: int = 200, least_words: int = 50) -> DataFrame:
     """One row per document: id, the measures, base_failed and kept."""
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
