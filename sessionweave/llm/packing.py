@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, small_batches, written
+from .common import as_bytes, slices, written
 
 #: Pieces of one length that are ranked together; more of them are dealt to several groups.
 RANKED_TOGETHER = 200_000
@@ -49,6 +49,26 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
 
 
+def _unlike(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which words differ from the word that `other` names for each, by length or any byte."""
+    size = last - first
+    bad = size != size[other]
+    rows = np.flatnonzero(~bad & (other != np.arange(len(other))))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    for at in (0, 8):  # most words end here
+        rest = np.minimum(size[rows] - at, 8).astype(np.uint64)
+        mask = np.where(rest < 8, (np.uint64(1) << (np.uint64(8) * (rest % np.uint64(8)))) - np.uint64(1), ~np.uint64(0))
+        bad[rows[((eight[first[rows] + at] ^ eight[first[other[rows]] + at]) & mask) != 0]] = True
+        rows = rows[size[rows] > at + 8]
+    left = size[rows] - 16
+    if len(rows):
+        inner = np.arange(int(left.sum())) - np.repeat(np.cumsum(left) - left, left)
+        same = data[np.repeat(first[rows] + 16, left) + inner] == data[np.repeat(first[other[rows]] + 16, left) + inner]
+        bad[rows[~np.logical_and.reduceat(same, np.cumsum(left) - left)]] = True
+    return np.flatnonzero(bad)
+
+
 _RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
@@ -96,7 +116,7 @@ class WordTokenizer:
 
     @staticmethod
     def _alike(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers words so that equal ones, judged by a 64-bit hash, share one; and where each number's first word is."""
+        """Numbers words so that equal ones share one, and gives a word of each number. Words of one hash are compared byte by byte."""
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ahead, back = _powers(1 << max(22, len(data).bit_length()))
@@ -107,7 +127,19 @@ class WordTokenizer:
         fresh = np.concatenate([[True], np.diff(hashes[order]) != 0])
         number = np.empty(len(first), np.int64)
         number[order] = np.cumsum(fresh) - 1
-        return number, order[fresh]
+        sample = order[fresh]
+        odd = _unlike(data, first, last, sample[number])
+        if not len(odd):
+            return number, sample
+        more: dict[bytes, int] = {}  # words that share another's hash
+        extra = []
+        for k in odd.tolist():
+            word = data[first[k] : last[k]].tobytes()
+            if word not in more:
+                more[word] = len(sample) + len(more)
+                extra.append(k)
+            number[k] = more[word]
+        return number, np.concatenate([sample, np.array(extra, np.int64)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's closed by the closing id, and where each text ends."""
@@ -141,7 +173,6 @@ def _tokenizer(path: str, closing_id: int) -> WordTokenizer:
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = 2048, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, grain: int = 32) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids, cut at multiples of `length` and of `grain`."""
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
