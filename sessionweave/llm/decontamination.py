@@ -6,25 +6,29 @@ keeps a shift table over hashed blocks of bytes (how far the window's end may ju
 last block, and compares bytes directly before it reports an occurrence. Many positions of a text are searched abreast, each
 lane jumping by its own shifts.
 
-The tables are built from at most `block_bytes` of benchmark text at a time, which bounds what is broadcast; a larger
-benchmark is searched in several rounds, each adding to the result of the one before.
+The tables are built from at most `most_windows` windows and `most_bytes` of their bytes and items' names at a time (but one longer
+window), which bounds what is broadcast and what a task holds. A larger benchmark is searched block by block: each block's scan gives
+rows for documents with hits only, and these are put together and joined to the documents once.
 
 Nulls and edge cases: a null or empty text has no words, n_hit 0 and is not contaminated; an item without words has no window;
 a null item_id is reported as the empty string; repeated documents are judged alike, each giving a row; repeated items each
-count; empty tables give no rows, or no hits. Columns other than the ids and texts are not read.
+count; empty tables give no rows, or no hits. Columns other than the ids, the texts and those to carry are not read; a column to carry
+that is named like a result is left out.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, slices, small_batches, written
+from .common import Table, as_bytes, slices, source_of
 
 #: Upper-case A-Z to lower case, every other ASCII byte that isn't a digit or letter to a space; all other bytes stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -47,10 +51,10 @@ class WuManber:
         self.mask = np.uint64((1 << (8 * self.block)) - 1)
         self.most_shift = self.least - self.block + 1
         heads = np.frombuffer(b"".join(p[: self.least] for p in patterns), np.uint8).reshape(len(patterns), self.least)
-        self.bits = min(25, max(16, int(heads.size).bit_length() + 1))
-        self.shift = np.full(1 << self.bits, self.most_shift, np.int32)
+        self.bits = min(22, max(16, int(heads.size).bit_length() + 1))
+        self.shift = np.full(1 << self.bits, min(self.most_shift, 255), np.uint8)
         for end in range(self.block, self.least + 1):  # later ends shift less, so they overwrite
-            self.shift[self._hash(self._words(heads, end))] = self.least - end
+            self.shift[self._hash(self._words(heads, end))] = min(self.least - end, 255)
         suffix = self._hash(self._words(heads, self.least))
         self.order = np.argsort(suffix, kind="stable")
         self.suffix = suffix[self.order]
@@ -81,7 +85,7 @@ class WuManber:
             if hit.any():
                 places.append(at[hit])
                 hashes.append(h[hit])
-            at = at + np.maximum(jump, 1)
+            at = at + np.maximum(jump, 1).astype(np.int64)
             alive = at < stop
             if not alive.all():
                 at, stop = at[alive], stop[alive]
@@ -103,12 +107,7 @@ class WuManber:
 class Windows:
     """All windows of a block of benchmark items, by length class."""
 
-    def __init__(self, items: Iterable[tuple[str, bytes]], window: int) -> None:
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item_id, text in items:
-            words = words_of(text)
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                owners[b" " + b" ".join(words[k : k + window]) + b" "].add(item_id)
+    def __init__(self, owners: dict[bytes, set[str]]) -> None:
         self.owners = [tuple(sorted(x)) for x in owners.values()]
         self.classes = []
         lengths = np.array([len(p) for p in owners], np.int64)
@@ -151,42 +150,89 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in blocks of bounded size; only one is held at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        text = (row[1] or "").encode()
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row[0] or "", text))
-        size += len(text)
-    yield block
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most_windows: int, most_bytes: int) -> Iterator[dict[bytes, set[str]]]:
+    """The benchmark's windows and the items that have them, in blocks of bounded size; only one is held at a time."""
+    owners: dict[bytes, set[str]] = {}
+    size = 0
+    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
+        item, words = row[0] or "", words_of((row[1] or "").encode())
+        for k in range(max(1, len(words) - window + 1) if words else 0):
+            found = b" " + b" ".join(words[k : k + window]) + b" "
+            if owners and (len(owners) >= most_windows or size + len(found) + len(item) > most_bytes):
+                yield owners
+                owners, size = {}, 0
+            if found not in owners:
+                owners[found] = set()
+                size += len(found)
+            if item not in owners[found]:
+                owners[found].add(item)
+                size += len(item)
+    yield owners
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, one_in: int = 20, block_bytes: int = 4 << 20, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per document: id, n_words, n_hit, spans (merged [first, end) word numbers, flattened), items, contaminated, and the columns to carry along."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    found_columns = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")]
-    state = docs.select(F.col(text_col).cast("string").alias("searched_text"), *found_columns, F.col(id_col), *(F.col(c) for c in carry))
-    schema = state.schema
-    for number, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        if number:
-            state = written(state, "decontamination")
-        tables = spark.sparkContext.broadcast(Windows(block, window))
+RESULTS = ("n_words", "n_hit", "spans", "items", "contaminated")
 
-        def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
-            windows = tables.value
-            for part in slices(batches, "searched_text"):
-                counts, found = windows.search(as_bytes(part.column(0)))
-                spans, items = part.column(2).to_pylist(), part.column(3).to_pylist()
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, one_in: int = 20, most_windows: int = 1 << 16, most_bytes: int = 8 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: id, n_words, n_hit, spans (merged [first, end) word numbers, flattened), items, contaminated, and the columns to carry along."""
+    blocks = _blocks(benchmark, item_col, item_text_col, window, most_windows, most_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    shared = docs.sparkSession.sparkContext.broadcast
+    source, name, carried = source_of(docs, id_col, text_col, carry, RESULTS)
+    found_types = "n_words long, spans array<int>, items array<string>"
+
+    def arrays(counts: list[int], spans: list[list[int]], items: list[list[str]]) -> list[pa.Array]:
+        return [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+
+    if second is None:
+        tables = shared(Windows(first))
+        kept = source.columns if any(n == text_col for n in carry) else source.columns[1:]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "t"):
+                counts, found = tables.value.search(as_bytes(part.column(0)))
+                spans, items = [[]] * len(counts), [[]] * len(counts)
                 for doc, (own, own_items) in found.items():
-                    old = spans[doc]
-                    spans[doc] = [x for s in merged([*zip(old[::2], old[1::2], strict=True), *own]) for x in s]
-                    items[doc] = sorted({*items[doc], *own_items})
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *part.columns[4:]], names=part.schema.names)
+                    spans[doc], items[doc] = [x for s in own for x in s], sorted(own_items)
+                yield pa.RecordBatch.from_arrays([*arrays(counts, spans, items), *(part.column(c) for c in kept)], names=["n_words", "spans", "items", *kept])
 
-        state = state.mapInArrow(scan, schema)
+        state = source.mapInArrow(scan, T.StructType([*T._parse_datatype_string(found_types).fields, *(source.schema[c] for c in kept)]))
+    else:
+        state = _by_blocks(source, chain([first, second], blocks), arrays)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: x - total)  # over s1, e1, s2, e2: e2 - (s2 - (e1 - s1))
-    return state.select(id_col, "n_words", hit.alias("n_hit"), "spans", "items", ((hit > 0) & (F.lit(one_in) * hit >= F.col("n_words"))).alias("contaminated"), *carry)
+    return state.select(*name, "n_words", hit.alias("n_hit"), "spans", "items", ((hit > 0) & (F.lit(one_in) * hit >= F.col("n_words"))).alias("contaminated"), *carried)
+
+
+def _by_blocks(source: DataFrame, blocks: Iterable[dict[bytes, set[str]]], arrays) -> DataFrame:
+    """source with n_words, spans and items, the benchmark being searched block by block; texts move once, for the last join."""
+    rows = _numbered(source)
+    parts = []
+    for block in blocks:
+        tables = rows.sparkSession.sparkContext.broadcast(Windows(block))
+
+        def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "t"):
+                _, found = tables.value.search(as_bytes(part.column(1)))
+                keys = part.column(0).take(pa.array(list(found), pa.int64()))
+                spans, items = [[x for s in own for x in s] for own, _ in found.values()], [sorted(own) for _, own in found.values()]
+                yield pa.RecordBatch.from_arrays([keys, *arrays([0] * len(found), spans, items)[1:]], names=["key", "spans", "items"])
+
+        parts.append(Table(rows.select("key", "t").mapInArrow(scan, "key long, spans array<int>, items array<string>"), "hits").df)
+    hits = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = rows.join(hits, "key", "left").drop("key")
+    kept = [f for f in joined.schema.fields if f.name not in ("spans", "items")]
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t"):
+            counts = [len(words_of(t)) for t in as_bytes(part.column("t"))]
+            spans = [[x for s in merged((a, b) for own in found or [] for a, b in zip(own[::2], own[1::2], strict=True)) for x in s] for found in part.column("spans").to_pylist()]
+            items = [x or [] for x in part.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*arrays(counts, spans, items), *(part.column(f.name) for f in kept)], names=["n_words", "spans", "items", *(f.name for f in kept)])
+
+    return joined.mapInArrow(together, T.StructType([*T._parse_datatype_string("n_words long, spans array<int>, items array<string>").fields, *kept]))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with a `key` of their own, written once so that it stays the same in every scan."""
+    return Table(rows.withColumn("key", F.monotonically_increasing_id()).select("key", *rows.columns), "numbered").df
