@@ -1,10 +1,16 @@
 """SimHash near-duplicates through segment popcounts.
 
-A fingerprint's 64 bits are cut into 16 segments and each segment's set bits are counted. The Manhattan distance of two count
+A fingerprint's 64 bits are cut into segments of equal width and each segment's set bits are counted. The Manhattan distance of two count
 vectors never exceeds the Hamming distance of the fingerprints, so a range join on the counts' grid finds every pair that can
 link. A fingerprint enters its own grid cell and those one step away: two vectors at most two steps apart always meet in such a
-cell. Pairs that meet are verified exactly. In cells that many fingerprints enter (a dense group of near copies) pairs aren't
-formed: there each fingerprint gives itself and its 64 single-bit changes as keys, and whoever shares a key is within two bits.
+cell. Pairs that meet are verified exactly.
+
+Narrower segments make smaller cells and more entries. The width is the largest of 4, 2 and 1 bits at which the fullest cell of that
+many random fingerprints is expected to hold at most `DENSE_CELL` entries: 4 bits (16 segments, 31 entries each on average, the fullest
+cell having (6/16)^16 of the fingerprints) up to about 14 million distinct fingerprints, 2 bits (32 segments, 49 entries, 2^-32) up to
+about 5.6 billion, then 1 bit. Cells that are fuller all the same, say by a group of near copies, pass their fingerprints on to the grid
+of 1 bit. There the counts are the bits themselves, a cell is a fingerprint, its 64 neighbours the single-bit changes, and any two that
+enter one cell are within two bits; so each links to the least one there and no pairs are formed.
 
 Copies are folded into one fingerprint first, components are found on the distinct fingerprints.
 
@@ -16,22 +22,23 @@ row; an empty table gives no rows. Columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices, small_batches, written
+from .common import Table, as_bytes, slices, written
 from .components import connected_components
 
-SEGMENT_BITS = 4
-SEGMENTS = 64 // SEGMENT_BITS
-#: Fingerprints in a grid cell beyond which single-bit changes are used instead of pairs.
+#: Entries of a grid cell beyond which its fingerprints go on to the grid of one-bit segments.
 DENSE_CELL = 64
+#: Width of a segment to the distinct fingerprints up to which it is used.
+WIDTHS = {4: 14_000_000, 2: 5_600_000_000}
 #: Byte value to its eight bits, one in each byte of a 64-bit number.
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -70,7 +77,6 @@ def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: Sequence[str] | None = None) -> DataFrame:
     """(id, fp): each row's fingerprint as a signed long; with `carry` also the text and those columns."""
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in carry or ()))
     kept = [] if carry is None else source.schema.names[1:]
 
@@ -83,20 +89,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, T.StructType(fields))
 
 
+def entered(distinct: DataFrame, width: int) -> DataFrame:
+    """(fp, rep, cell): each fingerprint's own grid cell and those one step away, for segments of so many bits."""
+    size = width.bit_length()  # bits of a count
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for k in range(64 // width)]
+    cell = reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(c, size * k) for k, c in enumerate(counts)))
+    step = lambda c, to, k: F.col("cell").bitwiseXOR(F.shiftleft(c.bitwiseXOR(to), size * k))
+    steps = [F.when(c < width, step(c, c + 1, k)) for k, c in enumerate(counts)] + [F.when(c > 0, step(c, c - 1, k)) for k, c in enumerate(counts)]
+    return distinct.withColumn("cell", cell).select("fp", "rep", F.explode(F.array_compact(F.array("cell", *steps))).alias("cell"))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between the reps of distinct fingerprints (fp, rep) at most two bits apart, enough for all components."""
-    counts = [F.bit_count(F.shiftrightunsigned("fp", SEGMENT_BITS * k).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).cast("long") for k in range(SEGMENTS)]
-    cell = sum((F.shiftleft(c, 3 * k) for k, c in enumerate(counts)), F.lit(0).cast("long"))
-    steps = [F.when(c < SEGMENT_BITS, F.col("cell") + (1 << 3 * k)) for k, c in enumerate(counts)] + [F.when(c > 0, F.col("cell") - (1 << 3 * k)) for k, c in enumerate(counts)]
-    entered = distinct.withColumn("cell", cell).select("fp", "rep", F.explode(F.array_compact(F.array("cell", *steps))).alias("cell"))
-    shared = written(entered.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1"), "cells")
-    sparse, dense = shared.where(F.col("n") <= DENSE_CELL), shared.where(F.col("n") > DENSE_CELL)
-    left, right = sparse.select("cell", F.col("fp").alias("fp_a"), F.col("rep").alias("a")), sparse.select("cell", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
-    pairs = left.join(right, "cell").where((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2)).select("a", "b")
-    changes = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")) for k in range(64)))
-    keyed = dense.select("fp", "rep").distinct().select("rep", F.explode(changes).alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return pairs.unionByName(keyed.join(least, "key").select(F.col("rep").alias("a"), "b").where("a <> b")).distinct()
+    n = distinct.count()
+    width = next((w for w, most in WIDTHS.items() if n <= most), 1)
+    found = []
+    if width > 1:
+        cells = entered(distinct, width)
+        sizes = cells.groupBy("cell").count().where("count > 1")
+        shared = Table(cells.join(sizes, "cell"), "cells").df
+        sparse, dense = shared.where(F.col("count") <= DENSE_CELL), shared.where(F.col("count") > DENSE_CELL).select("fp", "rep").distinct()
+        left, right = sparse.select("cell", F.col("fp").alias("fp_a"), F.col("rep").alias("a")), sparse.select("cell", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
+        close = (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2)
+        found.append(left.join(right, "cell").where(close).select("a", "b"))
+    else:
+        dense = distinct
+    cells = entered(dense, 1)
+    least = cells.groupBy("cell").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
+    found.append(cells.join(least, "cell").select(F.col("rep").alias("a"), "b").where("a <> b"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def groups(prints: DataFrame) -> DataFrame:
