@@ -3,34 +3,38 @@
 Every byte covered by a string of `length` bytes that also starts earlier is removed, earlier meaning in a document of smaller
 key, or further ahead in the same one.
 
-The suffixes that are indexed begin at minimizers: positions whose `anchor`-byte prefix has the least hash in some window. A
-string of `length` bytes has its minimizers at the same places wherever it occurs, so equal strings always share an indexed suffix.
-An index level is a sorted, bucketed table of suffixes: the prefix's hash, a hash of all bytes that a match through this suffix
-can reach (`length` onwards, length - anchor back), and the first place where that context occurs. Documents arrive in batches
-by key. A batch's suffixes are sorted the same way and merge-scanned against each existing level. A suffix whose
-context is known matches in full. Its new contexts become a level of the smallest size, and before the next batch two levels of
-equal size merge into one of twice the size, so that a batch meets a logarithmic number of levels.
+The suffix arrays are sparse. They hold the suffixes that begin at minimizers: positions whose `anchor`-byte prefix has the least hash
+in some window. A string of `length` bytes has its minimizers at the same places wherever it occurs, so equal strings always share an
+indexed suffix; one position in about (length - anchor) / 2 is indexed. An entry has the suffix's first `anchor` bytes as numbers that
+sort as the bytes do, a hash of its context, that is, of all bytes that a match through this suffix can reach (`length` onwards,
+length - anchor back), and the first place where that context occurs. An array is a table sorted by leading bytes, then context, over
+all its partitions; entries of one prefix, however many, spread over several.
+
+Documents arrive in batches by key (`SuffixIndex.add`). Copies within a batch are folded, with partial aggregation. The batch's array is
+merged with those of the existing levels in sorted order, and neighbours are compared: an entry whose neighbour from a level
+agrees in prefix and context matches in full. The contexts that are new become a level of the smallest size, and then levels of equal
+size merge until all sizes differ, so that a batch meets a logarithmic number of levels. The index stays open for further batches.
 
 Suffixes that share a prefix but not the context match in part. Only their contexts' bytes are fetched; within a prefix the windows
 through it are compared at each offset, in sorted order, the first place of each window staying. A prefix with more contexts than
 `most_contexts` isn't gathered in one task: its windows are hashed and grouped by Spark.
 
 Nulls and edge cases: a null or empty text has no bytes; where ids repeat or are null, rows count as documents in the order of id
-(nulls first) and text; an empty table gives no rows. Other columns are not read.
+(nulls first) and a hash of the text; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_lengths, joined_bytes, keyed, release, remove, scratch_path, slices, small_batches, written
+from .common import Table, as_bytes, byte_lengths, joined_bytes, keyed, slices, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -61,14 +65,17 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 class Minimizers:
     def __init__(self, length: int, anchor: int) -> None:
+        if anchor % 8 or not 0 < anchor < length:
+            raise ValueError("anchor must be a multiple of 8 below length")
         self.length, self.anchor = length, anchor
+        self.lead = [f"lead{k}" for k in range(anchor // 8)]
         self.windows = length - anchor + 1
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the indexed suffixes in the concatenated texts, and their prefixes' hashes."""
+        """Positions of the indexed suffixes in the concatenated texts, and their first bytes as numbers in the bytes' order."""
         n, k, w = len(data), self.anchor, self.windows
         if n < self.length:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros((k // 8, 0), np.int64)
         sums = _prefix_sums(data)
         _, back = _powers(1 << max(22, n.bit_length()))
         with np.errstate(over="ignore"):
@@ -85,7 +92,8 @@ class Minimizers:
         least[np.cumsum(inside[:-1], dtype=np.int8)[: len(least)] == 0] = 0  # it would cross into the next text
         padded = np.concatenate([np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)])
         at = np.flatnonzero(_sliding(padded, w, np.maximum) == order)
-        return at, hashed[at].view(np.int64)
+        eight = np.lib.stride_tricks.as_strided(data[:8].view(">u8"), (n - 7,), (1,))
+        return at, np.stack([(eight[at + k].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64) for k in range(0, self.anchor, 8)])
 
     def context(self, text: bytes, at: int) -> tuple[bytes, int]:
         """The bytes that matches through the suffix at `at` can reach, and how many of them stand before it."""
@@ -94,12 +102,12 @@ class Minimizers:
 
 
 def _suffixes(docs: DataFrame, kind: Minimizers) -> DataFrame:
-    """(prefix, context, key, at) of every indexed suffix."""
+    """(the leading bytes, context, key, at) of every indexed suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             data, starts, ends = joined_bytes(part.column(1))
-            at, prefix = kind.of(data, starts, ends)
+            at, leads = kind.of(data, starts, ends)
             owner = np.searchsorted(starts, at, "right") - 1
             texts = as_bytes(part.column(1))
             local = at - starts[owner]
@@ -109,44 +117,100 @@ def _suffixes(docs: DataFrame, kind: Minimizers) -> DataFrame:
                 len(at),
             )
             keys = part.column(0).to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(context.view(np.int64)), pa.array(keys), pa.array(local.astype(np.int32))], names=["prefix", "context", "key", "at"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in leads), pa.array(context.view(np.int64)), pa.array(keys), pa.array(local.astype(np.int32))], names=[*kind.lead, "context", "key", "at"])
 
-    return docs.select("key", "text").mapInArrow(run, "prefix long, context long, key long, at int")
+    return docs.select("key", "text").mapInArrow(run, "".join(f"{c} long, " for c in kind.lead) + "context long, key long, at int")
 
 
-class Levels:
-    """The index family: sorted tables in the shared folder, bucketed alike by prefix."""
+def _neighbours(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A merge scan: of rows sorted by `order`, then by `old` first, gives those that aren't old, and whether the row before is alike."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.tables: list[tuple[int, str]] = []
-        self.paths: dict[str, str] = {}
-
-    def store(self, rows: DataFrame) -> str:
-        path = scratch_path(self.spark, "suffixes")
-        name = "suffixes_" + path.rsplit("-", 1)[1]
-        dealt = rows.repartition(self.buckets, "prefix")
-        dealt.write.bucketBy(self.buckets, "prefix").sortBy("prefix", "context").option("path", path).format("parquet").saveAsTable(name)
-        self.paths[name] = path
-        return name
-
-    def drop(self, name: str) -> None:
-        self.spark.sql(f"drop table {name}")
-        remove(self.spark, self.paths.pop(name))
-
-    def merge(self) -> None:
-        """Merges equal sizes until all levels differ."""
-        while len(self.tables) > 1 and self.tables[-1][0] == self.tables[-2][0]:
-            (rank, a), (_, b) = self.tables[-2:]
-            self.tables[-2:] = [(rank + 1, self.store(self.spark.table(a).unionByName(self.spark.table(b))))]
-            self.drop(a)
-            self.drop(b)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            same = np.ones(batch.num_rows, bool)
+            for k, c in enumerate(order):
+                x = batch.column(c).to_numpy()
+                same &= x == np.concatenate([[x[0] if last is None else last[k]], x[:-1]])
+            same[0] &= last is not None
+            last = [batch.column(c)[-1].as_py() for c in order]
+            new = np.flatnonzero(~batch.column("old").to_numpy(zero_copy_only=False))
+            kept = batch.take(pa.array(new))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in [*order, "key", "at", "n"]), pa.array(same[new])], names=[*order, "key", "at", "n", "seen"])
+
+    return scan
+
+
+class SuffixIndex:
+    """The index family. Keys must grow from batch to batch; close() deletes the tables."""
+
+    def __init__(self, length: int = 100, anchor: int = 24, most_contexts: int = 20_000) -> None:
+        self.kind, self.most_contexts = Minimizers(length, anchor), most_contexts
+        self.order = [*self.kind.lead, "context"]
+        self.levels: list[tuple[int, Table]] = []
+        self.texts: DataFrame | None = None
+        self.last_key: int | None = None
+
+    def _sorted(self, rows: DataFrame, *more: F.Column) -> DataFrame:
+        return rows.repartitionByRange(*self.order).sortWithinPartitions(*self.order, *more)
+
+    def _entries(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (level.df for _, level in self.levels))
+
+    def extend(self, docs: DataFrame) -> DataFrame:
+        """Indexes a batch (key, text); gives its places (key, at) whose context was seen earlier."""
+        keys = docs.agg(F.min("key"), F.max("key")).first()
+        if keys[0] is not None and self.last_key is not None and keys[0] <= self.last_key:
+            raise ValueError("keys must grow from batch to batch")
+        self.last_key = keys[1] if keys[1] is not None else self.last_key
+        self.texts = docs if self.texts is None else self.texts.unionByName(docs)
+        own = Table(_suffixes(docs, self.kind), "suffixes")
+        folded = Table(own.df.groupBy(*self.order).agg(F.min(F.struct("key", "at")).alias("place"), F.count("*").alias("n")).select(*self.order, "place.*", "n", F.lit(False).alias("old")), "folded")
+        rows = folded.df
+        if self.levels:
+            rows = rows.unionByName(self._entries().withColumns({"n": F.lit(0).cast("long"), "old": F.lit(True)}))
+        schema = ", ".join(f"{c} long" for c in self.order) + ", key long, at int, n long, seen boolean"
+        run = Table(self._sorted(rows, F.desc("old")).mapInArrow(_neighbours(self.order), schema), "run")
+        met = run.df.where("seen or n > 1").select(*self.order, "seen", F.struct("key", "at").alias("place"))
+        found = written(own.df.join(met, self.order).where(F.col("seen") | (F.struct("key", "at") != F.col("place"))).select("key", "at"), "matches")
+        self.levels.append((0, Table(run.df.where("not seen").select(*self.order, "key", "at"), "level")))
+        for table in (own, folded, run):
+            table.drop()
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, a), (_, b) = self.levels[-2:]
+            self.levels[-2:] = [(rank + 1, Table(self._sorted(a.df.unionByName(b.df)), "level"))]
+            a.drop()
+            b.drop()
+        return found
+
+    def partial(self, after: int | None = None) -> DataFrame:
+        """(key, begin, end): bytes, of keys beyond `after`, covered by windows of partly matching contexts that occur earlier."""
+        every = self._entries()
+        shared = every.groupBy(*self.kind.lead).agg(F.count("*").alias("n"), F.max("key").alias("newest")).where("n > 1")
+        if after is not None:
+            shared = shared.where(F.col("newest") > after)
+        parts = Table(every.join(shared.select(*self.kind.lead), self.kind.lead).select(F.xxhash64(*self.kind.lead).alias("prefix"), "key", "at"), "parts")
+        spans = _partial(self.texts, parts.df, self.kind, self.most_contexts)
+        parts.drop()
+        return spans if after is None else spans.where(F.col("key") > after)
+
+    def full(self, matches: DataFrame) -> DataFrame:
+        """(key, begin, end): the bytes that matching places cover."""
+        reach = self.kind.length - self.kind.anchor
+        return matches.select("key", F.greatest(F.col("at") - reach, F.lit(0)).alias("begin"), (F.col("at") + self.kind.length).alias("end"))
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Indexes a batch (key, text); gives (key, begin, end) of its bytes that occur earlier, in this batch or those before."""
+        before = self.last_key
+        matches = self.extend(docs)
+        return self.full(matches).unionByName(self.partial(before))
 
     def close(self) -> None:
-        for _, name in self.tables:
-            self.drop(name)
-        self.tables = []
+        for _, level in self.levels:
+            level.drop()
+        self.levels = []
 
 
 def _batches(docs: DataFrame, number: int) -> list[DataFrame]:
@@ -156,38 +220,6 @@ def _batches(docs: DataFrame, number: int) -> list[DataFrame]:
     return [docs.where((F.lit(True) if a is None else F.col("key") > a) & (F.lit(True) if b is None else F.col("key") <= b)) for a, b in zip(low, high, strict=True)]
 
 
-def _scan(spark: SparkSession, docs: DataFrame, kind: Minimizers, batches: int) -> tuple[DataFrame, DataFrame]:
-    """Places (key, at) that match an earlier context in full, and (prefix, key, at) of contexts whose prefix has several."""
-    levels, full, parts = Levels(spark), [], []
-    for batch in _batches(docs, batches):
-        levels.merge()
-        run = levels.store(_suffixes(batch, kind))
-        own = spark.table(run)
-        firsts = own.groupBy("prefix", "context").agg(F.min(F.struct("key", "at")).alias("place"))
-        known = firsts
-        for k, (_, name) in enumerate(levels.tables):
-            known = known.join(spark.table(name).select("prefix", "context", F.lit(True).alias(f"in{k}")), ["prefix", "context"], "left")
-        seen = F.coalesce(*(F.col(f"in{k}") for k in range(len(levels.tables))), F.lit(False))
-        known = known.select("prefix", "context", "place", seen.alias("seen"))
-        met = own.join(known, ["prefix", "context"]).where(F.col("seen") | (F.struct("key", "at") != F.col("place")))
-        full.append(written(met.select("key", "at"), "matches"))
-        fresh = levels.store(known.where("not seen").select("prefix", "context", "place.*"))
-        new = spark.table(fresh)
-        several = firsts.groupBy("prefix").agg(F.count("*").alias("n"))
-        shared = new.join(several.where("n > 1").select("prefix"), "prefix", "left_semi")
-        found = [shared]
-        for _, name in levels.tables:
-            found += [new.join(spark.table(name), "prefix", "left_semi"), spark.table(name).join(new, "prefix", "left_semi")]
-        for rows in found:
-            parts.append(written(rows.select("prefix", "key", "at"), "partial"))
-        levels.drop(run)
-        levels.tables.append((0, fresh))
-        release(spark)
-    levels.close()
-    union = lambda frames: frames[0] if len(frames) == 1 else union([a.unionByName(b) if b is not None else a for a, b in zip(frames[::2], [*frames[1::2], *[None] * (len(frames) % 2)], strict=True)])
-    return union(full), union(parts).distinct()
-
-
 def _window_hashes(kind: Minimizers, contexts: list[bytes], lefts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context and each offset of a window before the suffix: the window's hash, and whether the window exists."""
     reach, size = kind.length - kind.anchor, 2 * kind.length - kind.anchor
@@ -206,9 +238,9 @@ def _window_hashes(kind: Minimizers, contexts: list[bytes], lefts: np.ndarray) -
     return hashes, exists
 
 
-def _partial(spark: SparkSession, docs: DataFrame, parts: DataFrame, kind: Minimizers, most_contexts: int) -> DataFrame:
+def _partial(docs: DataFrame, parts: DataFrame, kind: Minimizers, most_contexts: int) -> DataFrame:
     """(key, begin, end): bytes covered by windows of partly matching contexts that occur earlier."""
-    reach = kind.length - kind.anchor
+    spark, reach = docs.sparkSession, kind.length - kind.anchor
     places = parts.groupBy("key").agg(F.collect_list(F.struct("prefix", "at")).alias("places"))
     asked = docs.join(places, "key").select("key", "text", F.col("places.prefix").alias("prefixes"), F.col("places.at").alias("ats"))
 
@@ -223,8 +255,8 @@ def _partial(spark: SparkSession, docs: DataFrame, parts: DataFrame, kind: Minim
     schema = "prefix long, key long, at int, bytes binary, left int"
     sizes = parts.groupBy("prefix").count()
     large = written(sizes.where(F.col("count") > most_contexts).select("prefix"), "large")
-    contexts = written(asked.mapInArrow(fetch, schema), "contexts")
-    release(spark)
+    store = Table(asked.mapInArrow(fetch, schema), "contexts")
+    contexts = store.df
     together = contexts.join(large, "prefix", "left_anti").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "prefix").sortWithinPartitions("prefix", "key", "at")
 
     def spans(keys: np.ndarray, ats: np.ndarray, repeat: np.ndarray) -> pa.RecordBatch:
@@ -276,27 +308,30 @@ def _partial(spark: SparkSession, docs: DataFrame, parts: DataFrame, kind: Minim
 
     small = together.mapInArrow(whole_groups, "key long, begin int, end int")
     if large.isEmpty():
-        return written(small, "spans")
+        spans_found = written(small, "spans")
+        store.drop()
+        return spans_found
     hashed = contexts.join(large, "prefix", "left_semi").mapInArrow(hash_windows, "prefix long, offset int, hash long, key long, at int")
     place = F.struct("key", "at")
     firsts = hashed.groupBy("prefix", "offset", "hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     begin = (F.col("at") + F.col("offset") - reach).cast("int")
     repeated = hashed.join(firsts, ["prefix", "offset", "hash"]).where(place != F.col("first")).select("key", begin.alias("begin"), (begin + kind.length).cast("int").alias("end"))
-    return written(small.unionByName(repeated), "spans")
+    spans_found = written(small.unionByName(repeated), "spans")
+    store.drop()
+    return spans_found
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, anchor: int = 24, batches: int = 4, most_contexts: int = 20_000) -> DataFrame:
     """One row per document: id, kept (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    kind = Minimizers(length, anchor)
     rows = keyed(docs, id_col, text_col)
-    full, parts = _scan(spark, rows, kind, batches)
-    spans = _partial(spark, rows, written(parts, "parts"), kind, most_contexts)
-    release(spark)
-    matched = full.select("key", F.greatest(F.col("at") - (length - anchor), F.lit(0)).alias("begin"), (F.col("at") + length).alias("end"))
-    covered = written(matched.unionByName(spans).groupBy("key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "covered")
-    release(spark)
+    index = SuffixIndex(length, anchor, most_contexts)
+    try:
+        matches = reduce(DataFrame.unionByName, [index.extend(batch) for batch in _batches(rows, batches)])
+        index.texts = rows
+        spans = index.full(matches).unionByName(index.partial())
+        covered = written(spans.groupBy("key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "covered")
+    finally:
+        index.close()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -318,5 +353,3 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(covered, "key", "left").select("id", "text", "begins", "ends")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
     return joined.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
-
-
