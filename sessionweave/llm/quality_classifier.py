@@ -8,7 +8,8 @@ The sample is at most `most_labelled` labelled rows (those whose hashed ids are
 
 Nulls and edge cases: a null or empty text has zero for each statistic and is scored like any other; labels that are null are not
 learnt from; a document with several labels counts once for each; without labels of both kinds all scores equal the labels'
-mean, 0.5 without any; repeated documents each give a row; an empty table gives no rows. The score reads the text alone.
+mean, 0.5 without any; repeated documents each give a row; an empty table gives no rows. The score reads the text alone; a column to
+carry that is named like a result is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices, small_batches
+from .common import as_bytes, slices, source_of
 
 #: (statistic index, whether above, threshold), all of which must hold.
 Rule = tuple[tuple[int, bool, float], ...]
@@ -63,16 +64,16 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
     return np.column_stack([out[n] for n in NAMES]).astype(np.float64)
 
 
-def statistics(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with one double more for each of STATISTICS."""
-    small_batches(docs.sparkSession)
+def statistics(docs: DataFrame, text_col: str, keep_text: bool = True) -> DataFrame:
+    """docs, with or without the text, and one double more for each of STATISTICS."""
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             found = statistics_of(as_bytes(part.column(text_col)))
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[:, k].copy()) for k in range(len(STATISTICS)))], names=[*part.schema.names, *STATISTICS])
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *(pa.array(found[:, k].copy()) for k in range(len(STATISTICS)))], names=[*(f.name for f in kept), *STATISTICS])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(s, T.DoubleType()) for s in STATISTICS)]))
+    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(s, T.DoubleType()) for s in STATISTICS)]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -189,13 +190,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null").where(~held_out("id"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(most_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    sample = statistics(texts, "text").drop("text").orderBy("id", "label", *STATISTICS).limit(most_labelled).toPandas()
+    sample = statistics(texts, "text", False).orderBy("id", "label", *STATISTICS).limit(most_labelled).toPandas()
     return RuleModel.fit(sample[list(STATISTICS)].to_numpy(np.float64), (sample["label"].to_numpy() > 0).astype(np.float64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", threshold: float = 0.3, most_labelled: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, held_out, score, predicted, and the columns to carry along, which may be the text."""
     model = fit_quality(docs, labels, id_col, text_col, label_id_col, label_col, most_labelled)
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("measured_text"), *(F.col(c) for c in carry))
-    scored = statistics(source, "measured_text").withColumn("score", model.column())
-    return scored.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)
+    source, name, carried = source_of(docs, id_col, text_col, carry, ("held_out", "score", "predicted"))
+    scored = statistics(source, "t", text_col in carry).withColumn("score", model.column())
+    return scored.select(*name, F.coalesce(held_out("i"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)
