@@ -70,14 +70,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Verdict, host and path prefix.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Hosts whose canonical URLs make up the list.
-LISTED_HOSTS = "(^|[.-])(casino|bets|poker|pills|loans)([.-]|$)"
+#: Names, domains and sections of the listed sites. The list has each section's first LISTED_PAGES pages.
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+LISTED_SECTIONS = ("en", "de", "fr", "es")
+LISTED_PAGES = 2000
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The block list, a table of its own whatever the pages are."""
+    each = lambda names: F.explode(F.array(*map(F.lit, names)))
+    sites = spark.range(LISTED_PAGES).select("id", each(LISTED_NAMES).alias("name")).select("*", each(LISTED_DOMAINS).alias("domain")).select("*", each(LISTED_SECTIONS).alias("section"))
+    return sites.select(F.format_string("https://www.%s.%s/%s/%d", "name", "domain", "section", "id").alias("url"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
-    return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(pages, listed_urls(spark), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,29 +168,42 @@ def _urls_sql() -> str:
     fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then" for _, h, p in ordered]
     rule = " ".join(f"{f} '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
     verdict = " ".join(f"{f} '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True))
+    words = lambda names: "unnest([" + ", ".join(f"'{n}'" for n in names) + "])"
     return rf"""with parts as (select page_id, {host} as host, {path} as path from pages),
     named as (select *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html)?/*$', '') as canonical from parts),
-    listed as (select distinct canonical from named where regexp_matches(host, '{LISTED_HOSTS}'))
+    listed as (select name || '.' || domain || '/' || section || '/' || id as canonical from (select unnest(range(0, {LISTED_PAGES})) as id) cross join (select {words(LISTED_NAMES)} as name)
+        cross join (select {words(LISTED_DOMAINS)} as domain) cross join (select {words(LISTED_SECTIONS)} as section))
     select page_id, host, path, case {rule} end as rule,
         case {verdict} when host <> '' and canonical in (select canonical from listed) then 'block' else 'allow' end as verdict from named"""
 
 
-def _substrings_sql(least_words: int = 14, most_words: int = 12) -> str:
-    pattern = substring_dedup.sentence_pattern(most_words)
-    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    return rf"""with docs as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '{pattern}') as s from documents),
-    bare as (select doc_id, list_transform(s, lambda x: trim(x, {space})) as b from docs),
-    pieces as (select doc_id, unnest(range(1, len(b) + 1)) as k, unnest(b) as piece, unnest(list_transform(b, lambda x: len(regexp_extract_all(x, '[^ 	
-
-]+')))) as words from bare),
-    longer as (select *, sum(words) over (partition by doc_id order by k) as upto, max(k) over (partition by doc_id) as last from pieces),
-    ends as (select a.doc_id, a.k, min(b.k) as e from longer a join longer b on a.doc_id = b.doc_id and b.k > a.k and b.k <= a.k + {least_words} where b.upto - a.upto + a.words >= {least_words} group by a.doc_id, a.k),
-    spans as (select doc_id, k, e, (select array_to_string(b[k:e], chr(10)) from bare where bare.doc_id = ends.doc_id) as span from ends),
-    later as (select doc_id, k, e from (select *, row_number() over (partition by span order by doc_id, k) as n from spans) where n > 1),
+def _substrings_sql(run: int = 3, least_words: int = 14, most_words: int = 12) -> str:
+    """Sentences come from a regular expression; of long ones, each word that has the least MD5 of some most_words neighbours ends a piece."""
+    space = r" \t\n\r\f\x0B"
+    sentence = rf"[{space}]*(?:[^{space}]*[^{space}.,;:!?|][ \t]+)*[^{space}]+[{space}]*"
+    word = rf"[{space}]*[^{space}]+[{space}]*"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""with docs as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '{sentence}') as s from documents),
+    said as (select doc_id, unnest(range(1, len(s) + 1)) as j, unnest(s) as sentence from docs),
+    split as (select doc_id, j, regexp_extract_all(sentence, '{word}') as w from said),
+    hashed as (select *, list_transform(w, lambda x: md5(trim(x, {blanks}))[:16]) as h from split),
+    ends as (select doc_id, j, w, case when len(w) <= {most_words} then [len(w)] else list_sort(list_distinct(list_append(
+        list_transform(range(1, len(w) - {most_words - 2}), lambda i: i - 1 + list_position(h[i:i + {most_words - 1}], list_min(h[i:i + {most_words - 1}]))), len(w)))) end as e from hashed),
+    parts as (select doc_id, j, unnest(range(1, len(e) + 1)) as i, unnest(list_transform(range(1, len(e) + 1), lambda i: array_to_string(w[(case when i = 1 then 0 else e[i - 1] end) + 1:e[i]], ''))) as raw,
+        unnest(list_transform(range(1, len(e) + 1), lambda i: e[i] - case when i = 1 then 0 else e[i - 1] end)) as words from ends),
+    pieces as (select doc_id, row_number() over (partition by doc_id order by j, i) as k, raw, trim(raw, {blanks}) as piece, words, count(*) over (partition by doc_id) as n,
+        sum(words) over (partition by doc_id order by j, i) as upto, sum(words) over (partition by doc_id) as total from parts),
+    near as (select a.doc_id, a.k, b.k as e, a.n, a.upto - a.words as before, b.upto as upto from pieces a join pieces b on a.doc_id = b.doc_id and b.k >= a.k + {run - 1} and b.k <= a.k + {max(run, least_words)}
+        where a.n >= {run} and a.total >= {least_words}),
+    fits as (select * from near where upto - before >= {least_words}),
+    spans as (select doc_id, k, min(e) as e from fits group by doc_id, k union select doc_id, max(k), e from fits group by doc_id, e
+        union select doc_id, 1, n from pieces where n < {run} or total < {least_words}),
+    lists as (select doc_id, list(piece order by k) as b from pieces group by doc_id),
+    said_spans as (select s.doc_id, k, e, array_to_string(b[k:e], chr(10)) as span from spans s join lists using (doc_id)),
+    later as (select doc_id, k, e from (select *, row_number() over (partition by span order by doc_id, k) as r from said_spans) where r > 1),
     gone as (select distinct doc_id, unnest(range(k, e + 1)) as k from later),
-    lost as (select doc_id, list(k) as ks from gone group by doc_id)
-    select doc_id, case when ks is null then text else array_to_string(list_transform(list_filter(range(1, len(s) + 1), lambda k: not list_contains(ks, k)), lambda k: s[k]), '') end as text,
-        len(s)::bigint as n_sentences, coalesce(len(ks), 0)::bigint as n_removed from docs left join lost using (doc_id)"""
+    left_over as (select p.doc_id, string_agg(raw, '' order by p.k) filter (where g.k is null) as kept, count(*) as n, count(g.k) as lost from pieces p left join gone g on g.doc_id = p.doc_id and g.k = p.k group by p.doc_id)
+    select d.doc_id, case when coalesce(lost, 0) = 0 then d.text else coalesce(kept, '') end as text, coalesce(n, 0)::bigint as n_sentences, coalesce(lost, 0)::bigint as n_removed from docs d left join left_over l on l.doc_id = d.doc_id"""
 
 
 def _warc_sql() -> str:
