@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 
 import corpus_pipeline
+import xxhash
 from sessionweave.llm import simhash, substring_dedup
 from sessionweave.operators import vectors
 
@@ -14,44 +17,59 @@ def test_unmarked_passage_is_found_at_every_shift(spark):
     passage = [f"p{i}" for i in range(60)]
     texts = [" ".join([f"x{shift}y{i}" for i in range(shift)] + passage + [f"z{shift}y{i}" for i in range(30)]) for shift in range(12)]
     docs = spark.createDataFrame(list(enumerate(["Start here. " + " ".join(passage) + " End.", *texts])), "doc_id long, text string")
-    found = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs, whole=True).collect()}
+    found = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs).collect()}
     assert found[0] == "Start here. " + " ".join(passage) + " End."
     for doc, text in enumerate(texts, 1):
         left = found[doc].split()
         assert not set(left) & set(passage[11:-11]) and [w for w in left if w not in passage] == [w for w in text.split() if w not in passage]
 
 
-def test_content_cuts_keep_every_byte_and_the_marks():
-    rnd = random.Random(3)
-    cutter, plain = substring_dedup.Spans(14, 12, whole=True), substring_dedup.Spans(14, 12)
+def sentences(text):
+    """By regular expression and plain loops: words up to a mark or line end, unmarked runs cut after the least of every 12 hashes."""
+    out = []
+    for sentence in re.findall(rb"\s*(?:\S*[^\s.,;:!?|][ \t]+)*\S+\s*", text):
+        words = re.findall(rb"\s*\S+\s*", sentence)
+        h = [hashlib.md5(w.strip()).digest()[:8] for w in words]
+        ends = sorted({min(range(i, i + 12), key=lambda j: (h[j], j)) + 1 for i in range(len(words) - 11)} | {len(words)}) if len(words) > 12 else [len(words)]
+        out += [b"".join(words[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    return out
+
+
+def random_text(rnd):
+    return "".join(rnd.choice(["a", "bc", "d.", "é,", "|", "x"]) + rnd.choice([" ", " ", "  ", "\t", "\n", " \n "]) for _ in range(rnd.randrange(80))).encode()
+
+
+def test_sentences_match_the_rule_and_keep_every_byte():
+    rnd, cutter = random.Random(3), substring_dedup.Spans(3, 14, 12)
     for _ in range(300):
-        text = "".join(rnd.choice(["a", "bc", "d.", "é,", "|"]) + rnd.choice([" ", " ", "  ", "\t", "\n", " \n "]) for _ in range(rnd.randrange(80))).encode()
-        pieces = cutter.sentences(text)
-        assert b"".join(pieces) == b"".join(plain.sentences(text)) and all(1 <= len(p.split()) <= 12 for p in pieces)
-    marked = b"  One two, three.\nfour \n five| six"
-    assert cutter.sentences(marked) == plain.sentences(marked)
+        texts = [random_text(rnd) for _ in range(3)]
+        wanted = [sentences(t) for t in texts]
+        assert [b"".join(w) for w in wanted] == [t if t.strip() else b"" for t in texts] and all(1 <= len(p.split()) <= 12 for w in wanted for p in w)
+        assert cutter.without(texts, [None, [1] if len(wanted[1]) > 1 else None, None], [None, [1], None]) == [
+            (texts[0], len(wanted[0]), 0), (b"".join(wanted[1][:1] + wanted[1][2:]), len(wanted[1]), 1) if len(wanted[1]) > 1 else (texts[1], len(wanted[1]), 0), (texts[2], len(wanted[2]), 0)]
 
 
 def test_tails_of_copies_and_passages_go(spark):
     """Copies lose everything and a passage between other texts loses all its sentences, down to the last short one."""
     copied = "One two three four five six, seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen. The end."
     docs = spark.createDataFrame([(1, copied), (2, copied), (3, f"Before. {copied} And after it."), (4, "Too short."), (5, "Too short."), (6, "Too short. Or not.")], "doc_id long, text string")
-    found = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs, whole=True).collect()}
+    found = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(docs).collect()}
     assert found == {1: copied, 2: "", 3: "Before. And after it.", 4: "Too short.", 5: "", 6: "Too short. Or not."}
 
 
-def test_spans_are_all_shortest_ones():
-    rnd = random.Random(5)
-    cutter = substring_dedup.Spans(14, 12, whole=True)
+def test_spans_are_all_runs_of_three_or_the_shortest_with_enough_words():
+    rnd, cutter = random.Random(5), substring_dedup.Spans(3, 14, 12)
     for _ in range(200):
-        text = " ".join(rnd.choice(["a", "b.", "c", "d", "e"]) for _ in range(rnd.randrange(60))).encode()
-        counts = [len(p.split()) for p in cutter.sentences(text)]
-        fits = {(a, b) for b in range(len(counts) + 1) for a in range(b - 1) if sum(counts[a:b]) >= 14}
+        texts = [random_text(rnd) for _ in range(3)]
+        text, first, n, digests = (list(x) for x in cutter.of(texts))
+        pieces = [p.strip() for p in sentences(texts[1])]
+        counts = [len(p.split()) for p in pieces]
+        fits = {(a, b) for b in range(len(counts) + 1) for a in range(b - 2) if sum(counts[a:b]) >= 14}
         wanted = {(a, min(b for x, b in fits if x == a)) for a, _ in fits} | {(max(a for a, x in fits if x == b), b) for _, b in fits}
-        if 0 < sum(counts) < 14:
+        if counts and (len(counts) < 3 or sum(counts) < 14):
             wanted = {(0, len(counts))}
-        found = [(k, k + n) for k, n, _ in cutter.of(text)]
-        assert len(found) == len(set(found)) and set(found) == wanted
+        found = [(a, a + k, d) for o, a, k, d in zip(text, first, n, digests, strict=True) if o == 1]
+        assert len(found) == len(wanted) and set(found) == {(a, b, xxhash.xxh3_128_digest(b"\n".join(pieces[a:b]))) for a, b in wanted}
 
 
 def test_null_and_repeated_ids_stay_or_go_by_their_texts(spark):
