@@ -1,10 +1,13 @@
 """From raw documents to packed training sequences.
 
 Each stage takes what the one before it kept: the quality classifier drops documents it rejects; of each group of SimHash near
-copies the one with the least id stays, if any has one; documents that a benchmark contaminates go; secrets are replaced in the texts that remain;
-and these are packed into sequences.
+copies the one with the least id stays, if any has one; documents that a benchmark contaminates go; secrets are replaced in the texts that
+remain; and these are packed into sequences.
 
 The near-copy stage keeps to the SimHash operator's own contract: fingerprints of three-word shingles, linked at two bits or fewer.
+
+Nulls and edge cases, in every stage: null texts count as empty, null and repeated ids are carried along and never decide alone; empty
+tables give no rows. `n_chars` is counted anew for texts that a stage changes.
 """
 
 from __future__ import annotations
@@ -30,16 +33,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id (nulls last), then fingerprint, then text.
+    """One document of each group of near copies: the one with the least id (nulls last), then fingerprint, then hash of the text.
 
-    Groups are of fingerprints, not of ids: where ids are null or repeat, each row stays or goes by its own text.
+    Groups are of fingerprints, not of ids: where ids are null or repeat, each row stays or goes by its own text. Rows get numbers of
+    their own as they are written; of equal rows any one stays.
     """
-    prints = written(simhash.fingerprints(docs, carry=("lang", "source", "n_chars")), "fingerprints")
-    order = F.struct(F.col("id").isNull().alias("unnamed"), "id")
-    distinct = prints.groupBy("fp").agg(F.min(order).alias("least"))
-    best = distinct.join(simhash.groups(prints), "fp").groupBy("group").agg(F.min(F.struct("least", "fp")).alias("best")).select(F.col("best.fp").alias("fp"))
-    row = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("doc_id"), *CARRIED)
-    return prints.join(best, "fp", "left_semi").groupBy("fp").agg(F.min(row).alias("kept")).select(*(F.col(f"kept.{c}").alias(c) for c in COLUMNS))
+    prints = written(simhash.fingerprints(docs, carry=("lang", "source", "n_chars")).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp", F.xxhash64("text").alias("h"), "row")
+    least = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    kept = least.join(simhash.groups(prints), "fp").groupBy("group").agg(F.min("least").alias("least")).select("least.row")
+    return prints.join(kept, "row", "left_semi").select(F.col("id").alias("doc_id"), *CARRIED)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
