@@ -32,7 +32,7 @@ def stripped(text: Column) -> Column:
 
 def clean_transcript(text: Column) -> Column:
     """Without pause tokens, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\bsp\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\bsp\b", " "), SPACE, " "))
 
 
 def mean_length(words: Column) -> Column:
@@ -111,22 +111,34 @@ def mean_dependency_distance(parse: Column) -> Column:
     return bound(parse, of)
 
 
-def dependency_depth(parse: Column, most_depth: int = 64) -> Column:
-    """The longest chain of heads from tokens that aren't space or punctuation; chains stop at a root or at most_depth.
+def dependency_depth(parse: Column) -> Column:
+    """The longest chain of heads from tokens that aren't space or punctuation, up to a root (a token that is its own head).
 
-    Heads are followed for all tokens at once: each round moves every token to its head and counts whether any moved.
+    Heads are followed for all tokens at once, twice as far in every round, so that a text of n tokens takes log2(n) rounds. A chain
+    that runs into a circle counts the distinct tokens on it; only such parses, which aren't trees, take a slow way.
     """
 
     def of(p: Column) -> Column:
-        first = F.struct(F.transform(_real(p), lambda t: t["i"]).alias("at"), F.lit(0).alias("depth"), F.transform(p, lambda t: t["head"]).alias("heads"))
+        heads = F.transform(p, lambda t, i: F.when((t["head"] >= 0) & (t["head"] < F.size(p)), t["head"]).otherwise(i).cast("int"))
+        first = F.struct(heads.alias("up"), F.transform(heads, lambda h, i: (h != i).cast("int")).alias("steps"))
 
-        def climb(state: Column, _: Column) -> Column:
-            above = lambda i: F.coalesce(F.get(state["heads"], i), i)
-            moved = F.exists(state["at"], lambda i: above(i) != i)
-            return F.struct(F.transform(state["at"], above).alias("at"), (state["depth"] + moved.cast("int")).alias("depth"), state["heads"].alias("heads"))
+        def double(s: Column, _: Column) -> Column:
+            further = F.zip_with(s["steps"], s["up"], lambda n, h: n + F.get(s["steps"], h))
+            return F.struct(F.transform(s["up"], lambda h: F.get(s["up"], h)).alias("up"), further.alias("steps"))
 
-        depth = F.aggregate(F.sequence(F.lit(1), F.least(F.size(p), F.lit(most_depth))), first, climb)["depth"]
-        return F.when(F.size(_real(p)) > 1, depth).otherwise(F.lit(0))
+        def longest(hs: Column) -> Column:
+            def walk(i: Column) -> Column:
+                begin = F.struct(i.alias("at"), F.array().cast("array<int>").alias("seen"))
+                step = lambda s, _: F.when(F.array_contains(s["seen"], s["at"]), s).otherwise(F.struct(F.get(hs, s["at"]).alias("at"), F.array_append(s["seen"], s["at"]).alias("seen")))
+                return F.size(F.aggregate(F.sequence(F.lit(1), F.size(hs)), begin, step)["seen"])
+
+            def ended(s: Column) -> Column:
+                root = lambda i: F.get(hs, F.get(s["up"], i)) == F.get(s["up"], i)
+                return F.array_max(F.transform(_real(p), lambda t: F.when(root(t["i"]), F.get(s["steps"], t["i"])).otherwise(walk(t["i"].cast("int")))))
+
+            return bound(F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(p)))), first, double), ended)
+
+        return F.when(F.size(_real(p)) > 1, bound(heads, longest)).otherwise(F.lit(0))
 
     return bound(parse, of)
 

@@ -1,8 +1,8 @@
 """Alignment of timestamped words with labelled intervals.
 
-Both sides are joined on their source and the overlap condition, so Spark shuffles by source. Sources that are long enough to skew
-the join can be cut into time buckets (`bucket_seconds`): a label enters every bucket it touches, a word each of its own, and the
-pair is kept in the first bucket both touch, so no pair is lost or doubled.
+Both sides are cut into buckets of time and joined on source and bucket, so that a long source is neither one task nor a product of all
+its labels and words: a label enters every bucket it touches, a word each of its own, and the pair is kept in the first bucket both
+touch, so no pair is lost or doubled. By default a bucket is as long as the mean label, which makes two entries a label at most on average.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PAUSE_TOKEN
+from ..functions.missing import is_finite
+from ..functions.text import PAUSE_TOKEN, stripped
 
 
 def spoken(words: DataFrame) -> DataFrame:
     """Words that aren't pauses, whatever their case and surrounding space."""
-    return words.where(F.lower(F.trim("word")) != PAUSE_TOKEN)
+    return words.where(F.lower(stripped(F.col("word"))) != PAUSE_TOKEN)
 
 
 def common_sources(labels: DataFrame, words: DataFrame) -> DataFrame:
@@ -33,14 +34,14 @@ def align_words(labels: DataFrame, words: DataFrame, bucket_seconds: float | Non
     base = common_sources(labels, words)
     overlaps = (F.col("we") > F.col("start")) & (F.col("ws") < F.col("end"))
     if bucket_seconds is None:
-        met = base.join(said.withColumnRenamed("source_id", "word_source"), (F.col("source_id") == F.col("word_source")) & overlaps, "left")
-    else:
-        bucket = lambda t: F.floor(F.col(t) / bucket_seconds)
-        spread = lambda a, b: F.explode(F.sequence(bucket(a), F.greatest(bucket(a), bucket(b))))
-        many, parts = base.withColumn("bucket", spread("start", "end")), said.withColumn("bucket", spread("ws", "we"))
-        first = F.col("bucket") == F.greatest(bucket("start"), bucket("ws"))
-        found = many.join(parts, ["source_id", "bucket"]).where(overlaps & first).select("source_id", "label_idx", "ws", "we", "pos", "word")
-        met = base.join(found, ["source_id", "label_idx"], "left")
+        length = F.col("end") - F.col("start")
+        bucket_seconds = labels.where(is_finite(length) & (length > 0)).agg(F.avg(length)).first()[0] or 1.0
+    bucket = lambda t: F.floor(F.col(t) / bucket_seconds)
+    spread = lambda a, b: F.explode(F.sequence(bucket(a), F.greatest(bucket(a), bucket(b))))
+    many, parts = base.withColumn("bucket", spread("start", "end")), said.withColumn("bucket", spread("ws", "we"))
+    first = F.col("bucket") == F.greatest(bucket("start"), bucket("ws"))
+    found = many.join(parts, ["source_id", "bucket"]).where(overlaps & first).select("source_id", "label_idx", "ws", "we", "pos", "word")
+    met = base.join(found, ["source_id", "label_idx"], "left")
     kept = labels.columns
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("ws", "pos", "word")))), lambda w: w["word"]), " ")
     keys = ["source_id", "label_idx"]

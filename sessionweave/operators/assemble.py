@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_finite
-from ..functions.text import preview
+from ..functions.text import dependency_depth, lexical_tokens, mean_dependency_distance, mean_length, msttr, preview, stripped, tokens
 from .validate import error_array
 
 KEYS = ["segment_id", "label_idx"]
@@ -139,6 +139,40 @@ def display_speech(s: Column) -> Column:
     return F.struct(F.coalesce(s["status"], F.lit(ABSENT)).alias("status"), *(F.when(up, c).alias(n) for n, c in shown.items()))
 
 
+def display_facial(f: Column) -> Column:
+    up = f["status"] == "available"
+    shown = {
+        "face_coverage_percent": F.round(f["face_coverage_percent"], 6), "blink_count": f["blink_count"], "blink_rate_per_minute": F.round(f["blink_rate_per_minute"], 6),
+        "openface_status": F.coalesce(f["openface"]["status"], F.lit("not_run")), "au_count": F.coalesce(F.size(f["au_statistics"]), F.lit(0)),
+    }
+    return F.struct(F.coalesce(f["status"], F.lit(ABSENT)).alias("status"), *(F.when(up, c).alias(n) for n, c in shown.items()))
+
+
+#: The speech features that a screen shows.
+SUMMARY = ("f0_mean", "f0_std", "speaking_rate_wps", "jitter_local", "shimmer_local", "hnr_mean", "pause_count", "pause_total_duration", "rms_mean", "spectral_centroid_mean", "mfcc_1_mean", "mfcc_2_mean")
+
+
+def speech_summary(features: Column) -> Column:
+    """Twelve of the features, rounded; what is missing or NaN is NULL."""
+    value = lambda n: F.when(~F.isnan(F.element_at(features, n)), F.round(F.element_at(features, n), 5))
+    return F.struct(*(value(n).alias(n) for n in SUMMARY))
+
+
+def demo_text(transcript: Column, parse: Column | None = None) -> Column:
+    """What a live transcript shows: surface measures, and markers for what isn't computed live. Nothing but the status when empty."""
+    clean = stripped(transcript)
+    words = tokens(clean)
+    up = F.length(F.coalesce(clean, F.lit(""))) > 0
+    undone = F.struct(F.lit("not_computed").alias("status"))
+    shown = {
+        "transcript_length": F.length(clean), "word_count": F.size(words), "avg_word_length": mean_length(words), "msttr_10": msttr(lexical_tokens(clean)),
+        "dependency_tree_depth": F.lit(None).cast("int") if parse is None else dependency_depth(parse),
+        "avg_dependency_distance": F.lit(None).cast("double") if parse is None else mean_dependency_distance(parse),
+        "labse_embedding": undone, "sentiment_normalized": undone,
+    }
+    return F.struct(F.when(up, "available").otherwise("unavailable").alias("status"), F.lit("live_inference").alias("source"), *(F.when(up, c).alias(n) for n, c in shown.items()))
+
+
 def as_json(record: Column) -> Column:
     """JSON with nulls written out. NaN and infinities must have been made NULL before."""
     return F.to_json(record, {"ignoreNullFields": "false"})

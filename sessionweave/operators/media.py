@@ -37,8 +37,14 @@ def pair_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None
     """(segment_id, label_idx, local_video_id, chronological_rank) of the manifest rows that have a file.
 
     Where a source has as many files as rows, the i-th row by time takes the i-th file by number; elsewhere only exceptions pair
-    them. With `check`, exceptions must name rows and files that exist, of sources whose counts differ, and file numbers be numbers.
+    them. With `check`, file ids must be numbers, none twice in a source ("1" and "01" are one), manifest keys unique, and exceptions name
+    rows and files that exist, of sources whose counts differ.
     """
+    if check:
+        numbers = raw.select("segment_id", numeric_id(F.col("local_video_id")).alias("number"))
+        require_empty(numbers.where("number is null"), "file ids that aren't numbers")
+        require_unique(numbers, ["segment_id", "number"])
+        require_unique(manifest, ["segment_id", "label_idx"])
     rows = manifest.withColumn("rank", F.row_number().over(Window.partitionBy("segment_id").orderBy("start", "end", "label_idx")) - 1)
     files = raw.withColumn("number", numeric_id(F.col("local_video_id")))
     files = files.withColumn("rank", F.row_number().over(Window.partitionBy("segment_id").orderBy("number", "local_video_id")) - 1)
@@ -47,12 +53,9 @@ def pair_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None
     keys = ["segment_id", "rank"]
     equal = rows.join(files.select(*keys, "local_video_id", "files"), keys).where(F.col("rows") == F.col("files")).select("segment_id", "label_idx", "local_video_id", F.col("rank").alias("chronological_rank"))
     if exceptions is None:
-        if check:
-            require_empty(files.where("number is null"), "file ids that aren't numbers")
         return equal
     named = exceptions.select("segment_id", "label_idx", "local_video_id")
     if check:
-        require_empty(files.where("number is null"), "file ids that aren't numbers")
         require_unique(named, ["segment_id", "label_idx"])
         require_unique(named, ["segment_id", "local_video_id"])
         require_empty(named.join(manifest, ["segment_id", "label_idx"], "left_anti"), "exceptions without a manifest row")

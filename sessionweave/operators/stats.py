@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def right_closed_bin(value: Column, edges: list[float], labels: list[str], include_lowest: bool = False) -> Column:
     """The label of the bin (a, b] that holds value, the first bin also holding its lower edge on request; NULL outside."""
@@ -20,9 +23,11 @@ def right_closed_bin(value: Column, edges: list[float], labels: list[str], inclu
 
 def bin_table(df: DataFrame, bin_col: str, labels: list[str], value: str, flag: Column | None = None) -> DataFrame:
     """A row for every label, empty ones too: count, share in percent, mean, deviation, median, and the share of flag."""
-    extra = [] if flag is None else [F.avg(flag.cast("double")).alias("flag_share")]
-    x = F.col(value)
-    found = df.where(F.col(bin_col).isNotNull()).groupBy(bin_col).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.median(x).alias("median"), *extra)
+    extra = [] if flag is None else [F.avg(F.col("flag").cast("double")).alias("flag_share")]
+    narrow = [bin_col, F.col(value).cast("double").alias("x")] + ([] if flag is None else [flag.alias("flag")])
+    rows = staged(df.where(F.col(bin_col).isNotNull()).select(*narrow))
+    median = grouped_quantiles(rows, [bin_col], "x", [0.5]).select(bin_col, F.col("value").alias("median"))
+    found = rows.groupBy(bin_col).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), *extra).join(F.broadcast(median), bin_col, "left")  # a row per label
     order = df.sparkSession.createDataFrame([(name, k) for k, name in enumerate(labels)], f"{bin_col} string, ordinal int")
     full = F.broadcast(order).join(found, bin_col, "left").na.fill(0, ["n"])
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # one row per label
@@ -43,18 +48,36 @@ def _folded(df: DataFrame, columns: list[str], stats) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, count, mean, std (sample), min, exact quartiles, max."""
+    rows = staged(df.select(*(F.col(c).cast("double").alias(c) for c in columns)))
+    stats = lambda x: [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    found = grouped_quantiles(unpivoted(rows, columns), ["feature"], "value", [0.25, 0.5, 0.75])
+    wide = found.groupBy("feature").agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"q{round(100 * p)}") for p in (0.25, 0.5, 0.75)))
+    return _folded(rows, columns, stats).join(F.broadcast(wide), "feature", "left").select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
 
-    def stats(x: Column) -> list[Column]:
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max")]
+def grouped_quantiles(df: DataFrame, groups: list[str], column: str, at: list[float]) -> DataFrame:
+    """(groups, p, value), exact and linearly interpolated; groups without values are left out.
 
-    return _folded(df, columns, stats)
+    Distinct values are counted and dealt by ranges; their ranks come from the ranges' sums, and only the values at the wanted ranks
+    are looked up. No task holds all values of a group.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = staged(counts.repartitionByRange(*groups, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*groups, "_part").agg(F.sum("_n").alias("_m"))  # a row per partition and group in it
+    inside = Window.partitionBy(*(groups or [F.lit(1)]))
+    base = sums.select(*groups, "_part", F.coalesce(F.sum("_m").over(inside.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_m").over(inside).alias("_total"))
+    above = Window.partitionBy(*groups, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.col("_base") + F.coalesce(F.sum("_n").over(above), F.lit(0))
+    ranked = dealt.join(base, [*groups, "_part"]).withColumn("_low", low)
+    asked = ranked.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in at)))).withColumn("_place", F.col("p") * (F.col("_total") - 1))
+    holds = lambda rank: F.when((F.col("_low") <= rank) & (rank < F.col("_low") + F.col("_n")), F.col("_v"))
+    found = asked.groupBy(*groups, "p").agg(F.max(holds(F.floor("_place"))).alias("_a"), F.max(holds(F.ceil("_place"))).alias("_b"), F.max("_place").alias("_place"))
+    return found.select(*groups, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_place") - F.floor("_place"))).alias("value"))
 
 
 def quantiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
-    """(p, value), linearly interpolated."""
-    ps = F.array(*map(F.lit, at))
-    return df.agg(F.percentile(F.col(column), ps).alias("q")).select(F.explode(F.arrays_zip(ps.alias("p"), "q")).alias("z")).select(F.col("z.p").alias("p"), F.col("z.q").alias("value"))
+    """(p, value), exact and linearly interpolated."""
+    return grouped_quantiles(df.select(F.col(column).cast("double").alias(column)), [], column, at)
 
 
 def variances(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,9 +95,10 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, percent rounded to 3 places) by value; the window runs over the distinct values only."""
+    """(value, n, percent rounded to 3 places) by value."""
     counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counted.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 3)).orderBy("value")
+    total = counted.agg(F.sum("n").alias("total"))  # one row
+    return counted.crossJoin(F.broadcast(total)).select("value", "n", F.round(F.col("n") * 100.0 / F.col("total"), 3).alias("percent")).orderBy("value")
 
 
 def differences(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -96,8 +120,7 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     Ranks come from the counts of distinct values, which are summed up by ranges of values, so that no window spans all rows.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    dealt = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    dealt = dealt.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else dealt.persist()
+    dealt = staged(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))  # a row per partition
     inner = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +131,7 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(rho, n) over the rows where both are present."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = staged(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")))
     return average_ranks(average_ranks(rows, "a", "ra"), "b", "rb").agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
 
 
@@ -169,3 +192,41 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     held = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(F.least(F.floor((F.col(column) - F.col("low")) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     every = edges.select("low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return every.join(held, "bin", "left").select("bin", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """n rows by the hash of seed and keys: the same ones however the rows are laid out, and nested as n grows."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def by_availability(df: DataFrame, column: str, value: str) -> DataFrame:
+    """(available, n, mean, std, min, max) of value among the rows with and without column."""
+    x = F.col(value).cast("double")
+    return df.groupBy(F.col(column).isNotNull().alias("available")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+def first_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Duplicates of keys dropped: the row that is least by order stays; with partial aggregation, so a hot key is no bottleneck."""
+    rest = [c for c in df.columns if c not in keys]
+    least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order, *(c for c in rest if c not in order))).alias("row"))
+    return least.select(*keys, "row.*").select(*df.columns)
+
+
+def unique_values(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values in order, without NULL."""
+    return df.select(F.col(column).alias("value")).where("value is not null").distinct().orderBy("value")
+
+
+def token_differences(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(difference, n) of two token counts, by difference."""
+    return df.groupBy((F.col(a) - F.col(b)).alias("difference")).agg(F.count("*").alias("n")).orderBy("difference")
+
+
+def p_value(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation as correlation_p_value; for tables of few correlations."""
+
+    @F.pandas_udf("double")
+    def found(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else correlation_p_value(float(a), int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")
+
+    return found(r, n)

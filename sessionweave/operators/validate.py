@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_errors
-from ..functions.missing import is_finite
+from ..functions.missing import is_finite, is_positive
+from ..functions.text import stripped
 
 
 class ContractError(ValueError):
@@ -75,7 +76,7 @@ def feature_table_rules(dimensions: int = 768, strict: bool = False) -> dict[str
         rules[c] = is_finite(F.col(c)) & (F.col(c) >= 0)
     rules["msttr_10"] = F.col("msttr_10").isNull() | (is_finite(F.col("msttr_10")) & F.col("msttr_10").between(0, 1))
     if strict:
-        rules["text"] = F.length(F.trim("text")) > 0
+        rules["text"] = F.length(stripped(F.col("text"))) > 0
     return rules
 
 
@@ -97,7 +98,11 @@ def speech_errors(features: Column, quality: Column, intervals: Column | None =
 
 
 def video_errors(summary: DataFrame, frames: DataFrame) -> DataFrame:
-    """(session_id, passed, errors) from session summaries and their frames."""
+    """(session_id, passed, errors) from session summaries and their frames.
+
+    Checked besides, where the summary has them: fps, quality_indicator (struct metric, value), every column named ear_*, gaze_* or
+    pitch_*, yaw_*, roll_* of type double, segment_id and label_idx (may be absent but not empty), openface_status.
+    """
     detected = F.col("face_detected") == 1
     gaps = [F.count_if(detected & ~is_finite(F.col(c))).alias(f"bad_{c}") for c in ("ear", "pitch", "yaw", "roll", "gaze")]
     counted = frames.groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("frame_index").alias("distinct"), F.count_if(~F.col("face_detected").isin(0, 1)).alias("flags"), *gaps)
@@ -109,13 +114,24 @@ def video_errors(summary: DataFrame, frames: DataFrame) -> DataFrame:
         **{f"{c} isn't finite on a detected frame": F.col(f"bad_{c}") > 0 for c in ("ear", "pitch", "yaw", "roll", "gaze")},
         "coverage outside [0, 100]": ~F.coalesce(F.col("face_coverage_percent").between(0, 100), F.lit(False)),
     }
+    has = set(summary.columns)
+    if "fps" in has:
+        errors["fps isn't positive"] = ~is_positive(F.col("fps"))
+    if "quality_indicator" in has:
+        q = F.col("quality_indicator")
+        errors["quality indicator is wrong"] = ~F.coalesce((q["metric"] == "face_detection_coverage_percent") & is_finite(q["value"]), F.lit(False))
+    measured = [f.name for f in summary.schema if f.dataType.typeName() == "double" and f.name.split("_")[0] in ("ear", "gaze", "pitch", "yaw", "roll")]
+    errors |= {f"{c} is infinite": F.col(c).isNotNull() & ~F.isnan(c) & ~is_finite(F.col(c)) for c in measured}
+    errors |= {f"{c} is empty": F.col(c).cast("string") == "" for c in ("segment_id", "label_idx") if c in has}
+    if "openface_status" in has:
+        errors["openface status isn't explicit"] = ~F.coalesce(F.col("openface_status").isin("success", "failed", "unavailable", "not_run"), F.lit(False))
     found = summary.join(counted, "session_id", "left").withColumn("errors", error_array(errors))
     return found.select("session_id", (F.size("errors") == 0).alias("passed"), "errors")
 
 
 def common_record_errors() -> Column:
     """Errors of the modality record that all modalities share."""
-    given = lambda c: F.length(F.coalesce(F.trim(F.col(c)), F.lit(""))) > 0
+    given = lambda c: F.length(F.coalesce(stripped(F.col(c)), F.lit(""))) > 0
     named = {f"{c} is empty": ~given(c) for c in ("participant_id", "session_id", "modality", "source_dataset", "feature_version")}
     return error_array({
         **named,

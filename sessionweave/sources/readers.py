@@ -21,12 +21,14 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return require_columns(df, columns).select(*columns) if columns else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None) -> DataFrame:
-    """CSV with a header in any column order; columns of the schema that aren't required may be absent and are NULL then."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """CSV with a header in any column order; columns of the schema that aren't required may be absent and are NULL then. A cell
+    that is not of its column's type is NULL, or with `strict` fails the read."""
     header = spark.read.option("header", True).csv(path).columns
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path).toDF(*(c.strip().lstrip("﻿") for c in header))
     require_columns(raw, list(schema.names if required is None else required))
-    return raw.select(*((F.col(f.name) if f.name in raw.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema))
+    typed = lambda c, f: c.cast(f.dataType) if strict else c.try_cast(f.dataType)
+    return raw.select(*(typed(F.col(f.name) if f.name in raw.columns else F.lit(None), f).alias(f.name) for f in schema))
 
 
 def read_action_units(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +59,7 @@ def list_media(spark: SparkSession, path: str, pattern: str = "*.mp4") -> DataFr
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("video_path"))
     root = "/" + path.split("://")[-1].strip("/") + "/"
-    inner = F.substring_index(F.col("video_path"), root, -1)
+    inner = F.substr(F.col("video_path"), F.locate(root, F.col("video_path")) + len(root))  # the first place: the name may recur below
     parts = F.split(inner, "/")
     return listed.where(F.size(parts) >= 2).select(parts[0].alias("segment_id"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("local_video_id"), "video_path").orderBy("video_path")
 

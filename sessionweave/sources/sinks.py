@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 import time
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +35,10 @@ def save_records(records: DataFrame, path: str) -> None:
     records.select(as_json(F.struct(*records.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def save_metadata(path: str, began: float, counts: dict[str, int], features: list[str], artifacts: dict[str, str]) -> dict:
-    """Run metadata as JSON beside the artifacts."""
+def save_metadata(spark: SparkSession, path: str, began: float, counts: dict[str, int], features: list[str], artifacts: dict[str, str]) -> dict:
+    """Run metadata as JSON beside the artifacts, in whatever store holds them."""
     said = {"counts": counts, "features": features, "artifacts": artifacts, "runtime_seconds": time.time() - began}
-    Path(path).write_text(json.dumps(said, indent=2))
+    spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return said
 
 

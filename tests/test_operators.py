@@ -263,3 +263,73 @@ def test_streaming_state_equals_batch(spark):
         s = streamed.loc[r["frame_index"]]
         assert (s["blink"], s["cumulative_blinks"], s["gaze_label"]) == (r["blink"], r["cumulative_blinks"], r["gaze_label"])
         assert pd.isna(s["gaze_smooth"]) if r["gaze_smooth"] is None else math.isclose(s["gaze_smooth"], r["gaze_smooth"])
+
+
+def test_depth_follows_heads_without_a_limit(spark):
+    """Chains, circles and forests against the plain rule: steps to a root, or distinct tokens before one repeats."""
+    rnd = random.Random(3)
+    parses = [[max(i - 1, 0) for i in range(n)] for n in (1, 2, 100, 300)] + [[1, 2, 0, 2, 3], [1, 0], [0, 0, 3, 2]]
+    parses += [[rnd.randrange(n) for _ in range(n)] for n in (rnd.randrange(2, 12) for _ in range(150))]
+    rows = [(k, [{"i": i, "head": h, "is_space": False, "is_punct": i % 5 == 4} for i, h in enumerate(p)]) for k, p in enumerate(parses)]
+    df = spark.createDataFrame(rows, "k int, parse array<struct<i:int,head:int,is_space:boolean,is_punct:boolean>>")
+    found = {r[0]: r[1] for r in df.select("k", X.dependency_depth(F.col("parse"))).collect()}
+
+    def depth(p, i):
+        seen = []
+        while p[i] != i and i not in seen:
+            seen.append(i)
+            i = p[i]
+        return len(seen)
+
+    for k, p in enumerate(parses):
+        real = [i for i in range(len(p)) if i % 5 != 4]
+        assert found[k] == (max(depth(p, i) for i in real) if len(real) > 1 else 0), p
+
+
+def test_exact_quantiles_by_group(spark):
+    import numpy as np
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice("abc"), rnd.choice([None, 1.0, 2.0, 2.0, rnd.random()])) for _ in range(500)] + [("d", None), ("e", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    found = {(r["g"], r["p"]): r["value"] for r in stats.grouped_quantiles(df, ["g"], "x", [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    wanted = {(g, p): np.quantile([x for h, x in rows if h == g and x is not None], p) for g in "abce" for p in (0.0, 0.1, 0.5, 0.99, 1.0)}
+    assert set(found) == set(wanted) and all(math.isclose(found[k], wanted[k]) for k in wanted)
+
+
+def test_pauses_with_any_white_space_are_no_words(spark):
+    words = spark.createDataFrame([("s", 0, 0.0, 1.0, "a"), ("s", 1, 0.0, 1.0, "sp\n"), ("s", 2, 0.0, 1.0, " SP")], "source_id string, pos int, start double, end double, word string")
+    assert [r["word"] for r in align.spoken(words).collect()] == ["a"]
+    assert spark.createDataFrame([("a sp  b",)], "t string").select(X.clean_transcript(F.col("t"))).first()[0] == "a b"
+
+
+def test_doubled_files_and_manifest_keys_are_refused(spark):
+    manifest = spark.createDataFrame([("s", 0, 0.0, 1.0), ("s", 1, 1.0, 2.0)], "segment_id string, label_idx int, start double, end double")
+    raw = spark.createDataFrame([("s", "1"), ("s", "01")], "segment_id string, local_video_id string")
+    with pytest.raises(validate.ContractError):
+        media.pair_media(manifest, raw)
+    with pytest.raises(validate.ContractError):
+        media.pair_media(manifest.unionByName(manifest), raw.where("local_video_id = '1'"))
+
+
+def test_neighbours_in_many_blocks_are_the_same(spark):
+    rnd = random.Random(5)
+    rows = spark.createDataFrame([(k, [rnd.gauss(0, 1) for _ in range(4)] if k % 9 else [1.0, 0.0, 0.0, 0.0]) for k in range(120)], "id long, v array<double>")
+    asked = rows.where("id % 20 = 0")
+    key = lambda df: sorted((r["query"], r["rank"], r["neighbour"]) for r in df.collect())
+    assert key(vectors.nearest(asked, rows, "id", "v")) == key(vectors.nearest(asked, rows, "id", "v", query_parts=3, corpus_parts=7))
+    assert vectors.cosine_pairs(asked, rows, "id", "v", query_parts=2, corpus_parts=3).count() == 6 * 119
+
+
+def test_media_below_a_folder_of_the_same_name(spark, tmp_path):
+    (tmp_path / "m" / "s1" / "m").mkdir(parents=True)
+    (tmp_path / "m" / "s1" / "m" / "1.mp4").write_bytes(b"x")
+    assert [(r[0], r[1]) for r in readers.list_media(spark, str(tmp_path / "m")).collect()] == [("s1", "1")]
+
+
+def test_metadata_and_sample(spark, tmp_path):
+    sinks.save_metadata(spark, f"file://{tmp_path}/meta", 0.0, {"rows": 3}, ["a"], {})
+    assert json.loads(spark.read.text(f"file://{tmp_path}/meta").first()[0])["counts"] == {"rows": 3}
+    df = spark.range(1000)
+    ten = {r[0] for r in stats.sample(df.repartition(7), 10, ["id"]).collect()}
+    assert ten == {r[0] for r in stats.sample(df, 10, ["id"]).collect()} and ten < {r[0] for r in stats.sample(df, 20, ["id"]).collect()}
