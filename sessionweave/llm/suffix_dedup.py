@@ -12,8 +12,9 @@ all its partitions; entries of one prefix, however many, spread over several.
 
 Documents arrive in batches by key (`SuffixIndex.add`). Copies within a batch are folded, with partial aggregation. The batch's array is
 merged with those of the existing levels in sorted order, and neighbours are compared: an entry whose neighbour from a level
-agrees in prefix and context matches in full. The contexts that are new become a level of the smallest size, and then levels of equal
-size merge until all sizes differ, so that a batch meets a logarithmic number of levels. The index stays open for further batches.
+agrees in prefix and context matches in full. The contexts that are new become a level of the smallest size, and levels of equal
+size merge until all sizes differ, so that a batch meets a logarithmic number of levels; as the batch's scan goes through all of them in
+order anyway, the merged level is what the scan puts out. The index stays open for further batches.
 
 Suffixes that share a prefix but not the context match in part. Only their contexts' bytes are fetched; within a prefix the windows
 through it are compared at each offset, in sorted order, the first place of each window staying. A prefix with more contexts than
@@ -123,7 +124,8 @@ def _suffixes(docs: DataFrame, kind: Minimizers) -> DataFrame:
 
 
 def _neighbours(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A merge scan: of rows sorted by `order`, then by `old` first, gives those that aren't old, and whether the row before is alike."""
+    """A merge scan: rows sorted by `order`, then from older to newer levels and the batch (0) last, with whether the row before is
+    alike; those of levels that don't merge (-1) are left out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -136,9 +138,8 @@ def _neighbours(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 same &= x == np.concatenate([[x[0] if last is None else last[k]], x[:-1]])
             same[0] &= last is not None
             last = [batch.column(c)[-1].as_py() for c in order]
-            new = np.flatnonzero(~batch.column("old").to_numpy(zero_copy_only=False))
-            kept = batch.take(pa.array(new))
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in [*order, "key", "at", "n"]), pa.array(same[new])], names=[*order, "key", "at", "n", "seen"])
+            kept = np.flatnonzero(batch.column("level").to_numpy() >= 0)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept)).columns, pa.array(same[kept])], names=[*batch.schema.names, "seen"])
 
     return scan
 
@@ -153,11 +154,9 @@ class SuffixIndex:
         self.texts: DataFrame | None = None
         self.last_key: int | None = None
 
-    def _sorted(self, rows: DataFrame, *more: F.Column) -> DataFrame:
-        return rows.repartitionByRange(*self.order).sortWithinPartitions(*self.order, *more)
-
-    def _entries(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, (level.df for _, level in self.levels))
+    def _entries(self, level: Table) -> DataFrame:
+        """(order, key, at) of the contexts that were new in the level's scan, or came from the levels that it merged."""
+        return level.df.where("level > 0 or not seen").select(*self.order, "key", "at")
 
     def extend(self, docs: DataFrame) -> DataFrame:
         """Indexes a batch (key, text); gives its places (key, at) whose context was seen earlier."""
@@ -167,34 +166,29 @@ class SuffixIndex:
         self.last_key = keys[1] if keys[1] is not None else self.last_key
         self.texts = docs if self.texts is None else self.texts.unionByName(docs)
         own = Table(_suffixes(docs, self.kind), "suffixes")
-        folded = Table(own.df.groupBy(*self.order).agg(F.min(F.struct("key", "at")).alias("place"), F.count("*").alias("n")).select(*self.order, "place.*", "n", F.lit(False).alias("old")), "folded")
-        rows = folded.df
-        if self.levels:
-            rows = rows.unionByName(self._entries().withColumns({"n": F.lit(0).cast("long"), "old": F.lit(True)}))
-        schema = ", ".join(f"{c} long" for c in self.order) + ", key long, at int, n long, seen boolean"
-        run = Table(self._sorted(rows, F.desc("old")).mapInArrow(_neighbours(self.order), schema), "run")
-        met = run.df.where("seen or n > 1").select(*self.order, "seen", F.struct("key", "at").alias("place"))
+        folded = Table(own.df.groupBy(*self.order).agg(F.min(F.struct("key", "at")).alias("place"), F.count("*").alias("n")).select(*self.order, "place.*", "n", F.lit(0).alias("level")), "folded")
+        rows, rank, merging = folded.df, 0, len(self.levels)
+        while merging and self.levels[merging - 1][0] == rank:
+            rank, merging = rank + 1, merging - 1
+        for k, (_, level) in enumerate(self.levels):
+            rows = rows.unionByName(self._entries(level).withColumns({"n": F.lit(0).cast("long"), "level": F.lit(1 if k >= merging else -1)}))
+        schema = ", ".join(f"{c} long" for c in self.order) + ", key long, at int, n long, level int, seen boolean"
+        alike = rows.repartitionByRange(*self.order).sortWithinPartitions(*self.order, F.col("level") == 0)
+        run = Table(alike.mapInArrow(_neighbours(self.order), schema), "level")
+        met = run.df.where("level = 0 and (seen or n > 1)").select(*self.order, "seen", F.struct("key", "at").alias("place"))
         found = written(own.df.join(met, self.order).where(F.col("seen") | (F.struct("key", "at") != F.col("place"))).select("key", "at"), "matches")
-        self.levels.append((0, Table(run.df.where("not seen").select(*self.order, "key", "at"), "level")))
-        for table in (own, folded, run):
+        for table in (own, folded, *(level for _, level in self.levels[merging:])):
             table.drop()
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a), (_, b) = self.levels[-2:]
-            self.levels[-2:] = [(rank + 1, Table(self._sorted(a.df.unionByName(b.df)), "level"))]
-            a.drop()
-            b.drop()
+        self.levels[merging:] = [(rank, run)]
         return found
 
-    def partial(self, after: int | None = None) -> DataFrame:
-        """(key, begin, end): bytes, of keys beyond `after`, covered by windows of partly matching contexts that occur earlier."""
-        every = self._entries()
-        shared = every.groupBy(*self.kind.lead).agg(F.count("*").alias("n"), F.max("key").alias("newest")).where("n > 1")
+    def shared(self, after: int | None = None) -> Table:
+        """(prefix, key, at) of the contexts whose prefix has several, one of them of a key beyond `after`."""
+        every = reduce(DataFrame.unionByName, (self._entries(level) for _, level in self.levels))
+        several = every.groupBy(*self.kind.lead).agg(F.count("*").alias("n"), F.max("key").alias("newest")).where("n > 1")
         if after is not None:
-            shared = shared.where(F.col("newest") > after)
-        parts = Table(every.join(shared.select(*self.kind.lead), self.kind.lead).select(F.xxhash64(*self.kind.lead).alias("prefix"), "key", "at"), "parts")
-        spans = _partial(self.texts, parts.df, self.kind, self.most_contexts)
-        parts.drop()
-        return spans if after is None else spans.where(F.col("key") > after)
+            several = several.where(F.col("newest") > after)
+        return Table(every.join(several.select(*self.kind.lead), self.kind.lead).select(F.xxhash64(*self.kind.lead).alias("prefix"), "key", "at"), "parts")
 
     def full(self, matches: DataFrame) -> DataFrame:
         """(key, begin, end): the bytes that matching places cover."""
@@ -205,7 +199,10 @@ class SuffixIndex:
         """Indexes a batch (key, text); gives (key, begin, end) of its bytes that occur earlier, in this batch or those before."""
         before = self.last_key
         matches = self.extend(docs)
-        return self.full(matches).unionByName(self.partial(before))
+        parts = self.shared(before)
+        spans = _partial(self.texts, parts.df, self.kind, self.most_contexts)
+        parts.drop()
+        return self.full(matches).unionByName(spans if before is None else spans.where(F.col("key") > before))
 
     def close(self) -> None:
         for _, level in self.levels:
@@ -327,11 +324,12 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = SuffixIndex(length, anchor, most_contexts)
     try:
         matches = reduce(DataFrame.unionByName, [index.extend(batch) for batch in _batches(rows, batches)])
-        index.texts = rows
-        spans = index.full(matches).unionByName(index.partial())
-        covered = written(spans.groupBy("key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "covered")
+        parts = index.shared()
     finally:
         index.close()
+    spans = index.full(matches).unionByName(_partial(rows, parts.df, index.kind, most_contexts))
+    covered = written(spans.groupBy("key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "covered")
+    parts.drop()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

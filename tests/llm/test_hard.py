@@ -179,7 +179,7 @@ def test_levels_are_sorted_suffix_arrays(spark):
     text = "".join(rnd.choice("abcde ") for _ in range(4000))
     index = suffix_dedup.SuffixIndex(40, 16)
     index.extend(spark.createDataFrame([(0, text)], "key long, text string"))
-    rows = index.levels[0][1].df.collect()
+    rows = index._entries(index.levels[0][1]).collect()
     ordered = sorted(rows, key=lambda r: tuple(r[c] for c in index.order))
     suffixes = [text.encode()[r["at"] : r["at"] + 16] for r in ordered]
     assert len(rows) > 100 and suffixes == sorted(suffixes)
