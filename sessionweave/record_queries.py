@@ -15,11 +15,11 @@ _STATS = {"mean": "avg", "std": "stddev_pop", "min": "min", "max": "max"}
 _COEFFICIENTS = "[" + ", ".join(f"value * {i} - {i * i}" for i in range(1, 14)) + "]"
 
 
-@_query("with f as (select user_id::varchar as session_id, " + _COEFFICIENTS + " as m from events) select session_id, " + ", ".join(f"round({f}(m[{i}]), 4) as mfcc_{i}_{n}" for i in range(1, 14) for n, f in _STATS.items()) + " from f group by session_id")
+@_query("with f as (select user_id::varchar as session_id, " + _COEFFICIENTS + " as m from events) select session_id, " + ", ".join(f"round({f}(m[{i}]), 6) as mfcc_{i}_{n}" for i in range(1, 14) for n, f in _STATS.items()) + " from f group by session_id")
 def mfcc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     coefficients = F.array(*(F.col("value") * i - i * i for i in range(1, 14)))
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), coefficients.alias("mfcc"))
-    return _rounded(speech.mfcc_stats(rows, ["session_id"]), 4)
+    return _rounded(speech.mfcc_stats(rows, ["session_id"]))
 
 
 @_query("select user_id::varchar as session_id, round(avg(value), 6) as rms_mean, round(stddev_pop(value), 6) as rms_std, round(avg(value * 31), 4) as spectral_centroid_mean, round(stddev_pop(value * 31), 4) as spectral_centroid_std from events group by user_id")
