@@ -55,14 +55,18 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
 
 
 def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
-    """Unsigned 64-bit fingerprints: a bit is set if over half of the shingles' hashes have it."""
-    hashes = [shingle_hashes(t, words) for t in texts]
+    """Unsigned 64-bit fingerprints of the texts' shingles."""
+    return fingerprints_of_hashes([np.array(shingle_hashes(t, words), np.uint64) for t in texts])
+
+
+def fingerprints_of_hashes(hashes: list[np.ndarray]) -> np.ndarray:
+    """Unsigned 64-bit fingerprints: a bit is set if over half of the hashes have it; zero of none."""
     sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
+    flat = np.concatenate(hashes)
     octets = flat.view(np.uint8).reshape(-1, 8)
     first = np.cumsum(sizes[full]) - sizes[full]
     runs = [np.arange(a, a + n, 255) for a, n in zip(first, sizes[full], strict=True)]  # eight-bit counters hold 255

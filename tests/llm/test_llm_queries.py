@@ -61,7 +61,17 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(prints):
+def brute_shingles(text, words=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def similar(a, b):
+    """Jaccard similarity of 0.8 or more."""
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def brute_components(prints, linked=lambda a, b: (a ^ b).bit_count() <= 2):
     component = {d: d for d in prints}
 
     def root(d):
@@ -72,7 +82,7 @@ def brute_components(prints):
     ids = sorted(prints)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if linked(prints[a], prints[b]):
                 x, y = sorted((root(a), root(b)))
                 component[y] = x
     return {d: root(d) for d in ids}
@@ -120,7 +130,7 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf_dir, documents):
     kept = {r["doc_id"] for r in QUERIES["op10_quality_classifier"](spark, sf_dir).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in good.collect()} == kept and good.columns == list(p.COLUMNS)
     single = written(p.near_duplicates(spark, good, sf_dir), "t")
-    wanted = {d for d, c in brute_components({d: brute_fingerprint(documents[d]) for d in kept}).items() if d == c}
+    wanted = {d for d, c in brute_components({d: brute_shingles(documents[d]) for d in kept}, similar).items() if d == c}
     assert {r["doc_id"] for r in single.collect()} == wanted
     clean = written(p.clean_of_benchmark(spark, single, sf_dir), "t")
     items = [words_of((r[0] or "").encode()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").collect()]
