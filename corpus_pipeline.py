@@ -4,7 +4,7 @@ Each stage takes what the one before it kept: the quality classifier drops docum
 copies the one with the least id stays, if any has one; documents that a benchmark contaminates go; secrets are replaced in the texts that
 remain; and these are packed into sequences.
 
-The near-copy stage keeps to the SimHash operator's own contract: fingerprints of three-word shingles, linked at two bits or fewer.
+The near-copy stage takes texts whose five-word shingles have a Jaccard similarity of 0.8 or more as near copies.
 
 Nulls and edge cases, in every stage: null texts count as empty, null and repeated ids are carried along and never decide alone; empty
 tables give no rows. `n_chars` is counted anew for texts that a stage changes.
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionweave.llm import decontamination, packing, quality_classifier, secret_scan, simhash
+from sessionweave.llm import decontamination, packing, quality_classifier, secret_scan, similarity
 from sessionweave.llm.common import table, written
 from sessionweave.llm.queries import tokenizer_path
 
@@ -33,16 +33,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id (nulls last), then fingerprint, then hash of the text.
+    """One document of each group of near copies: the one with the least id (nulls last), then hash of the text.
 
-    Groups are of fingerprints, not of ids: where ids are null or repeat, each row stays or goes by its own text. Rows get numbers of
-    their own as they are written; of equal rows any one stays.
+    Groups are of texts, not of ids: where ids are null or repeat, each row stays or goes by its own text; of equal rows any one stays.
     """
-    prints = written(simhash.fingerprints(docs, carry=("lang", "source", "n_chars")).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp", F.xxhash64("text").alias("h"), "row")
-    least = prints.groupBy("fp").agg(F.min(order).alias("least"))
-    kept = least.join(simhash.groups(prints), "fp").groupBy("group").agg(F.min("least").alias("least")).select("least.row")
-    return prints.join(kept, "row", "left_semi").select(F.col("id").alias("doc_id"), *CARRIED)
+    return similarity.one_of_each_group(docs, carry=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
