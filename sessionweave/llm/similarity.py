@@ -18,7 +18,6 @@ one shingle, the whole sequence; null and repeated ids play no part, as groups a
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,18 +85,15 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, found array<long>")
 
 
-def verified(candidates: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The candidates (a, b) whose texts (node, text) have that similarity."""
+def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> Table:
+    """The candidates (a, b) whose shingle sets (node, found) have that similarity."""
     pairs = Table(candidates.distinct(), "candidates")
-    ends = pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).distinct()
-    sets = Table(shingle_sets(texts.join(ends, "node", "left_semi"), words), "sets")
-    left, right = (sets.df.select(F.col("node").alias(n), F.col("found").alias(f"{n}_found")) for n in "ab")
+    left, right = (sets.select(F.col("node").alias(n), F.col("found").alias(f"{n}_found")) for n in "ab")
     common = F.size(F.array_intersect("a_found", "b_found"))
     either = F.size("a_found") + F.size("b_found") - common
     out = Table(pairs.df.join(left, "a").join(right, "b").where(common >= F.lit(similarity - 1e-9) * either).select("a", "b"), "verified")
     pairs.drop()
-    sets.drop()
-    return out.df
+    return out
 
 
 def pairs_of(cells: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
@@ -123,32 +119,51 @@ def shared(cells: DataFrame, *more: F.Column) -> DataFrame:
 
 
 def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(copy, group) of written `prints` with a number `row`: `group` is the least row number that links of that similarity reach."""
-    copies = rows.groupBy("copy").agg(F.min("row").alias("node"))
-    named = Table(copies, "copies").df
-    texts = rows.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    nodes = Table(texts.where("shingles > 0").select("node", "shingles", "fp", "samples"), "nodes").df
-    distinct = Table(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct").df
+    """(copy, group) of written `prints` with a number `row`: `group` is the least row number that links of that similarity reach.
+
+    The shingle sets of all texts that share a cell or are linked by their whole fingerprints are made once, for both rounds.
+    """
+    scratch: list[Table] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(Table(df, name))
+        return scratch[-1].df
+
+    named = Table(rows.groupBy("copy").agg(F.min("row").alias("node")), "copies").df
+    narrow = rows.select(F.col("row").alias("node"), "shingles", "fp", "samples").where("shingles > 0")
+    nodes = kept(narrow.join(named, "node", "left_semi"), "nodes")
+    distinct = kept(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
     entries = nodes.select("node", "shingles", F.explode(F.array_distinct(F.array_append("samples", F.col("fp")))).alias("cell"))
-    cells = Table(shared(entries), "cells").df
-    found = verified(links(distinct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs_of(cells, similarity)), texts, words, similarity)
+    cells = kept(shared(entries), "cells")
+    near = kept(links(distinct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near")
+    ends = kept(cells.select("node").union(near.select("a")).union(near.select("b")).distinct(), "ends")
+    sets = kept(shingle_sets(rows.select(F.col("row").alias("node"), "text").join(ends, "node", "left_semi"), words), "sets")
+    scratch.append(verified(near.union(pairs_of(cells, similarity)), sets, similarity))
+    found = scratch[-1].df
     dense = cells.where(F.col("count") > DENSE_CELL).drop("count")
     if not dense.isEmpty():
         known = connected_components(found)
         grouped = dense.join(known, "node", "left").select("cell", "node", "shingles", F.coalesce("component", "node").alias("group"))
-        mixed = Table(shared(grouped, F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("cell", "node", "shingles", "group"), "mixed").df
+        several = [F.min("group").alias("low"), F.max("group").alias("high")]
+        mixed = kept(shared(grouped, *several).where("low < high").select("cell", "node", "shingles", "group"), "mixed")
         twice = mixed.join(mixed.select("node", F.col("cell").alias("other")), "node").where("cell < other")
-        finer = shared(twice.withColumn("cell", F.xxhash64("cell", "other")).drop("other"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-        found = reduce(DataFrame.union, [found, verified(pairs_of(Table(finer, "finer").df, similarity, apart=True), texts, words, similarity)])
+        finer = kept(shared(twice.withColumn("cell", F.xxhash64("cell", "other")).drop("other"), *several).where("low < high"), "finer")
+        scratch.append(verified(pairs_of(finer, similarity, apart=True), sets, similarity))
+        found = found.union(scratch[-1].df)
     reached = connected_components(found)
+    for t in scratch:
+        t.drop()
     return named.join(reached, named["node"] == reached["node"], "left").select("copy", F.coalesce("component", named["node"]).alias("group"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, carry: Sequence[str] = ()) -> DataFrame:
     """(id, text) and the columns to carry, of one row of each group of near copies: the one with the least id (nulls last), then hash
     of the text; of equal rows any one."""
-    rows = written(prints(docs, id_col, text_col, words, carry).withColumn("row", F.monotonically_increasing_id()), "prints")
+    numbered = Table(prints(docs, id_col, text_col, words, carry).withColumn("row", F.monotonically_increasing_id()), "prints")
+    rows = numbered.df
     order = F.struct(F.col("id").isNull().alias("unnamed"), "id", F.xxhash64("text").alias("h"), "row")
     least = rows.groupBy("copy").agg(F.min(order).alias("least"))
-    kept = least.join(groups(rows, words, similarity), "copy").groupBy("group").agg(F.min("least").alias("least")).select("least.row")
-    return rows.join(kept, "row", "left_semi").select(F.col("id").alias(id_col), F.col("text").alias(text_col), *carry)
+    stay = least.join(groups(rows, words, similarity), "copy").groupBy("group").agg(F.min("least").alias("least")).select("least.row")
+    out = written(rows.join(stay, "row", "left_semi").select(F.col("id").alias(id_col), F.col("text").alias(text_col), *carry), "kept")
+    numbered.drop()
+    return out
