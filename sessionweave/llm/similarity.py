@@ -6,10 +6,17 @@ of `simhash` joins at two bits or fewer, a text has the fingerprints of `SAMPLES
 orders. Texts of similarity s have equal fingerprints in one sample or more with a chance of 1 - (1 - s^5)^16, that is 0.998 at
 0.8 and more above. Each candidate pair's similarity is computed from the whole shingle sets.
 
-Texts with one fingerprint in common form a cell. In a cell of up to `DENSE_CELL` texts all pairs are candidates; in a fuller one each
-text and the one that comes first in a random order are. Where that leaves a full cell in several groups, its texts meet once more by
-pairs of their full cells, which parts texts that share no more than a passage, and only candidates of different groups are verified
-there. Copies (equal words) are folded into one text first.
+Texts with one fingerprint in common form a cell. Copies (equal words) are folded into one text first. Two rounds follow:
+
+1. Each text of a cell is compared with the cell's head, the first one in a random order that is the same for all cells. That joins
+   nearly all near copies, at one candidate per text and cell however full a cell is.
+2. Cells that then hold several groups are looked at once more, for candidates between groups only. In a cell of up to `DENSE_CELL`
+   texts all of them are taken. The texts of fuller cells, which may share no more than a passage, are joined by the prefixes of their
+   shingle sets, the rarest first: of sets of similarity s each has a common shingle among its first n - ceil(s * n) + 1. That is exact.
+   Of a pair one text is outside the cell's largest group, so a large group of near copies makes no pairs of its own.
+
+A candidate passes if the least `SKETCH` hashes of both sets agree by over the wanted similarity less `SLACK`, a test that a pair at 0.8
+fails with a chance of about 1e-8, and is then verified on the whole sets.
 
 Nulls and edge cases: a null text counts as empty; texts without words are copies of each other; texts of fewer than five words have
 one shingle, the whole sequence; null and repeated ids play no part, as groups are of texts; an empty table gives no rows.
@@ -18,11 +25,12 @@ one shingle, the whole sequence; null and repeated ids play no part, as groups a
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +40,12 @@ from .simhash import fingerprints_of_hashes, links, shingle_hashes
 
 SAMPLES = 16
 SAMPLED = 5
-#: Texts of a cell beyond which not all its pairs are candidates.
+#: Texts of a cell beyond which the second round goes by prefixes.
 DENSE_CELL = 64
+#: Least hashes of a text that candidates are first compared by, and how far below the wanted similarity these may agree.
+SKETCH, SLACK = 64, 0.3
+#: Candidates of one text that one task verifies.
+_PARTNERS = 1024
 #: Odd factors, one for each order of the shingles' hashes.
 _ORDERS = np.array([xxhash.xxh64_intdigest(bytes([k]), 7) | 1 for k in range(SAMPLES)], np.uint64)
 #: Hashes ordered at once; bounds the memory that a very long text takes.
@@ -50,9 +62,10 @@ def samples_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, copy, shingles, fp, samples, text) and the columns to carry: `copy` is a digest of the words, `shingles` the number of distinct ones."""
+    """(id, copy, shingles, fp, samples, sketch, text) and the columns to carry: `copy` is a digest of the words, `shingles` the number of
+    distinct ones, `sketch` the leading 31 bits of the least hashes."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in carry))
-    own = T.StructType([source.schema["id"], T.StructField("copy", T.BinaryType()), T.StructField("shingles", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("samples", T.ArrayType(T.LongType()))])
+    own = T.StructType([source.schema["id"], T.StructField("copy", T.BinaryType()), T.StructField("shingles", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -67,6 +80,7 @@ def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array(fingerprints_of_hashes(hashes).view(np.int64)),
                 pa.array([next(sampled) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                pa.array([(s[:SKETCH] >> np.uint64(33)).astype(np.int32) for s in sets], pa.list_(pa.int32())),
                 *(part.column(k) for k in range(1, part.num_columns)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[*own.names, "text", *carry])
@@ -85,44 +99,71 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, found array<long>")
 
 
-def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> Table:
-    """The candidates (a, b) whose shingle sets (node, found) have that similarity."""
+def similar_sketches(a: str, b: str, least: float) -> F.Column:
+    """Whether the share of common hashes among the least ones of both sketches is at least so much."""
+    either = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(a, b), either)) >= F.lit(least) * F.size(either)
+
+
+def with_end(pairs: DataFrame, end: str, values: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b, ...) with the value (node, value) of one end; those of an end in many pairs are spread over tasks."""
+    parts = pairs.groupBy(end).agg(F.expr(f"cast(ceil(count(*) / {_PARTNERS}) as int)").alias("parts"))
+    named = values.select(F.col("node").alias(end), F.col(value).alias(f"{end}_{value}")).join(parts, end)
+    spread = named.select(end, f"{end}_{value}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    other = "b" if end == "a" else "a"
+    return pairs.join(parts, end).withColumn("part", F.pmod(F.hash(other), "parts").cast("int")).drop("parts").join(spread, [end, "part"]).drop("part")
+
+
+def ordered(x: str, y: str) -> list[F.Column]:
+    """A pair as (a, b), a being the first in a random order of all texts."""
+    first = F.xxhash64(x) < F.xxhash64(y)
+    return [F.when(first, F.col(x)).otherwise(F.col(y)).alias("a"), F.when(first, F.col(y)).otherwise(F.col(x)).alias("b")]
+
+
+def verified(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> Table:
+    """The candidates (a, b) whose shingle sets have that similarity; sets are made of the texts in candidates that pass by sketches."""
     pairs = Table(candidates.distinct(), "candidates")
-    left, right = (sets.select(F.col("node").alias(n), F.col("found").alias(f"{n}_found")) for n in "ab")
+    compared = with_end(with_end(pairs.df, "a", nodes, "sketch"), "b", nodes, "sketch")
+    passed = Table(compared.where(similar_sketches("a_sketch", "b_sketch", similarity - SLACK)).select("a", "b"), "passed")
+    ends = passed.df.select(F.col("a").alias("node")).union(passed.df.select("b")).distinct()
+    sets = Table(shingle_sets(texts.join(ends, "node", "left_semi"), words), "sets")
     common = F.size(F.array_intersect("a_found", "b_found"))
     either = F.size("a_found") + F.size("b_found") - common
-    out = Table(pairs.df.join(left, "a").join(right, "b").where(common >= F.lit(similarity - 1e-9) * either).select("a", "b"), "verified")
-    pairs.drop()
+    both = with_end(with_end(passed.df, "a", sets.df, "found"), "b", sets.df, "found")
+    out = Table(both.where(common >= F.lit(similarity - 1e-9) * either).select("a", "b"), "verified")
+    for t in (pairs, passed, sets):
+        t.drop()
     return out
 
 
-def pairs_of(cells: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
-    """Candidates (a, b) of cells (cell, node, shingles, count): all pairs of small ones, each text and the first one of full ones.
+def near_sizes(similarity: float) -> F.Column:
+    """Whether the numbers of shingles a_shingles and b_shingles allow that similarity."""
+    return F.least("a_shingles", "b_shingles") >= F.lit(similarity - 1e-9) * F.greatest("a_shingles", "b_shingles")
 
-    Texts whose numbers of shingles rule the similarity out are no candidates; nor, if `apart`, are those of one `group`.
-    """
-    names = ["node", "shingles", *(["group"] if apart else [])]
-    left, right = (cells.select("cell", "count", *(F.col(c).alias(f"{n}_{c}") for c in names)) for n in "ab")
-    fits = (F.least("a_shingles", "b_shingles") >= F.lit(similarity - 1e-9) * F.greatest("a_shingles", "b_shingles")) & (F.col("a_group") != F.col("b_group") if apart else F.lit(True))
-    small = left.where(F.col("count") <= DENSE_CELL).join(right.drop("count"), "cell").where(fits & (F.col("a_node") < F.col("b_node")))
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), *names)).alias("f")
-    heads = cells.where(F.col("count") > DENSE_CELL).groupBy("cell").agg(first).select("cell", *(F.col(f"f.{c}").alias(f"b_{c}") for c in names))
-    large = left.where(F.col("count") > DENSE_CELL).join(heads, "cell").where(fits & (F.col("a_node") != F.col("b_node")))
-    ends = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
-    return small.select(*ends).union(large.select(*ends))
 
+def pairs_apart(cells: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of different groups of cells (cell, node, shingles, group): all pairs that the numbers of shingles allow."""
+    by_group = cells.groupBy("cell", "group").agg(F.count("*").alias("n"))
+    mixed = by_group.groupBy("cell").agg(F.max_by("group", F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    named = cells.join(mixed, "cell")
+    left, right = (named.select("cell", "most", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "shingles", "group"))) for n in "ab")
+    once = (F.col("b_group") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
+    met = left.where("a_group <> most").join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity))
+    return met.select(*ordered("a_node", "b_node"))
 
-def shared(cells: DataFrame, *more: F.Column) -> DataFrame:
-    """The entries (cell, ...) of cells that hold several texts, with their `count`."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("count"), *more).where("count > 1")
-    return cells.join(sizes, "cell")
 
+def prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(cell, node, shingles, group) for the shingles in the texts' prefixes that several of the texts have; rarest first, then by hash."""
+    entries = sets.select("node", F.explode("found").alias("cell"))
+    frequent = entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("node")
+    placed = entries.join(frequent, "cell").withColumns({"place": F.row_number().over(own.orderBy("n", "cell")), "common": F.count("*").over(own)})
+    length = F.col("shingles") - F.ceil(F.lit(similarity - 1e-9) * F.col("shingles")) + 1
+    return placed.join(texts, "node").where(F.col("place") <= length - (F.col("shingles") - F.col("common"))).select("cell", "node", "shingles", "group")
 
-def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(copy, group) of written `prints` with a number `row`: `group` is the least row number that links of that similarity reach.
 
-    The shingle sets of all texts that share a cell or are linked by their whole fingerprints are made once, for both rounds.
-    """
+def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(copy, group) of written `prints` with a number `row`: `group` is the least row number that links of that similarity reach."""
     scratch: list[Table] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -130,27 +171,29 @@ def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         return scratch[-1].df
 
     named = Table(rows.groupBy("copy").agg(F.min("row").alias("node")), "copies").df
-    narrow = rows.select(F.col("row").alias("node"), "shingles", "fp", "samples").where("shingles > 0")
+    narrow = rows.select(F.col("row").alias("node"), "shingles", "fp", "samples", "sketch").where("shingles > 0")
     nodes = kept(narrow.join(named, "node", "left_semi"), "nodes")
-    distinct = kept(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
+    texts = rows.select(F.col("row").alias("node"), "text")
     entries = nodes.select("node", "shingles", F.explode(F.array_distinct(F.array_append("samples", F.col("fp")))).alias("cell"))
-    cells = kept(shared(entries), "cells")
-    near = kept(links(distinct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near")
-    ends = kept(cells.select("node").union(near.select("a")).union(near.select("b")).distinct(), "ends")
-    sets = kept(shingle_sets(rows.select(F.col("row").alias("node"), "text").join(ends, "node", "left_semi"), words), "sets")
-    scratch.append(verified(near.union(pairs_of(cells, similarity)), sets, similarity))
+    head = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "shingles"))
+    sizes = entries.groupBy("cell").agg(F.count("*").alias("count"), head.alias("head")).where("count > 1")
+    cells = kept(entries.join(sizes, "cell").select("cell", "node", "shingles", "count", F.col("head.node").alias("a_node"), F.col("head.shingles").alias("a_shingles")), "cells")
+    firsts = cells.withColumn("b_shingles", F.col("shingles")).where(near_sizes(similarity) & (F.col("node") != F.col("a_node"))).select(*ordered("a_node", "node"))
+    distinct = kept(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
+    near = links(distinct).select(*ordered("a", "b"))
+    scratch.append(verified(firsts.union(near), nodes, texts, words, similarity))
     found = scratch[-1].df
-    dense = cells.where(F.col("count") > DENSE_CELL).drop("count")
+    known = connected_components(found)
+    grouped = cells.select("cell", "node", "shingles", "count").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    several = grouped.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("cell")
+    mixed = kept(grouped.join(several, "cell"), "mixed")
+    apart = [pairs_apart(mixed.where(F.col("count") <= DENSE_CELL).drop("count"), similarity)]
+    dense = mixed.where(F.col("count") > DENSE_CELL).select("node", "shingles", "group").distinct()
     if not dense.isEmpty():
-        known = connected_components(found)
-        grouped = dense.join(known, "node", "left").select("cell", "node", "shingles", F.coalesce("component", "node").alias("group"))
-        several = [F.min("group").alias("low"), F.max("group").alias("high")]
-        mixed = kept(shared(grouped, *several).where("low < high").select("cell", "node", "shingles", "group"), "mixed")
-        twice = mixed.join(mixed.select("node", F.col("cell").alias("other")), "node").where("cell < other")
-        finer = kept(shared(twice.withColumn("cell", F.xxhash64("cell", "other")).drop("other"), *several).where("low < high"), "finer")
-        scratch.append(verified(pairs_of(finer, similarity, apart=True), sets, similarity))
-        found = found.union(scratch[-1].df)
-    reached = connected_components(found)
+        sets = kept(shingle_sets(texts.join(dense, "node", "left_semi"), words), "dense")
+        apart.append(pairs_apart(kept(prefixes(dense, sets, similarity), "prefixes"), similarity))
+    scratch.append(verified(reduce(DataFrame.union, apart), nodes, texts, words, similarity))
+    reached = connected_components(found.union(scratch[-1].df))
     for t in scratch:
         t.drop()
     return named.join(reached, named["node"] == reached["node"], "left").select("copy", F.coalesce("component", named["node"]).alias("group"))
