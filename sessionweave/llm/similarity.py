@@ -15,8 +15,9 @@ Texts with one fingerprint in common form a cell. Copies (equal words) are folde
    shingle sets, the rarest first: of sets of similarity s each has a common shingle among its first n - ceil(s * n) + 1. That is exact.
    Of a pair one text is outside the cell's largest group, so a large group of near copies makes no pairs of its own.
 
-A candidate passes if the least `SKETCH` hashes of both sets agree by over the wanted similarity less `SLACK`, a test that a pair at 0.8
-fails with a chance of about 1e-8, and is then verified on the whole sets.
+A candidate passes if the least `SKETCH` hashes of both sets agree by the wanted similarity less `SLACK` or more, a test that a pair at 0.8
+fails with a chance of about 2e-4, and is then verified on the whole sets. The second round tests sketches where candidates meet, so that
+those that fail are neither shuffled nor written.
 
 Nulls and edge cases: a null text counts as empty; texts without words are copies of each other; texts of fewer than five words have
 one shingle, the whole sequence; null and repeated ids play no part, as groups are of texts; an empty table gives no rows.
@@ -40,10 +41,10 @@ from .simhash import fingerprints_of_hashes, links, shingle_hashes
 
 SAMPLES = 16
 SAMPLED = 5
-#: Texts of a cell beyond which the second round goes by prefixes.
-DENSE_CELL = 64
+#: Texts of a cell beyond which the second round goes by prefixes; up to there comparing sketches is cheaper than sorting shingles.
+DENSE_CELL = 512
 #: Least hashes of a text that candidates are first compared by, and how far below the wanted similarity these may agree.
-SKETCH, SLACK = 64, 0.3
+SKETCH, SLACK = 64, 0.2
 #: Candidates of one text that one task verifies.
 _PARTNERS = 1024
 #: Odd factors, one for each order of the shingles' hashes.
@@ -142,24 +143,24 @@ def near_sizes(similarity: float) -> F.Column:
 
 
 def pairs_apart(cells: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) of different groups of cells (cell, node, shingles, group): all pairs that the numbers of shingles allow."""
+    """Candidates (a, b) of different groups of cells (cell, node, shingles, group, sketch): all that numbers of shingles and sketches allow."""
     by_group = cells.groupBy("cell", "group").agg(F.count("*").alias("n"))
     mixed = by_group.groupBy("cell").agg(F.max_by("group", F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     named = cells.join(mixed, "cell")
-    left, right = (named.select("cell", "most", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "shingles", "group"))) for n in "ab")
+    left, right = (named.select("cell", "most", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "shingles", "group", "sketch"))) for n in "ab")
     once = (F.col("b_group") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
-    met = left.where("a_group <> most").join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity))
+    met = left.where("a_group <> most").join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity) & similar_sketches("a_sketch", "b_sketch", similarity - SLACK))
     return met.select(*ordered("a_node", "b_node"))
 
 
 def prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(cell, node, shingles, group) for the shingles in the texts' prefixes that several of the texts have; rarest first, then by hash."""
+    """(cell, node, shingles, group, sketch) for the shingles in the texts' prefixes that several of the texts have; rarest first, then by hash."""
     entries = sets.select("node", F.explode("found").alias("cell"))
     frequent = entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("node")
     placed = entries.join(frequent, "cell").withColumns({"place": F.row_number().over(own.orderBy("n", "cell")), "common": F.count("*").over(own)})
     length = F.col("shingles") - F.ceil(F.lit(similarity - 1e-9) * F.col("shingles")) + 1
-    return placed.join(texts, "node").where(F.col("place") <= length - (F.col("shingles") - F.col("common"))).select("cell", "node", "shingles", "group")
+    return placed.join(texts, "node").where(F.col("place") <= length - (F.col("shingles") - F.col("common"))).select("cell", *texts.columns)
 
 
 def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -187,8 +188,9 @@ def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     grouped = cells.select("cell", "node", "shingles", "count").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     several = grouped.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("cell")
     mixed = kept(grouped.join(several, "cell"), "mixed")
-    apart = [pairs_apart(mixed.where(F.col("count") <= DENSE_CELL).drop("count"), similarity)]
-    dense = mixed.where(F.col("count") > DENSE_CELL).select("node", "shingles", "group").distinct()
+    sketches = nodes.select("node", "sketch")
+    apart = [pairs_apart(mixed.where(F.col("count") <= DENSE_CELL).drop("count").join(sketches, "node"), similarity)]
+    dense = mixed.where(F.col("count") > DENSE_CELL).select("node", "shingles", "group").distinct().join(sketches, "node")
     if not dense.isEmpty():
         sets = kept(shingle_sets(texts.join(dense, "node", "left_semi"), words), "dense")
         apart.append(pairs_apart(kept(prefixes(dense, sets, similarity), "prefixes"), similarity))
