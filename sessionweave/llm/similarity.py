@@ -41,8 +41,8 @@ from .simhash import fingerprints_of_hashes, links, shingle_hashes
 
 SAMPLES = 16
 SAMPLED = 5
-#: Texts of a cell beyond which the second round goes by prefixes; up to there comparing sketches is cheaper than sorting shingles.
-DENSE_CELL = 512
+#: Texts of a cell beyond which the second round goes by prefixes.
+DENSE_CELL = 64
 #: Least hashes of a text that candidates are first compared by, and how far below the wanted similarity these may agree.
 SKETCH, SLACK = 64, 0.2
 #: Candidates of one text that one task verifies.
