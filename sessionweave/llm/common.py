@@ -48,11 +48,11 @@ def own_shuffles_end(spark: SparkSession) -> Iterator[None]:
 class Table:
     """A scratch table in the shared folder: `df` reads it. It goes with drop(), or at the latest when the driver ends."""
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    def __init__(self, df: DataFrame, name: str, compression: str | None = None) -> None:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
         with own_shuffles_end(self.spark):
-            df.write.parquet(self.path)
+            df.write.parquet(self.path, compression=compression)
         target, store = _file(self.spark, self.path)
         store.deleteOnExit(target)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
