@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter, warc
+from . import byte_bpe, decontamination, divergence, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -100,6 +100,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 #: The words of a text by the contamination rule.
@@ -222,6 +227,27 @@ def _warc_sql() -> str:
         case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from records"""
 
 
+def _divergence_sql(least_docs: int = 30, most_terms: int = 50) -> str:
+    share = "1 + (1000000000::hugeint * ({n} + 5)) // ({total} + 5 * v)"
+    return rf"""with docs as (select row_number() over () as k, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+    words as (select k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+    counts as (select lang, source, term, count(*) as n, count(distinct k) as docs from words group by all),
+    kept as (select lang, term, sum(n) as in_lang from counts group by all having sum(docs) >= {least_docs}),
+    langs as (select lang, count(*) as v, sum(in_lang) as lang_total from kept group by all),
+    groups as (select distinct lang, source from docs),
+    entries as (select lang, term, source, n, in_lang from counts join kept using (lang, term)),
+    sizes as (select g.lang, g.source, coalesce(sum(n), 0) as total from groups g left join entries e on e.lang = g.lang and e.source = g.source group by all),
+    cells as (select s.lang, s.source, k.term, {share.format(n="coalesce(e.n, 0)", total="s.total")} as p
+        from sizes s join langs using (lang) join kept k on k.lang = s.lang left join entries e on e.lang = s.lang and e.source = s.source and e.term = k.term),
+    sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as f from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+    terms as (select lang, source, 'term' as part, term as item, ({share.format(n="n", total="total")} - ({share.format(n="in_lang", total="lang_total")}))::bigint as value
+        from entries join sizes using (lang, source) join langs using (lang)),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as r from (select * from pairs union all select * from terms where value > 0))
+    select lang, source, part, item, value, r::int as rank from ranked where part = 'pair' or r <= {most_terms}"""
+
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": _substrings_sql(),
     "op3_decontamination": f"""with windows as (
@@ -241,4 +267,5 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": _secrets_sql(),
     "op8_quality_rules": _rules_sql(),
     "op9_url_filter": _urls_sql(),
+    "op12_source_divergence": _divergence_sql(),
 }
