@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding with one encoding of each distinct pre-token.
 
 Texts are split into pre-tokens in blocks of some megabytes. A block lists each of its distinct pre-tokens once, the frequent ones first, and
-keeps its texts as sequences of places in that list. The lists are exploded into (word, block, place) rows, all blocks' distinct words are
-shuffled and encoded once, and their ids are joined back to every block and place. Blocks then put the ids of their texts together by
-position. The ids that occur in a block are joined with the table of the tokens' bytes, from which the block decodes its finished ids.
+keeps its texts as sequences of places in that list. The lists are dealt to buckets by the words' hashes, so that all blocks' copies of a word
+meet in one bucket, which encodes each distinct word once and joins the ids back to every block and place. Blocks then put the ids of their
+texts together by position. The ids that occur in a block are joined with the table of the tokens' bytes, from which the block decodes
+its finished ids.
 
-A frequent word makes one row a block, not one an occurrence, so no word gathers more rows than there are blocks. A block's size has a bound
-(`BLOCK_BYTES` of text, or one longer text); the vocabulary's table is the only one that is sent to every task.
+A frequent word makes one entry a block, not one an occurrence, so no word gathers more entries than there are blocks. Lists travel
+packed, words sorted and numbers by their bytes' rank; as rows of words they took four times as much disk. A block's size has a bound
+(`BLOCK_BYTES` of text, or one longer text), and there is a bucket for every `BUCKET_BYTES` of text; the vocabulary's table is the
+only one that is sent to every task.
 
 Splitting follows the tokenizer library's own tables of letters, digits and white space, which it is asked for once a worker; other
 libraries know other versions of Unicode.
@@ -20,11 +23,14 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +38,10 @@ from pyspark.sql import types as T
 
 from .common import Table, as_bytes, slices
 
-#: Text of a block.
-BLOCK_BYTES = 64 << 20
-#: Characters that are split at once, and words in a row of a block's list.
-_STEP, _LISTED = 4 << 20, 4096
+#: Text of a block, and text whose blocks' words make up one bucket.
+BLOCK_BYTES, BUCKET_BYTES = 64 << 20, 64 << 20
+#: Characters that are split at once.
+_STEP = 4 << 20
 #: What stands for letters, digits and other characters beyond U+FFFF while a text is split.
 _PLAIN = ("a", "0", "\ue000")
 
@@ -118,36 +124,47 @@ def _unpacked(data: bytes, size: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds for each block: its texts as sequences of places (keys, counts, seq), and its distinct words in the order of
-    their places (first, words)."""
+def pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of two kinds for each block: its texts as sequences of places (`kind` 0: keys, counts, seq), and its distinct words by
+    buckets of their hash (`kind` 1: bucket, n, size, words, lengths, places), all packed."""
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["i"].dataType
-    schema = T.StructType().add("block", T.LongType()).add("keys", T.ArrayType(kind)).add("counts", T.ArrayType(T.LongType())).add("seq", T.BinaryType()).add("first", T.IntegerType()).add("words", T.ArrayType(T.StringType()))
+    numbers, packed = ("n", "size"), ("seq", "words", "lengths", "places")
+    schema = T.StructType().add("kind", T.IntegerType()).add("block", T.LongType()).add("keys", T.ArrayType(kind)).add("counts", T.ArrayType(T.LongType())).add("bucket", T.IntegerType())
+    for name in numbers:
+        schema = schema.add(name, T.LongType())
+    for name in packed:
+        schema = schema.add(name, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, made = PreTokens(pattern), 0
         places, runs, held = _Places(), [], 0
 
+        def row(key_type: pa.DataType, **values: pa.Array) -> pa.RecordBatch:
+            kinds = {"kind": pa.int32(), "block": pa.int64(), "keys": pa.list_(key_type), "counts": pa.list_(pa.int64()), "bucket": pa.int32()} | dict.fromkeys(numbers, pa.int64()) | dict.fromkeys(packed, pa.binary())
+            return pa.RecordBatch.from_arrays([values[n] if isinstance(values.get(n), pa.Array) else pa.array([values.get(n)], k) for n, k in kinds.items()], names=list(kinds))
+
         def rows() -> Iterator[pa.RecordBatch]:
             block = (TaskContext.get().partitionId() << 24) + made
             codes = np.concatenate([c for _, _, c in runs])
             order = np.argsort(-np.bincount(codes, minlength=len(places)), kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
+            key_type = runs[0][0].type
             for keys, counts, own in runs:
-                yield of(block, keys=pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), counts=pa.array([counts], pa.list_(pa.int64())), seq=pa.array([_packed(place[own])], pa.binary()))
-            words = list(places)
-            for at in range(0, len(words), _LISTED):
-                yield of(block, first=pa.array([at], pa.int32()), words=pa.array([[words[k] for k in order[at : at + _LISTED]]], pa.list_(pa.string())))
-
-        def of(block: int, **values: pa.Array) -> pa.RecordBatch:
-            names = ["block", "keys", "counts", "seq", "first", "words"]
-            empty = {"keys": pa.list_(key_type), "counts": pa.list_(pa.int64()), "seq": pa.binary(), "first": pa.int32(), "words": pa.list_(pa.string())}
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(values.get(n, pa.nulls(1, empty[n])) for n in names[1:])], names=names)
+                yield row(key_type, kind=0, block=block, keys=pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), counts=counts, seq=_packed(place[own]))
+            words = [w.encode() for w in places]
+            dealt: list[list] = [[] for _ in range(buckets)]
+            for word, at in zip(words, place.tolist(), strict=True):
+                dealt[zlib.crc32(word) % buckets].append((word, at))
+            for bucket, own in enumerate(dealt):
+                if own:
+                    own.sort()
+                    data = b"".join(w for w, _ in own)
+                    lengths, at = np.array([len(w) for w, _ in own]), np.array([k for _, k in own])
+                    yield row(key_type, kind=1, block=block, bucket=bucket, n=len(own), size=len(data), words=pa.compress(data, codec="zstd", asbytes=True), lengths=_packed(lengths), places=_packed(at))
 
         for part in slices(batches, "t"):
-            key_type = part.column(0).type
             counts, codes = [], []
             for text in as_bytes(part.column(1)):
                 held += len(text)
@@ -165,18 +182,37 @@ def pretokens(docs: DataFrame, pattern: str, id_col: str, text_col: str, block_b
     return source.mapInArrow(run, schema)
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of the distinct words."""
+def encoded_bucket(path: str) -> Callable[[pa.Table], pa.Table]:
+    """Encodes each distinct word of a bucket once and gives its ids to all blocks that have it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table) -> pa.Table:
         import tiktoken
 
         whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks_of(path), special_tokens={})
-        for batch in batches:
-            ids = [whole.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+        numbers = rows.column("n").to_pylist()
+        lists = []
+        for n, size, words, lengths in zip(numbers, *(rows.column(c).to_pylist() for c in ("size", "words", "lengths")), strict=True):
+            ends = np.concatenate([[0], np.cumsum(_unpacked(lengths, n), dtype=np.int64)])
+            lists.append(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.decompress(words, decompressed_size=size, codec="zstd")]))
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        ids = [whole.encode_ordinary(w.decode()) for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, first = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes
+        codes, cuts = np.asarray(coded.indices), np.cumsum([0, *numbers])
+        made = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = sizes[codes[a:b]]
+            got = flat[_spread(first[codes[a:b]], own)]
+            made.append((_packed(own), len(got), _packed(got), np.unique(got).astype(np.int32)))
+        return pa.table([rows.column("block"), rows.column("n"), rows.column("places"), *(pa.array([m[k] for m in made], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()))))], names=["block", "n", "places", "sizes", "n_flat", "flat", "tokens"])
+
+    return run
+
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... sizes[k] times, for each k."""
+    upto = np.cumsum(sizes)
+    return np.repeat(first - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -185,54 +221,42 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks, pa.binary())}))
 
 
-def _block_ids(table: pa.Table) -> pa.Table:
-    """A block's ids in the order of the words' places, with the ids that occur."""
-    table = table.sort_by("place")
-    ids = table.column("ids").combine_chunks()
-    flat, sizes = np.asarray(ids.flatten()), np.asarray(ids.value_lengths())
-    return pa.table({
-        "block": table.column("block").slice(0, 1).cast(pa.int64()),
-        "n": pa.array([len(sizes)], pa.int64()),
-        "sizes": pa.array([_packed(sizes)], pa.binary()),
-        "n_flat": pa.array([len(flat)], pa.int64()),
-        "flat": pa.array([_packed(flat)], pa.binary()),
-        "tokens": pa.array([np.unique(flat)], pa.list_(pa.int32())),
-    })
-
-
 def _texts_of(texts: pa.Table, known: pa.Table) -> Iterator[tuple[pa.Array, list[bytes], list[bytes]]]:
     """Keys, ids and decoded bytes of a block's texts."""
-    lists = known.filter(pa.compute.is_valid(known.column("flat"))).to_pylist()
-    named = known.filter(pa.compute.is_valid(known.column("bytes"))).sort_by("token").combine_chunks()
+    lists = known.filter(pc.is_valid(known.column("flat"))).to_pylist()
+    named = known.filter(pc.is_valid(known.column("bytes"))).sort_by("token").combine_chunks()
     tokens, pieces = np.asarray(named.column("token")), named.column("bytes").combine_chunks().cast(pa.large_binary())
-    sizes = _unpacked(lists[0]["sizes"], lists[0]["n"]).astype(np.int64) if lists else np.zeros(0, np.int64)
-    flat = _unpacked(lists[0]["flat"], lists[0]["n_flat"]) if lists else np.zeros(0, np.uint32)
-    first = np.cumsum(sizes) - sizes
+    sizes, first = (np.zeros(sum(x["n"] for x in lists), np.int64) for _ in "ab")
+    flat, before = [np.zeros(0, np.uint32)], 0
+    for x in lists:
+        places, own = _unpacked(x["places"], x["n"]), _unpacked(x["sizes"], x["n"]).astype(np.int64)
+        sizes[places], first[places] = own, before + np.cumsum(own) - own
+        flat.append(_unpacked(x["flat"], x["n_flat"]))
+        before += x["n_flat"]
+    flat = np.concatenate(flat)
     for row in range(texts.num_rows):
         counts = np.array(texts.column("counts")[row].as_py(), np.int64)
         seq = _unpacked(texts.column("seq")[row].as_py(), int(counts.sum()))
         own = sizes[seq]
-        upto = np.concatenate([[0], np.cumsum(own)])
-        ids = flat[np.repeat(first[seq] - upto[:-1], own) + np.arange(upto[-1])]
+        ids = flat[_spread(first[seq], own)]
         found = pieces.take(pa.array(np.searchsorted(tokens, ids)))
         ends = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
         data = memoryview(found.buffers()[2]) if len(ids) else memoryview(b"")
-        cuts = upto[np.concatenate([[0], np.cumsum(counts)])]
+        cuts = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
         packed = ids.astype("<u4").tobytes()
         yield texts.column("keys")[row].values, [packed[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)], [bytes(data[ends[a] : ends[b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, ids, decoded) of each document: its ids as little-endian unsigned 32-bit integers, and the bytes that these decode to."""
     kind = docs.schema[id_col].dataType
-    split = Table(pretokens(docs, pattern, id_col, text_col, block_bytes), "pretokens", compression="zstd")
-    words = split.df.where("words is not null").select("block", "first", F.posexplode("words").alias("k", "word"))
-    known = Table(encoded_words(words, path), "words", compression="zstd")
-    back = words.join(known.df, "word").select("block", (F.col("first") + F.col("k")).alias("place"), "ids")
-    lists = Table(back.groupBy("block").applyInArrow(_block_ids, "block long, n long, sizes binary, n_flat long, flat binary, tokens array<int>"), "block_ids", compression="zstd")
-    known.drop()
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    split = Table(pretokens(docs, pattern, id_col, text_col, 1 + size // bucket_bytes, block_bytes), "pretokens", "zstd", "kind")
+    words = split.df.where("kind = 1").select("block", "bucket", "n", "size", "words", "lengths", "places")
+    lists = Table(words.groupBy("bucket").applyInArrow(encoded_bucket(path), "block long, n long, places binary, sizes binary, n_flat long, flat binary, tokens array<int>"), "block_ids", "zstd")
+    split.drop("kind=1")
     bytes_of = F.broadcast(token_bytes(docs.sparkSession, path))  # one row a token of the vocabulary
-    pieces = lists.df.select("block", F.explode("tokens").alias("token")).join(bytes_of, "token").select("block", "token", "bytes")
+    pieces = lists.df.select("block", F.explode("tokens").alias("token")).distinct().join(bytes_of, "token").select("block", "token", "bytes")
     right = lists.df.drop("tokens").unionByName(pieces, allowMissingColumns=True)
     schema = T.StructType().add("i", kind).add("ids", T.BinaryType()).add("decoded", T.BinaryType())
 
@@ -241,5 +265,5 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
         columns = [pa.chunked_array([k for k, _, _ in parts]), pa.chunked_array([pa.array(x, pa.binary()) for _, x, _ in parts]), pa.chunked_array([pa.array(x, pa.binary()) for _, _, x in parts])]
         return pa.table(columns, names=["i", "ids", "decoded"])
 
-    texts = split.df.where("seq is not null").select("block", "keys", "counts", "seq")
+    texts = split.df.where("kind = 0").select("block", "keys", "counts", "seq")
     return texts.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema).select(F.col("i").alias(id_col), "ids", "decoded")

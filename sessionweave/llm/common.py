@@ -48,17 +48,18 @@ def own_shuffles_end(spark: SparkSession) -> Iterator[None]:
 class Table:
     """A scratch table in the shared folder: `df` reads it. It goes with drop(), or at the latest when the driver ends."""
 
-    def __init__(self, df: DataFrame, name: str, compression: str | None = None) -> None:
+    def __init__(self, df: DataFrame, name: str, compression: str | None = None, by: str | None = None) -> None:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
         with own_shuffles_end(self.spark):
-            df.write.parquet(self.path, compression=compression)
+            df.write.parquet(self.path, compression=compression, partitionBy=by)
         target, store = _file(self.spark, self.path)
         store.deleteOnExit(target)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+    def drop(self, part: str = "") -> None:
+        """Deletes the table, or one part (`column=value`) of a partitioned one."""
+        remove(self.spark, f"{self.path}/{part}".rstrip("/"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
