@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, divergence, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter, warc
+from . import byte_bpe, conversation_trie, decontamination, divergence, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -104,6 +104,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.col("conv") - F.col("conv") % 100
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), base=base, heads=heads, most_heads=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: The words of a text by the contamination rule.
@@ -248,6 +255,28 @@ def _divergence_sql(least_docs: int = 30, most_terms: int = 50) -> str:
     select lang, source, part, item, value, r::int as rank from ranked where part = 'pair' or r <= {most_terms}"""
 
 
+def _trie_sql() -> str:
+    """crc32 by its definition; a node is named by a digest of its turns' digests."""
+    shift = "list_reduce([a::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda d: ascii(d)::bigint)), lambda s, b: {shift.replace('a::bigint', 'xor(s, b)')}), 4294967295)"
+    return f"""with turns as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as k, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+    convs as (select c, n, c - c % 100 as base, {crc} % 6 as h from (select c, count(*) as n from turns group by c)),
+    grafts as (select a.c, a.n, a.base, a.h, coalesce(least(a.h, b.n), 0) as g from convs a left join convs b on b.c = a.base),
+    rebuilt as (select g.c, t.k as d, role, text from grafts g join turns t on t.c = g.base and t.k <= g.g union all select g.c, t.k - h + g.g, role, text from grafts g join turns t on t.c = g.c and t.k > g.h),
+    said as (select c, d, length(text) as chars, md5(length(role) || ':' || role || text) as m from rebuilt),
+    prefixes as (select c, d, chars, md5(string_agg(m, '') over (partition by c order by d)) as key from said union all select c, 0, 0, '' from convs),
+    nodes as (select key, d, min(c) as owner, count(*) as n, min(chars) as chars from prefixes group by key, d),
+    lengths as (select c, max(d) as d from prefixes group by c),
+    parents as (select n.key, n.d, p.key as up, q.owner as parent from nodes n join prefixes p on p.c = n.owner and p.d = n.d - 1 join nodes q on q.key = p.key and q.d = p.d),
+    children as (select up as key, d - 1 as d, count(*) as k from parents group by all),
+    ends as (select p.key, p.d, string_agg(p.c::varchar, ',' order by p.c) as ids from lengths l join prefixes p on p.c = l.c and p.d = l.d group by all),
+    sums as (select p.key, p.d, sum((n.n - 1) * n.chars) as saved, count(*) filter (where k is null) as leaves
+        from nodes n left join children k on k.key = n.key and k.d = n.d join prefixes p on p.c = n.owner and p.d <= n.d group by all)
+    select owner as conv_id, n.d::bigint as depth, parent as parent_conv_id, n.n::bigint as n_convs, coalesce(k, 0)::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens,
+        sha256(coalesce(ids, '')) as ends_sha256
+    from nodes n join sums s on s.key = n.key and s.d = n.d left join parents p on p.key = n.key and p.d = n.d left join children c on c.key = n.key and c.d = n.d left join ends e on e.key = n.key and e.d = n.d"""
+
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": _substrings_sql(),
     "op3_decontamination": f"""with windows as (
@@ -268,4 +297,5 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": _rules_sql(),
     "op9_url_filter": _urls_sql(),
     "op12_source_divergence": _divergence_sql(),
+    "op13_conversation_trie": _trie_sql(),
 }
