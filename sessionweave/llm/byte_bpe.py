@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import Table, as_bytes, slices
 
 #: Text of a block, and text whose blocks' words make up one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 64 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
 #: Characters that are split at once.
 _STEP = 4 << 20
 #: What stands for letters, digits and other characters beyond U+FFFF while a text is split.
@@ -221,7 +221,7 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks, pa.binary())}))
 
 
-def _texts_of(texts: pa.Table, known: pa.Table) -> Iterator[tuple[pa.Array, list[bytes], list[bytes]]]:
+def _texts_of(texts: pa.Table, known: pa.Table) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
     """Keys, ids and decoded bytes of a block's texts."""
     lists = known.filter(pc.is_valid(known.column("flat"))).to_pylist()
     named = known.filter(pc.is_valid(known.column("bytes"))).sort_by("token").combine_chunks()
@@ -241,10 +241,13 @@ def _texts_of(texts: pa.Table, known: pa.Table) -> Iterator[tuple[pa.Array, list
         ids = flat[_spread(first[seq], own)]
         found = pieces.take(pa.array(np.searchsorted(tokens, ids)))
         ends = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-        data = memoryview(found.buffers()[2]) if len(ids) else memoryview(b"")
         cuts = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
-        packed = ids.astype("<u4").tobytes()
-        yield texts.column("keys")[row].values, [packed[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)], [bytes(data[ends[a] : ends[b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        yield texts.column("keys")[row].values, _cut(pa.py_buffer(ids.astype("<u4")), 4 * cuts), _cut(found.buffers()[2] if len(ids) else pa.py_buffer(b""), ends[cuts])
+
+
+def _cut(data: pa.Buffer, cuts: np.ndarray) -> pa.Array:
+    """The bytes between the cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), data])
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -256,14 +259,12 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
     lists = Table(words.groupBy("bucket").applyInArrow(encoded_bucket(path), "block long, n long, places binary, sizes binary, n_flat long, flat binary, tokens array<int>"), "block_ids", "zstd")
     split.drop("kind=1")
     bytes_of = F.broadcast(token_bytes(docs.sparkSession, path))  # one row a token of the vocabulary
-    pieces = lists.df.select("block", F.explode("tokens").alias("token")).distinct().join(bytes_of, "token").select("block", "token", "bytes")
+    pieces = lists.df.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")).select("block", F.explode("tokens").alias("token")).join(bytes_of, "token").select("block", "token", "bytes")
     right = lists.df.drop("tokens").unionByName(pieces, allowMissingColumns=True)
     schema = T.StructType().add("i", kind).add("ids", T.BinaryType()).add("decoded", T.BinaryType())
 
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:
-        parts = list(_texts_of(texts, own))
-        columns = [pa.chunked_array([k for k, _, _ in parts]), pa.chunked_array([pa.array(x, pa.binary()) for _, x, _ in parts]), pa.chunked_array([pa.array(x, pa.binary()) for _, _, x in parts])]
-        return pa.table(columns, names=["i", "ids", "decoded"])
+        return pa.table([pa.chunked_array(x) for x in zip(*_texts_of(texts, own), strict=True)], names=["i", "ids", "decoded"])
 
     texts = split.df.where("kind = 0").select("block", "keys", "counts", "seq")
     return texts.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema).select(F.col("i").alias(id_col), "ids", "decoded")
