@@ -117,6 +117,19 @@ def align_segments_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_words(_day_labels(spark, sf_dir), _words(spark, sf_dir), bucket_seconds=21_600)
 
 
+@_query(f"""with words_ as ({WORDS_SQL.removeprefix("words as (").removesuffix(")")}), words as (select source_id, pos, ws, word,
+    case word when 'click' then 'infinity'::double when 'view' then ws + 1e10 when 'purchase' then 'nan'::double else we end as we from words_), {LABELS_SQL},
+lasting as (select source_id, label_idx, s, e from labels_ union all select source_id, -1, '-infinity'::double, 'infinity'::double from (select distinct source_id from labels_))
+select l.source_id, label_idx, coalesce(string_agg(word, ' ' order by ws, pos) filter (where word <> 'sp'), '') as text
+from lasting l left join words w on w.source_id = l.source_id and not isnan(we) and we > s and ws < e group by all""")
+def align_lasting_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that never end, end in 300 years or have no number as end, and a label for all time beside each source's days."""
+    end = F.when(F.col("word") == "click", float("inf")).when(F.col("word") == "view", F.col("start") + 1e10).when(F.col("word") == "purchase", float("nan")).otherwise(F.col("end"))
+    days = _day_labels(spark, sf_dir)
+    ever = days.select("source_id", F.lit(-1).alias("label_idx"), F.lit(float("-inf")).alias("start"), F.lit(float("inf")).alias("end")).distinct()
+    return align.align_words(days.unionByName(ever), _words(spark, sf_dir).withColumn("end", end)).select("source_id", "label_idx", "text")
+
+
 @_query(f"with {WORDS_SQL} select source_id, string_agg(word, ' ' order by pos) as text from words where word <> 'sp' group by source_id")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.transcripts(_words(spark, sf_dir))
