@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import Table, as_bytes, slices
 
 #: Text of a block, and text whose blocks' words make up one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 32 << 20
 #: Characters that are split at once.
 _STEP = 4 << 20
 #: What stands for letters, digits and other characters beyond U+FFFF while a text is split.
@@ -59,9 +59,10 @@ def _classes() -> dict[str, str]:
     import tiktoken
 
     single = {bytes([b]): b for b in range(256)}
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    some = ["".join(every[k : k + 8192]) for k in range(0, len(every), 8192)]
     engines = {c: tiktoken.Encoding(c, pat_str=c + "+", mergeable_ranks=single, special_tokens={}) for c in (r"\p{L}", r"\p{N}", r"\s")}
-    return {c: e.decode_bytes(e.encode_ordinary(every)).decode() for c, e in engines.items()}
+    return {c: "".join(e.decode_bytes(e.encode_ordinary(x)).decode() for x in some) for c, e in engines.items()}
 
 
 def _ranges(chars: str) -> str:

@@ -67,6 +67,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+def with_few(df: DataFrame, rows: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
+    """df joined with rows, which are broadcast if there are at most so many."""
+    few = rows.limit(most + 1).count() <= most
+    return df.join(F.broadcast(rows) if few else rows, on, how)
+
+
 def _file(spark: SparkSession, path: str) -> tuple:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, as_bytes, slices
+from .common import Table, as_bytes, slices, with_few
 
 SCALE, EXTRA = 1_000_000_000, 5
 #: Terms of a chunk and groups of a block, on average.
 CHUNK, BLOCK = 1024, 32
+#: Rows of a list of languages or groups that is broadcast.
+SENT = 100_000
 #: Bytes of text that are counted together.
 _COUNTED = 16 << 20
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -151,7 +153,7 @@ def pair_values(entries: DataFrame, sizes: DataFrame, block_of: int = BLOCK) ->
     heads = sizes.join(blocks, "lang").select("lang", "source", "total", "v", "blocks", F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("block"))
     packed = entries.groupBy("lang", "source", "chunk").agg(F.collect_list(F.struct("place", "n")).alias("cells"))
     empty = sizes.select("lang", "source", F.lit(-1).alias("chunk"), F.expr("cast(array() as array<struct<place:int,n:bigint>>)").alias("cells"))
-    rows = packed.unionByName(empty).join(heads, ["lang", "source"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = with_few(packed.unionByName(empty), heads, ["lang", "source"], "inner", SENT).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = rows.select("lang", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "chunk", "source", "block", "total", "v", "cells")
     ordered = tiles.repartition("lang", "first", "second").sortWithinPartitions("lang", "first", "second", "chunk")
     return ordered.mapInArrow(_tiles, "lang string, source string, item string, value long")
@@ -163,7 +165,8 @@ def audit_sources(docs: DataFrame, least_docs: int = 30, most_terms: int = 50, t
     counted = Table(group_counts(docs, text_col, lang_col, source_col), "group_counts")
     kept = Table(counted.df.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs"), "kept")
     langs = kept.df.groupBy("lang").agg(F.count("*").alias("v"), F.sum("in_lang").alias("lang_total"))
-    dealt = kept.df.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / F.lit(chunk_of))).cast("int"))
+    chunked = with_few(kept.df, langs, ["lang"], "inner", SENT).withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / F.lit(chunk_of))).cast("int"))
+    dealt = chunked.repartition("lang", "chunk")  # else a window takes what is dealt by language alone
     named = dealt.select("lang", "term", "in_lang", "chunk", (F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1).alias("place"))
     entries = Table(counted.df.drop("docs").join(named, ["lang", "term"]), "entries")
     counted.drop()
@@ -173,6 +176,6 @@ def audit_sources(docs: DataFrame, least_docs: int = 30, most_terms: int = 50, t
     kept.drop()
     own = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(own).alias("rank"))
-    over = entries.df.join(sizes.df, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), (_share("n", "total") - _share("in_lang", "lang_total")).alias("value")).where("value > 0")
+    over = with_few(entries.df, sizes.df, ["lang", "source"], "inner", SENT).select("lang", "source", F.col("term").alias("item"), (_share("n", "total") - _share("in_lang", "lang_total")).alias("value")).where("value > 0")
     pairs = pair_values(entries.df.select("lang", "source", "chunk", "place", "n"), sizes.df, block_of)
     return ranked(pairs, "pair").unionByName(ranked(over, "term").where(F.col("rank") <= most_terms))

@@ -3,7 +3,7 @@
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The fingerprints of such texts
 can differ in many bits, too many for popcounts to choose by. So besides its whole fingerprint, which the segment-popcount grid
 of `simhash` joins at two bits or fewer, a text has the fingerprints of `SAMPLES` samples of `SAMPLED` shingles, the least under as many
-orders. Texts of similarity s have equal fingerprints in one sample or more with a chance of 1 - (1 - s^5)^16, that is 0.998 at
+orders. Texts of similarity s have equal fingerprints in one sample or more with a chance of 1 - (1 - s^5)^24, that is 0.9999 at
 0.8 and more above. Each candidate pair's similarity is computed from the whole shingle sets.
 
 Texts with one fingerprint in common form a cell. Copies (equal words) are folded into one text first. Two rounds follow:
@@ -15,12 +15,19 @@ Texts with one fingerprint in common form a cell. Copies (equal words) are folde
    shingle sets, the rarest first: of sets of similarity s each has a common shingle among its first n - ceil(s * n) + 1. That is exact.
    Of a pair one text is outside the cell's largest group, so a large group of near copies makes no pairs of its own.
 
-A candidate passes if the least `SKETCH` hashes of both sets agree by the wanted similarity less `SLACK` or more, a test that a pair at 0.8
-fails with a chance of about 2e-4, and is then verified on the whole sets. The second round tests sketches where candidates meet, so that
+A candidate passes if sketches allow the similarity. A sketch cuts the range of hashes into 512 bins and has two bits a bin: whether the text has
+a hash there, and the last bit of the least one. Of bins that either text has, those with equal least hashes are as frequent as the texts are similar;
+equal and unequal last bits tell how many they are, up to a deviation of 0.6 / sqrt(bins) at most. Four deviations are allowed, so a pair at 0.8
+fails with a chance of about 3e-5. Pairs that pass are verified on the whole sets. The second round tests sketches where candidates meet, so that
 those that fail are neither shuffled nor written.
 
+Texts don't move with their fingerprints: a row is known by its place in the stored table (Parquet file and row), by which the few texts that have to
+be verified are fetched and the rows that go are left out. Lists of such rows are broadcast up to `SENT` rows, beyond that joined by
+a shuffle. Tables that aren't read from files are written once.
+
 Nulls and edge cases: a null text counts as empty; texts without words are copies of each other; texts of fewer than five words have
-one shingle, the whole sequence; null and repeated ids play no part, as groups are of texts; an empty table gives no rows.
+one shingle, the whole sequence; null and repeated ids play no part, as groups are of texts; columns are carried under any name but that of the id and
+the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,20 +38,23 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, as_bytes, slices, written
+from .common import Table, as_bytes, slices, source_of, with_few
 from .components import connected_components
 from .simhash import fingerprints_of_hashes, links, shingle_hashes
 
-SAMPLES = 16
+SAMPLES = 24
 SAMPLED = 5
 #: Texts of a cell beyond which the second round goes by prefixes.
 DENSE_CELL = 64
-#: Least hashes of a text that candidates are first compared by, and how far below the wanted similarity these may agree.
-SKETCH, SLACK = 64, 0.2
+#: Longs of the two halves of a sketch, 64 bins each.
+SKETCH = 8
+#: Rows of a list that is broadcast, of some 80 bytes each.
+SENT = 500_000
 #: Candidates of one text that one task verifies.
 _PARTNERS = 1024
 #: Odd factors, one for each order of the shingles' hashes.
@@ -62,48 +72,72 @@ def samples_of(hashes: np.ndarray) -> np.ndarray:
     return hashes[np.concatenate(found)]
 
 
-def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, copy, shingles, fp, samples, sketch, text) and the columns to carry: `copy` is a digest of the words, `shingles` the number of
-    distinct ones, `sketch` the leading 31 bits of the least hashes."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in carry))
-    own = T.StructType([source.schema["id"], T.StructField("copy", T.BinaryType()), T.StructField("shingles", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.IntegerType()))])
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH longs of occupied bins and SKETCH of the last bits there, of distinct hashes in order."""
+    bins = (hashes >> np.uint64(64 - 6 - (SKETCH.bit_length() - 1))).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    bits = np.zeros((2, 64 * SKETCH), np.uint8)
+    bits[0, bins[first]] = 1
+    bits[1, bins[first]] = hashes[first] & np.uint64(1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def prints(source: DataFrame, words: int) -> DataFrame:
+    """(i, file, at, copy, h, shingles, fp, samples, sketch) of rows (i, t, file, at): `copy` is a digest of the words, `h` one of the text,
+    `shingles` the number of distinct ones."""
+    rows = source.select("i", "t", "file", "at")
+    own = T.StructType([*(rows.schema[c] for c in ("i", "file", "at")), T.StructField("copy", T.BinaryType()), T.StructField("h", T.LongType()), T.StructField("shingles", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "t"):
             texts = as_bytes(part.column(1))
             hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in texts]
             sets = [np.unique(h) for h in hashes]
             full = [k for k, s in enumerate(sets) if len(s)]
             sampled = iter(fingerprints_of_hashes([r for k in full for r in samples_of(sets[k])]).view(np.int64).reshape(-1, SAMPLES).tolist())
             columns = [
-                part.column(0),
+                *(part.column(k) for k in (0, 2, 3)),
                 pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], pa.binary()),
+                pa.array(np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array(fingerprints_of_hashes(hashes).view(np.int64)),
                 pa.array([next(sampled) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                pa.array([(s[:SKETCH] >> np.uint64(33)).astype(np.int32) for s in sets], pa.list_(pa.int32())),
-                *(part.column(k) for k in range(1, part.num_columns)),
+                pa.array([sketch_of(s) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*own.names, "text", *carry])
+            yield pa.RecordBatch.from_arrays(columns, names=own.names)
+
+    return rows.mapInArrow(run, own)
 
-    return source.mapInArrow(run, T.StructType([*own, *(source.schema[c] for c in ("text", *carry))]))
+
+def placed(source: DataFrame) -> DataFrame:
+    """Rows with the file and place that they are stored at. Raises AnalysisException if they aren't read from files."""
+    return source.select("*", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def fetched(source: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of the source joined with rows (file, at, ...) by their place."""
+    return with_few(source, rows, ["file", "at"], how, SENT)
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, found): the hashes of each text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "t"):
             sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in as_bytes(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "found"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, found array<long>")
+    return texts.select("node", "t").mapInArrow(run, "node long, found array<long>")
 
 
 def similar_sketches(a: str, b: str, least: float) -> F.Column:
-    """Whether the share of common hashes among the least ones of both sketches is at least so much."""
-    either = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(a, b), either)) >= F.lit(least) * F.size(either)
+    """Whether both sketches allow that similarity."""
+    at = lambda c, half: [F.get(c, half * SKETCH + k) for k in range(SKETCH)]
+    total = lambda parts: reduce(lambda x, y: x + y, map(F.bit_count, parts))
+    both = [x.bitwiseAND(y) for x, y in zip(at(a, 0), at(b, 0), strict=True)]
+    either = total([x.bitwiseOR(y) for x, y in zip(at(a, 0), at(b, 0), strict=True)])
+    unlike = total([o.bitwiseAND(x.bitwiseXOR(y)) for o, x, y in zip(both, at(a, 1), at(b, 1), strict=True)])
+    return total(both) - 2 * unlike >= F.lit(least) * either - 4 * F.sqrt(F.lit(0.36) * either)
 
 
 def with_end(pairs: DataFrame, end: str, values: DataFrame, value: str) -> DataFrame:
@@ -121,13 +155,13 @@ def ordered(x: str, y: str) -> list[F.Column]:
     return [F.when(first, F.col(x)).otherwise(F.col(y)).alias("a"), F.when(first, F.col(y)).otherwise(F.col(x)).alias("b")]
 
 
-def verified(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> Table:
+def verified(candidates: DataFrame, nodes: DataFrame, source: DataFrame, words: int, similarity: float) -> Table:
     """The candidates (a, b) whose shingle sets have that similarity; sets are made of the texts in candidates that pass by sketches."""
     pairs = Table(candidates.distinct(), "candidates")
     compared = with_end(with_end(pairs.df, "a", nodes, "sketch"), "b", nodes, "sketch")
-    passed = Table(compared.where(similar_sketches("a_sketch", "b_sketch", similarity - SLACK)).select("a", "b"), "passed")
+    passed = Table(compared.where(similar_sketches("a_sketch", "b_sketch", similarity)).select("a", "b"), "passed")
     ends = passed.df.select(F.col("a").alias("node")).union(passed.df.select("b")).distinct()
-    sets = Table(shingle_sets(texts.join(ends, "node", "left_semi"), words), "sets")
+    sets = Table(shingle_sets(fetched(source, nodes.join(ends, "node").select("node", "file", "at")), words), "sets")
     common = F.size(F.array_intersect("a_found", "b_found"))
     either = F.size("a_found") + F.size("b_found") - common
     both = with_end(with_end(passed.df, "a", sets.df, "found"), "b", sets.df, "found")
@@ -149,7 +183,7 @@ def pairs_apart(cells: DataFrame, similarity: float) -> DataFrame:
     named = cells.join(mixed, "cell")
     left, right = (named.select("cell", "most", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "shingles", "group", "sketch"))) for n in "ab")
     once = (F.col("b_group") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
-    met = left.where("a_group <> most").join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity) & similar_sketches("a_sketch", "b_sketch", similarity - SLACK))
+    met = left.where("a_group <> most").join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity) & similar_sketches("a_sketch", "b_sketch", similarity))
     return met.select(*ordered("a_node", "b_node"))
 
 
@@ -163,18 +197,16 @@ def prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return placed.join(texts, "node").where(F.col("place") <= length - (F.col("shingles") - F.col("common"))).select("cell", *texts.columns)
 
 
-def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(copy, group) of written `prints` with a number `row`: `group` is the least row number that links of that similarity reach."""
+def groups(copies: DataFrame, source: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, group) of written copies (node, file, at, shingles, fp, samples, sketch): `group` is the least node that links of that
+    similarity reach."""
     scratch: list[Table] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         scratch.append(Table(df, name))
         return scratch[-1].df
 
-    named = Table(rows.groupBy("copy").agg(F.min("row").alias("node")), "copies").df
-    narrow = rows.select(F.col("row").alias("node"), "shingles", "fp", "samples", "sketch").where("shingles > 0")
-    nodes = kept(narrow.join(named, "node", "left_semi"), "nodes")
-    texts = rows.select(F.col("row").alias("node"), "text")
+    nodes = copies.where("shingles > 0")
     entries = nodes.select("node", "shingles", F.explode(F.array_distinct(F.array_append("samples", F.col("fp")))).alias("cell"))
     head = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "shingles"))
     sizes = entries.groupBy("cell").agg(F.count("*").alias("count"), head.alias("head")).where("count > 1")
@@ -182,7 +214,7 @@ def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     firsts = cells.withColumn("b_shingles", F.col("shingles")).where(near_sizes(similarity) & (F.col("node") != F.col("a_node"))).select(*ordered("a_node", "node"))
     distinct = kept(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
     near = links(distinct).select(*ordered("a", "b"))
-    scratch.append(verified(firsts.union(near), nodes, texts, words, similarity))
+    scratch.append(verified(firsts.union(near), nodes, source, words, similarity))
     found = scratch[-1].df
     known = connected_components(found)
     grouped = cells.select("cell", "node", "shingles", "count").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
@@ -192,23 +224,37 @@ def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     apart = [pairs_apart(mixed.where(F.col("count") <= DENSE_CELL).drop("count").join(sketches, "node"), similarity)]
     dense = mixed.where(F.col("count") > DENSE_CELL).select("node", "shingles", "group").distinct().join(sketches, "node")
     if not dense.isEmpty():
-        sets = kept(shingle_sets(texts.join(dense, "node", "left_semi"), words), "dense")
+        sets = kept(shingle_sets(fetched(source, nodes.join(dense, "node", "left_semi").select("node", "file", "at")), words), "dense")
         apart.append(pairs_apart(kept(prefixes(dense, sets, similarity), "prefixes"), similarity))
-    scratch.append(verified(reduce(DataFrame.union, apart), nodes, texts, words, similarity))
+    scratch.append(verified(reduce(DataFrame.union, apart), nodes, source, words, similarity))
     reached = connected_components(found.union(scratch[-1].df))
     for t in scratch:
         t.drop()
-    return named.join(reached, named["node"] == reached["node"], "left").select("copy", F.coalesce("component", named["node"]).alias("group"))
+    return copies.select("node").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, carry: Sequence[str] = ()) -> DataFrame:
     """(id, text) and the columns to carry, of one row of each group of near copies: the one with the least id (nulls last), then hash
     of the text; of equal rows any one."""
-    numbered = Table(prints(docs, id_col, text_col, words, carry).withColumn("row", F.monotonically_increasing_id()), "prints")
-    rows = numbered.df
-    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", F.xxhash64("text").alias("h"), "row")
-    least = rows.groupBy("copy").agg(F.min(order).alias("least"))
-    stay = least.join(groups(rows, words, similarity), "copy").groupBy("group").agg(F.min("least").alias("least")).select("least.row")
-    out = written(rows.join(stay, "row", "left_semi").select(F.col("id").alias(id_col), F.col("text").alias(text_col), *carry), "kept")
-    numbered.drop()
-    return out
+    first, ids, carried = source_of(docs, id_col, text_col, carry, [text_col])
+    try:
+        source = placed(first)
+        made = Table(prints(source, words), "prints")
+        unique = made.df.groupBy("file", "at").count().where("count > 1").isEmpty()
+    except AnalysisException:
+        unique = False
+    if not unique:
+        source = placed(Table(first, "documents").df)
+        made = Table(prints(source, words), "prints")
+    order = F.struct(F.col("i").isNull().alias("unnamed"), "i", "h", "file", "at")
+    rest = [F.first(c).alias(c) for c in ("shingles", "fp", "samples", "sketch")]
+    folded = made.df.groupBy("copy").agg(F.min(order).alias("least"), *rest)
+    copies = Table(folded.select(F.monotonically_increasing_id().alias("node"), "least", "least.file", "least.at", "shingles", "fp", "samples", "sketch"), "copies")
+    named = groups(copies.df, source, words, similarity)
+    stay = Table(copies.df.join(named, "node").groupBy("group").agg(F.min("least").alias("least")).select("least.file", "least.at"), "stay")
+    gone = made.df.select("file", "at").join(stay.df, ["file", "at"], "left_anti")
+    few = gone.limit(SENT + 1).count() <= SENT
+    left = fetched(source, Table(gone, "gone").df, "left_anti") if few else fetched(source, stay.df, "left_semi")
+    made.drop()
+    copies.drop()
+    return left.select(*ids, F.col("t").alias(text_col), *carried)

@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from sessionweave.llm import similarity
 
 from .test_llm_queries import brute_components, brute_shingles, similar
@@ -40,7 +42,7 @@ def test_groups_match_all_pairs(spark, monkeypatch, dense):
 
 
 def test_similar_texts_share_a_sample():
-    """Sets of similarity 0.8 have a sample in common with a chance of 0.998."""
+    """Sets of similarity 0.8 have a sample in common with a chance of 0.9999."""
     rnd = np.random.default_rng(3)
     met = 0
     for _ in range(500):
@@ -48,7 +50,7 @@ def test_similar_texts_share_a_sample():
         rnd.shuffle(h)
         a, b = (similarity.samples_of(np.sort(x)) for x in (h[:297], h[33:330]))  # 264 of 330
         met += any((np.sort(x) == np.sort(y)).all() for x, y in zip(a, b, strict=True))
-    assert met >= 490
+    assert met >= 498
 
 
 def test_nulls_repeats_and_an_empty_table(spark):
@@ -63,3 +65,40 @@ def test_very_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     docs = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "w " * 300_000)], "doc_id long, text string")
     assert {r["doc_id"] for r in similarity.one_of_each_group(docs).collect()} == {1, 3}
+
+
+def test_carried_columns_of_any_name_and_stored_rows(spark, tmp_path, monkeypatch):
+    names = ["row", "copy", "shingles", "fp", "samples", "sketch", "id", "file", "at", "node", "i", "t", "h", "least", "group", "_metadata", "c0"]
+    texts = near_texts(random.Random(2))[::3]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in names})
+    docs.drop("_metadata").repartition(5).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    components = brute_components({d: brute_shingles(t) for d, t in enumerate(texts)}, similar)
+    wanted = {d for d, c in components.items() if d == c}
+    twice = stored.withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    for df, own, sent in ((docs, names, 500_000), (stored, [n for n in names if n != "_metadata"], 0), (twice, ["row", "twice"], 500_000)):
+        monkeypatch.setattr(similarity, "SENT", sent)
+        out = similarity.one_of_each_group(df, carry=own).collect()
+        assert sorted(r["doc_id"] for r in out) == sorted(wanted)
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in out for n in own if n != "twice")
+
+
+def test_sketches_allow_what_is_similar():
+    """A pair at 0.8 or more passes; unlike texts seldom do."""
+    rnd = np.random.default_rng(8)
+
+    def allowed(a, b):
+        x, y = (similarity.sketch_of(np.unique(v)).view(np.uint64) for v in (a, b))
+        count = lambda v: sum(int(k).bit_count() for k in v)
+        half = similarity.SKETCH
+        both, either = x[:half] & y[:half], x[:half] | y[:half]
+        return count(both) - 2 * count(both & (x[half:] ^ y[half:])) >= 0.8 * count(either) - 4 * (0.36 * count(either)) ** 0.5
+
+    for size in (5, 40, 300, 5000):
+        passed = [[], []]
+        for _ in range(200):
+            h = rnd.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + rnd.integers(0, 2, size).astype(np.uint64)
+            cut = size // 10
+            passed[0].append(allowed(h[: size - cut], h[cut:]))
+            passed[1].append(allowed(h[: size // 2 + size // 8], h[size // 2 - size // 8 :]))
+        assert all(passed[0]) and (size < 300 or sum(passed[1]) <= 2)
