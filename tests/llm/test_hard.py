@@ -275,3 +275,34 @@ def test_pipeline_with_null_and_repeated_ids_loses_no_clean_text(spark, tmp_path
         assert sorted(r["text"] for r in docs.collect()) == sorted(texts) and docs.columns == list(corpus_pipeline.COLUMNS)
     packed = corpus_pipeline.pack(spark, docs, "")
     assert sorted(r[0] for r in packed.where("start = 0").select("doc_tokens").collect()) == sorted(r[0] for r in packed.groupBy("doc_id", "ids_crc32").agg(F.first("doc_tokens")).select(F.col("first(doc_tokens)")).collect())
+
+
+@pytest.mark.parametrize("where", ["end", "start", "both"])
+def test_many_windows_that_are_alike(where):
+    """Windows of one ending or one beginning in a text that is full of them: as fast as others, and all found."""
+    import time
+
+    from sessionweave.llm.decontamination import Windows
+
+    common = "this closing phrase is shared by every item of the set".split()
+    middle = lambda k: [f"w{k}"] if where != "both" else [f"w{k}", "x"]
+    cut = {"end": lambda k: [*middle(k), *common, "end"], "start": lambda k: [*common, "end", *middle(k)], "both": lambda k: [*common[:5], *middle(k), *common[5:]]}[where]
+    patterns = [" " + " ".join(cut(k)) + " " for k in range(60_000)]
+    tables = Windows({p.encode(): {str(k)} for k, p in enumerate(patterns)} | {b" this closing ": {"short"}, b" phrase is ": {"inner"}})
+    text = " ".join(p.strip() for p in patterns[: (1 << 20) // len(patterns[0])])
+    began = time.process_time()
+    counts, found = tables.search([text.encode(), b"w1 this closing phrase", b"closing"])
+    assert time.process_time() - began < 2
+    n = (1 << 20) // len(patterns[0])
+    assert found[0][1] == {"inner", "short", *map(str, range(n))} and found[1][1] == {"short"} and set(found) == {0, 1}
+    assert found[0][0] == [(0, counts[0])]
+
+
+def test_windows_that_start_with_others():
+    from sessionweave.llm.decontamination import WuManber
+
+    patterns = [b" a b c d ", b" a b c d e ", b" a b c d e f ", b" a b c d x ", b" b c d e f "]
+    text = b" a b c d e f a b c d e a b c d " + b"\0" * 8
+    found = sorted(WuManber(patterns).find(text))
+    wanted = sorted((i, k) for k, p in enumerate(patterns) for i in range(len(text)) if text.startswith(p, i))
+    assert found == wanted
