@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import numeric_id
@@ -106,6 +106,33 @@ def mapping_errors(mapped: DataFrame) -> DataFrame:
     )
 
 
+def listed_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """`file` of everything below a folder of any store that Spark reads; names only, listed by Spark, in parallel where folders are many."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return listing.select(plain_path(F.col("path")).alias("file"))
+
+
+def plain_path(path: Column) -> Column:
+    """A path without its store's name, so that file:/a and /a are one."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def missing_files(mapped: DataFrame, files: DataFrame) -> DataFrame:
+    """Mapped rows of media_manifest's result whose video_path isn't among `files`: one join with the listing, no look at each file."""
+    taken = mapped.where("local_video_id is not null and video_path is not null")
+    return taken.join(files.select(F.col("file").alias("_file")).distinct(), plain_path(F.col("video_path")) == F.col("_file"), "left_anti")
+
+
+def check_mapping(mapped: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """mapped, if no invariant of it is broken and, given a listing, all its files exist; else an error that names what is wrong."""
+    broken = {k: n for k, n in mapping_errors(mapped).first().asDict().items() if n}
+    if broken:
+        raise ValueError(f"mapping: {broken}")
+    if files is not None:
+        require_empty(missing_files(mapped, files), "mapped files that don't exist")
+    return mapped
+
+
 def attach_media(manifest: DataFrame, mapping: DataFrame, check: bool = True) -> DataFrame:
     """Left join of one mapping row at most per manifest row; the mapping's columns that clash get the suffix _mapped."""
     keys = ["segment_id", "label_idx"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import intervals, missing, scores
+from .functions import geometry, intervals, missing, pose, scores
 from .functions import text as X
 from .operators import align, assemble, frames, media, speech, stats, validate
 from .plans import text_pipeline
@@ -277,3 +277,47 @@ def correlation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_p = found.select("r", "n", t.alias("t"), stats.p_value(F.col("r"), F.col("n")).alias("p"))
     fits = F.when(F.abs("t") > 3.3, F.col("p") < 0.002).when(F.abs("t") < 1.9, F.col("p") > 0.04).otherwise(F.col("p").between(0.0005, 0.1))
     return with_p.select(F.lit("label").alias("pair"), F.round("r", 6).alias("r"), "n", F.round("t", 4).alias("t"), fits.alias("small"))
+
+
+#: Degrees of freedom are whole, so Student's distribution has a closed sum: of powers of the squared cosine, the sine being |r|.
+_P_SQL = """with c as (select lang, corr(quality, length(text)) as r, count(*) as n from labels join documents using (doc_id) group by lang union all select 'all', corr(quality, toxic), count(*) from labels),
+t as (select lang, r, n, n - 2 as v, unnest(range(0, (n - 2 + (n % 2)) // 2)) as j from c),
+s as (select lang, r, n, v, j, case when j = 0 then 0 when v % 2 = 0 then ln((2 * j - 1) / (2.0::double * j)) else ln(2 * j / (2.0::double * j + 1)) end as step from t),
+p as (select lang, r, n, v, exp(sum(step) over (partition by lang order by j) + j * ln(1 - r * r)) as term, j from s where v % 2 = 0 or j < (v - 1) // 2)
+select lang, round(r, 6) + 0.0 as r, n, round(1 - case when v % 2 = 0 then abs(r) * sum(term) else 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * sum(term)) end, 6) + 0.0 as p from p group by lang, r, n, v"""
+
+
+@_query(_P_SQL)
+def correlation_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, docs = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents")
+    by_lang = labels.join(docs, "doc_id").groupBy("lang").agg(F.corr("quality", F.length("text")).alias("r"), F.count("*").alias("n"))
+    found = by_lang.unionByName(labels.agg(F.corr("quality", "toxic").alias("r"), F.count("*").alias("n")).withColumn("lang", F.lit("all")))
+    return _rounded(found.select("lang", "r", "n", stats.p_value(F.col("r"), F.col("n")).alias("p")))
+
+
+#: Angles in degrees that follow from an event's value and number.
+_ANGLES = {"pitch": "50 * sin(value)", "yaw": "60 * cos(value)", "roll": "cast(event_id % 37 - 18 as double)"}
+
+
+@_query("select event_id, " + ", ".join(f"round({x}, 4) + 0.0 as {n}" for n, x in _ANGLES.items()) + " from events")
+def head_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model heads turned by known angles and projected; the angles are found again."""
+    events = _table(spark, sf_dir, "events")
+    a, b, c = (F.radians(F.expr(x)) for x in _ANGLES.values())
+    sin, cos = F.sin, F.cos
+    r = [[cos(c) * cos(b), cos(c) * sin(b) * sin(a) - sin(c) * cos(a), cos(c) * sin(b) * cos(a) + sin(c) * sin(a)], [sin(c) * cos(b), sin(c) * sin(b) * sin(a) + cos(c) * cos(a), sin(c) * sin(b) * cos(a) - cos(c) * sin(a)], [-sin(b), cos(b) * sin(a), cos(b) * cos(a)]]
+    at = [[sum(r[i][k] * x for k, x in enumerate(point)) + shift for i, shift in enumerate((30.0, -20.0, 1500.0))] for point in pose.MODEL]
+    width, height = F.lit(1280), F.lit(720)
+    flat = [v for x, y, z in at for v in (1280 * x / z + 640, 1280 * y / z + 360)]
+    found = events.select("event_id", geometry.euler_degrees(pose.rotation(F.array(*flat), width, height)).alias("e")).select("event_id", "e.*")
+    return _rounded(found, 4)
+
+
+@_query("""select event_id, round(degrees(case when value > 50 then atan2(sin(value), cos(value)) else atan2(-sin(value), cos(value)) end), 6) + 0.0 as pitch,
+    (case when value > 50 then 90.0 else -90.0 end)::double as yaw, 0.0::double as roll from events""")
+def gimbal_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads turned aside by a right angle, where roll can't be told from pitch."""
+    v, side = F.col("value"), F.when(F.col("value") > 50, 1.0).otherwise(-1.0)
+    zero = F.lit(0.0)
+    r = F.array(F.array(zero, F.sin(v), side * F.cos(v)), F.array(zero, F.cos(v), -side * F.sin(v)), F.array(-side, zero, zero))
+    return _rounded(_table(spark, sf_dir, "events").select("event_id", geometry.euler_degrees(r).alias("e")).select("event_id", "e.*"))
