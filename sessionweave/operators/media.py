@@ -107,7 +107,8 @@ def mapping_errors(mapped: DataFrame) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """`file` of everything below a folder of any store that Spark reads; names only, listed by Spark, in parallel where folders are many."""
+    """`file` of everything below a folder of any store that Spark reads; names only, listed by Spark, in parallel where
+    folders are many. Spark leaves out files without content."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return listing.select(plain_path(F.col("path")).alias("file"))
 

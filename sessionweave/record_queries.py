@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geometry, intervals, missing, pose, scores
+from .functions import geometry, intervals, missing, pose, scores, subwords
 from .functions import text as X
 from .operators import align, assemble, frames, media, speech, stats, validate
 from .plans import text_pipeline
@@ -321,3 +321,23 @@ def gimbal_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0)
     r = F.array(F.array(zero, F.sin(v), side * F.cos(v)), F.array(zero, F.cos(v), -side * F.sin(v)), F.array(-side, zero, zero))
     return _rounded(_table(spark, sf_dir, "events").select("event_id", geometry.euler_degrees(r).alias("e")).select("event_id", "e.*"))
+
+
+_PIECES = [("", 1, 3), ("", 1, 2), ("", 1, 1), (subwords.LATER, 4, 2), (subwords.LATER, 6, 2), (subwords.LATER, 3, 1), (subwords.LATER, 5, 1)]
+
+
+@_query(f"""with recursive words as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{subwords._WORD}')) as word from documents),
+vocabulary as ({" union ".join(f"select '{p}' || substr(word, {a}, {n}) as piece from words where length(word) >= {a + n - 1} and length(word) < 9" for p, a, n in _PIECES)}),
+cut as (select word, 1 as pos, 0 as n from (select distinct word from words) where length(word) <= {subwords.MOST} union all
+    select word, pos + step, n + 1 from (select word, pos, n, case when pos = 1 and length(word) >= 3 and substr(word, 1, 3) in (select piece from vocabulary) then 3
+        when pos = 1 and length(word) >= 2 and substr(word, 1, 2) in (select piece from vocabulary) then 2 when pos = 1 and substr(word, 1, 1) in (select piece from vocabulary) then 1
+        when pos > 1 and length(word) > pos and '{subwords.LATER}' || substr(word, pos, 2) in (select piece from vocabulary) then 2
+        when pos > 1 and '{subwords.LATER}' || substr(word, pos, 1) in (select piece from vocabulary) then 1 else 0 end as step from cut where pos <= length(word)) where step > 0),
+counts as (select word, max(n) filter (where pos > length(word)) as n from cut group by word)
+select d.doc_id, (2 + coalesce(sum(case when w.word is null then 0 else coalesce(n, 1) end), 0))::int as token_count from documents d left join (words left join counts using (word)) w on w.doc_id = d.doc_id and w.word is not null group by d.doc_id""")
+def subword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents over a vocabulary made of short words' parts."""
+    docs = _table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(subwords.words_of(F.col("text"))).alias("w")).distinct().where("length(w) < 9")
+    parts = F.array(*(F.when(F.length("w") >= a + n - 1, F.concat(F.lit(p), F.substr("w", F.lit(a), F.lit(n)))) for p, a, n in _PIECES))
+    return subwords.subword_counts(docs, ["doc_id"], "text", words.select(F.explode(parts).alias("piece")))
