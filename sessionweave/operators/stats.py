@@ -193,6 +193,30 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return every.join(held, "bin", "left").select("bin", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def box_plot(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataFrame:
+    """What a box plot draws for each group: n, q1, median, q3, the farthest values within `reach` box heights of the box (low, high), and
+    how many lie beyond. Groups without values are left out."""
+    rows = staged(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias("x")))
+    found = grouped_quantiles(rows, [group], "x", [0.25, 0.5, 0.75])
+    boxes = found.groupBy(group).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    inside = F.col("x").between(F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1")))
+    kept = F.when(inside, F.col("x"))
+    return rows.join(boxes, group).groupBy(group, "q1", "median", "q3").agg(F.count("*").alias("n"), F.min(kept).alias("low"), F.max(kept).alias("high"), F.count_if(~inside).alias("outliers"))
+
+
+def heat_map(df: DataFrame, x: str, y: str, x_edges: list[float], y_edges: list[float]) -> DataFrame:
+    """(x_bin, y_bin, n) of a grid whose bins hold their lower edge, the last ones their upper edge too; empty cells are kept, values outside left out."""
+    def place(c: str, edges: list[float]) -> Column:
+        v = F.col(c).cast("double")
+        held = sum((F.when(v >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+        return F.when((v >= edges[0]) & (v <= edges[-1]), held)
+
+    counts = df.select(place(x, x_edges).alias("x_bin"), place(y, y_edges).alias("y_bin")).where("x_bin is not null and y_bin is not null").groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))
+    each = lambda edges: F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2)))
+    grid = df.sparkSession.range(1).select(each(x_edges).alias("x_bin")).select("x_bin", each(y_edges).alias("y_bin"))
+    return grid.join(counts, ["x_bin", "y_bin"], "left").na.fill(0, ["n"])
+
+
 def sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """n rows by the hash of seed and keys: the same ones however the rows are laid out, and nested as n grows."""
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

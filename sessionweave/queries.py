@@ -567,4 +567,4 @@ def assembled_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("segment_id", "label_idx", up["text"].alias("text_status"), up["speech"].alias("speech_status"), assemble.demo_status(F.col("text.status"), F.col("speech.status"), F.lit(None)).alias("demo_status"), F.col("integration.validation_status").alias("validation_status"))
 
 
-from . import record_queries, sound_queries  # noqa: E402, F401  register further queries
+from . import file_queries, record_queries, sound_queries  # noqa: E402, F401  register further queries

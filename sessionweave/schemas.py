@@ -38,3 +38,10 @@ class Settings:
     warning_seconds: float = 1.0
     least_pause_seconds: float = 0.15
     sample_rate: int = 16_000
+    device: str = "auto"
+
+    def device_name(self) -> str | None:
+        """What models are told: None leaves the choice to them."""
+        if self.device not in ("auto", "cpu", "cuda"):
+            raise ValueError(f"device must be auto, cpu or cuda, not {self.device}")
+        return None if self.device == "auto" else self.device

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,14 @@ from pyspark.sql import types as T
 from ..operators.assemble import as_json
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below spark.checkpoint.dir; a local master may leave that unset and gets a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(found or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def save_stage(df: DataFrame, path: str, keep: bool = True) -> DataFrame:
     """Writes a stage's result and reads it back, or passes it on if it isn't to be kept."""
     if not keep:
