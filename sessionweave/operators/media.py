@@ -33,37 +33,91 @@ def _counts(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("segment_id").agg(F.count("*").alias(name))
 
 
-def pair_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None = None, check: bool = True) -> DataFrame:
-    """(segment_id, label_idx, local_video_id, chronological_rank) of the manifest rows that have a file.
+def _checked(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None) -> None:
+    """Raises if file ids aren't numbers or are twice in a source ("1" and "01" are one), manifest keys double, or exceptions don't name rows and
+    files that exist, of sources whose counts differ."""
+    numbers = raw.select("segment_id", numeric_id(F.col("local_video_id")).alias("number"))
+    require_empty(numbers.where("number is null"), "file ids that aren't numbers")
+    require_unique(numbers, ["segment_id", "number"])
+    require_unique(manifest, ["segment_id", "label_idx"])
+    if exceptions is None:
+        return
+    named = exceptions.select("segment_id", "label_idx", "local_video_id")
+    require_unique(named, ["segment_id", "label_idx"])
+    require_unique(named, ["segment_id", "local_video_id"])
+    require_empty(named.join(manifest, ["segment_id", "label_idx"], "left_anti"), "exceptions without a manifest row")
+    require_empty(named.join(raw, ["segment_id", "local_video_id"], "left_anti"), "exceptions without a file")
+    even = _counts(manifest, "a").join(_counts(raw, "b"), "segment_id").where("a = b")
+    require_empty(named.join(even, "segment_id", "left_semi"), "exceptions of sources whose counts agree")
+
+
+def map_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None = None, check: bool = True) -> DataFrame:
+    """Every manifest row and every file that no row has, in one table: segment_id, label_idx, start, end, chronological_rank,
+    local_video_id, video_path, duration_sec, has_video, has_audio, manifest_count, raw_count.
 
     Where a source has as many files as rows, the i-th row by time takes the i-th file by number; elsewhere only exceptions pair
-    them. With `check`, file ids must be numbers, none twice in a source ("1" and "01" are one), manifest keys unique, and exceptions name
-    rows and files that exist, of sources whose counts differ.
+    them. Rows, files and exceptions are put together and dealt by source once; counts, places and partners are windows within a
+    source. Of a row without a file the file's columns are NULL, of a file without a row the row's. With `check`, what doesn't fit raises.
     """
     if check:
-        numbers = raw.select("segment_id", numeric_id(F.col("local_video_id")).alias("number"))
-        require_empty(numbers.where("number is null"), "file ids that aren't numbers")
-        require_unique(numbers, ["segment_id", "number"])
-        require_unique(manifest, ["segment_id", "label_idx"])
-    rows = manifest.withColumn("rank", F.row_number().over(Window.partitionBy("segment_id").orderBy("start", "end", "label_idx")) - 1)
-    files = raw.withColumn("number", numeric_id(F.col("local_video_id")))
-    files = files.withColumn("rank", F.row_number().over(Window.partitionBy("segment_id").orderBy("number", "local_video_id")) - 1)
-    rows = rows.withColumn("rows", F.count("*").over(Window.partitionBy("segment_id")))
-    files = files.withColumn("files", F.count("*").over(Window.partitionBy("segment_id")))
-    keys = ["segment_id", "rank"]
-    equal = rows.join(files.select(*keys, "local_video_id", "files"), keys).where(F.col("rows") == F.col("files")).select("segment_id", "label_idx", "local_video_id", F.col("rank").alias("chronological_rank"))
-    if exceptions is None:
-        return equal
-    named = exceptions.select("segment_id", "label_idx", "local_video_id")
-    if check:
-        require_unique(named, ["segment_id", "label_idx"])
-        require_unique(named, ["segment_id", "local_video_id"])
-        require_empty(named.join(manifest, ["segment_id", "label_idx"], "left_anti"), "exceptions without a manifest row")
-        require_empty(named.join(raw, ["segment_id", "local_video_id"], "left_anti"), "exceptions without a file")
-        even = _counts(manifest, "a").join(_counts(raw, "b"), "segment_id").where("a = b")
-        require_empty(named.join(even, "segment_id", "left_semi"), "exceptions of sources whose counts agree")
-    uneven = rows.join(named, ["segment_id", "label_idx"]).join(files.select("segment_id", "local_video_id", "files"), ["segment_id", "local_video_id"]).where(F.col("rows") != F.col("files"))
-    return equal.unionByName(uneven.select("segment_id", "label_idx", "local_video_id", F.col("rank").alias("chronological_rank")))
+        _checked(manifest, raw, exceptions)
+    media = [c for c in ("video_path", "duration_sec", "has_video", "has_audio") if c in raw.columns]
+    rows = manifest.select("segment_id", F.lit(0).alias("side"), "label_idx", "start", "end")
+    files = raw.select("segment_id", F.lit(1).alias("side"), "local_video_id", numeric_id(F.col("local_video_id")).alias("number"), *media)
+    both = rows.unionByName(files, allowMissingColumns=True)
+    if exceptions is not None:
+        both = both.unionByName(exceptions.select("segment_id", F.lit(2).alias("side"), "label_idx", "local_video_id"), allowMissingColumns=True)
+    source = lambda *more: Window.partitionBy("segment_id", *more)
+    row, file = F.col("side") == 0, F.col("side") == 1
+    ranked = both.withColumns({"manifest_count": F.count_if(row).over(source()), "raw_count": F.count_if(file).over(source()), "rank": F.row_number().over(source("side").orderBy("start", "end", "label_idx", "number", "local_video_id")) - 1})
+    partner = F.when(F.col("manifest_count") == F.col("raw_count"), F.col("rank"))
+    if exceptions is not None:
+        named = F.col("side") == 2
+        ranked = ranked.withColumns({"_row": F.max(F.when(named, F.col("local_video_id"))).over(source("label_idx")), "_file": F.max(F.when(named, F.col("label_idx"))).over(source("local_video_id"))}).where("side < 2")
+        partner = F.when(F.col("manifest_count") == F.col("raw_count"), F.col("rank")).when(row & F.col("_row").isNotNull(), F.col("label_idx")).when(file, F.col("_file"))
+    paired = ranked.withColumn("_pair", partner)
+    whole = F.struct("local_video_id", *media)
+    met = paired.withColumns({"_has": F.max(F.when(file & F.col("_pair").isNotNull(), whole)).over(source("_pair")), "_taken": F.max(F.when(row & F.col("_pair").isNotNull(), True)).over(source("_pair"))})
+    kept = met.where(row | F.col("_pair").isNull() | F.col("_taken").isNull())
+    own = lambda c: F.when(row, F.when(F.col("_pair").isNotNull(), F.col(f"_has.{c}"))).otherwise(F.col(c)).alias(c)
+    rank = F.when(row & F.col("_pair").isNotNull() & F.col("_has").isNotNull(), F.col("rank")).alias("chronological_rank")
+    return kept.select("segment_id", "label_idx", "start", "end", rank, own("local_video_id"), *(own(c) for c in media), "manifest_count", "raw_count", row.alias("in_manifest"))
+
+
+def pair_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None = None, check: bool = True) -> DataFrame:
+    """(segment_id, label_idx, local_video_id, chronological_rank) of the manifest rows that `map_media` finds a file for."""
+    found = map_media(manifest, raw, exceptions, check).where("in_manifest and local_video_id is not null")
+    return found.select("segment_id", "label_idx", "local_video_id", "chronological_rank")
+
+
+def _judged(mapped: DataFrame, warning: float) -> DataFrame:
+    """Manifest rows of map_media with the check of their duration."""
+    found = F.col("local_video_id").isNotNull()
+    length = F.col("end") - F.col("start")
+    gap = F.abs(F.col("duration_sec") - length)
+    return mapped.where("in_manifest").select(
+        "segment_id", "label_idx", "start", "end", "chronological_rank", "local_video_id", "video_path", F.col("duration_sec").alias("media_duration_sec"),
+        length.alias("manifest_duration_sec"), gap.alias("duration_difference_sec"),
+        F.coalesce("has_video", F.lit(False)).alias("has_video"), F.coalesce("has_audio", F.lit(False)).alias("has_audio"),
+        found.alias("media_available"), F.when(found, "MAPPED").otherwise("MEDIA_UNAVAILABLE").alias("mapping_status"),
+        F.when(gap <= warning, "CLOSE").when(gap > warning, "WARNING").otherwise("NOT_AVAILABLE").alias("duration_validation"),
+        "manifest_count", "raw_count",
+    )
+
+
+def mapped_manifest(mapped: DataFrame, warning: float = WARNING_SECONDS) -> DataFrame:
+    """Every manifest row of `map_media` with its file, or marked MEDIA_UNAVAILABLE, and the check of its duration."""
+    return _judged(mapped, warning).drop("manifest_count", "raw_count")
+
+
+def mapped_diagnostics(mapped: DataFrame, warning: float = WARNING_SECONDS) -> DataFrame:
+    """What didn't fit in `map_media`: durations, rows without files and files without rows, with both counts of the source."""
+    gap = F.when(F.col("in_manifest"), F.abs(F.col("duration_sec") - (F.col("end") - F.col("start"))))
+    without = F.when(F.col("raw_count") == 0, "MISSING_RAW_SOURCE").otherwise("MEDIA_UNAVAILABLE")
+    row = F.when(F.col("local_video_id").isNull(), without).when(gap > warning, "DURATION_WARNING")
+    file = F.when(F.col("manifest_count") == 0, "RAW_ONLY_SOURCE").otherwise("EXTRA_RAW_MEDIA")
+    reasons = mapped.withColumns({"duration_difference_sec": gap, "reason": F.when(F.col("in_manifest"), row).otherwise(file)})
+    return reasons.where("reason is not null").select(*DIAGNOSTIC_COLUMNS)
 
 
 def media_manifest(manifest: DataFrame, raw: DataFrame, pairs: DataFrame, warning: float = WARNING_SECONDS) -> DataFrame:

@@ -381,7 +381,7 @@ round(dur, 6) as media_duration_sec, round(e - s, 6) as manifest_duration_sec, r
 case when local_video_id is not null then 'MAPPED' else 'MEDIA_UNAVAILABLE' end as mapping_status, case when gap <= 1 then 'CLOSE' when gap > 1 then 'WARNING' else 'NOT_AVAILABLE' end as duration_validation from mapped""")
 def media_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, raw, exceptions = _media(spark, sf_dir)
-    out = media.media_manifest(manifest, raw, media.pair_media(manifest, raw, exceptions, check=False))
+    out = media.mapped_manifest(media.map_media(manifest, raw, exceptions))
     return _rounded(out.withColumn("start", F.round("start", 3)).withColumn("end", F.round("end", 3)))
 
 
@@ -390,7 +390,7 @@ select m.segment_id, case when local_video_id is not null then 'DURATION_WARNING
 union all select rr.segment_id, case when n.mc = 0 then 'RAW_ONLY_SOURCE' else 'EXTRA_RAW_MEDIA' end, n.mc, n.rc, null, vid, null from rr join n on n.segment_id = rr.segment_id where not exists (select 1 from pairs p where p.segment_id = rr.segment_id and p.vid = rr.vid)""")
 def media_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, raw, exceptions = _media(spark, sf_dir)
-    return _rounded(media.media_diagnostics(manifest, raw, media.pair_media(manifest, raw, exceptions, check=False)))
+    return _rounded(media.mapped_diagnostics(media.map_media(manifest, raw, exceptions, check=False)))
 
 
 @_query(f"with {MEDIA_SQL} select man.segment_id, man.label_idx, null::varchar as video_path, vid as local_video_id, p.segment_id || '/' || vid as video_path_mapped from man left join pairs p on p.segment_id = man.segment_id and p.label_idx = man.label_idx")
