@@ -551,8 +551,8 @@ def artifact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.compare_keys(tables, ["doc_id"])
 
 
-@_query("""with ids as (select conv_id::varchar as segment_id, turn::int as label_idx from conversations), t as (select doc_id::varchar as segment_id, quality, toxic from labels),
-r as (select i.*, case when t.segment_id is null then 'unavailable' else 'available' end as text, case when i.label_idx % 3 = 0 then 'available' when i.label_idx % 3 = 1 then 'error' end as speech from ids i left join t on t.segment_id = i.segment_id)
+@_query("""with ids as (select conv_id::varchar as segment_id, turn::int as label_idx, role from conversations), t as (select doc_id::varchar as segment_id, quality, toxic from labels),
+r as (select i.*, case when t.segment_id is null then 'unavailable' else 'available' end as text, case when i.role = 'user' then 'available' when i.role = 'assistant' then 'error' end as speech from ids i left join t on t.segment_id = i.segment_id)
 select segment_id, label_idx, text as text_status, coalesce(speech, 'not_present') as speech_status, case when text in ('available', 'not_applicable') and speech = 'available' then 'PASS' else 'PARTIAL' end as demo_status,
 case when speech is null then 'FAIL' else 'PASS' end as validation_status from r""")
 def assembled_record(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -560,7 +560,8 @@ def assembled_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = ids.select("segment_id", "label_idx")
     known = turns.join(_table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("segment_id"), "quality", "toxic"), "segment_id")
     text = assemble.lookup(turns, known, ["quality", "toxic"]).select("segment_id", "label_idx", F.struct("status", "error", "value").alias("record"))
-    heard = turns.where("label_idx % 3 < 2").select("segment_id", "label_idx", F.struct(F.when(F.col("label_idx") % 3 == 0, "available").otherwise("error").alias("status")).alias("record"))
+    spoken = _segments(spark, sf_dir).where("role in ('user', 'assistant')")
+    heard = spoken.select("segment_id", "label_idx", F.struct(F.when(F.col("role") == "user", "available").otherwise("error").alias("status")).alias("record"))
     status = lambda name: lambda r: validate.error_array({f"{name} is missing": r.isNull(), f"{name}.status is invalid": r.isNotNull() & ~r["status"].isin(*assemble.STATUSES)})
     out = assemble.with_integration(assemble.assemble(ids, text, heard), checks={"text": status("text"), "speech": status("speech")})
     up = F.col("integration.modality_availability")

@@ -234,13 +234,13 @@ def mapping_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Whole records, each kind broken in some: the real checks of text, speech and facial parts, and of their alignment.
 @_query("""select conv_id::varchar as segment_id, turn::int as label_idx,
-concat_ws(';', case when turn % 5 = 1 then 'text.feature_dim must be 774' end, case when turn % 5 = 2 then 'text.labse_embedding has a wrong size' end, case when turn % 7 = 3 then 'speech is missing' end,
+concat_ws(';', case when turn % 5 = 1 then 'text.feature_dim must be 774' end, case when turn % 5 = 2 then 'text.labse_embedding has a wrong size' end, case when role = 'system' then 'speech is missing' end,
 case when turn % 11 = 4 then 'facial.openface.status is invalid' end) as validation_errors, case when turn % 13 = 6 then 'facial segment_id differs' else '' end as alignment_errors,
 case when turn % 13 = 6 then 'FAIL' else 'PASS' end as alignment_status from conversations""")
 def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("label_idx")
     ids = _segments(spark, sf_dir).select("segment_id", "label_idx", F.lit("conversations").alias("source_dataset"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"))
-    keys = ids.select("segment_id", "label_idx")
+    keys = _segments(spark, sf_dir).select("segment_id", "label_idx", "role")
     scalars = ("sentiment_normalized", "word_count", "avg_word_length", "dependency_tree_depth", "avg_dependency_distance")
     size = F.when(turn % 5 == 2, 3).otherwise(768)
     text = F.struct(F.lit("available").alias("status"), F.when(turn % 5 == 1, 5).otherwise(774).alias("feature_dim"), F.struct(*(F.lit(0.5).alias(c) for c in scalars), F.array_repeat(F.lit(0.1), size).alias("labse_embedding")).alias("features"))
@@ -250,7 +250,7 @@ def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map().cast("map<string,double>").alias("au_statistics"), F.struct(F.lit(0.3).alias("mean")).alias("ear_statistics"), F.when(turn % 13 == 6, "other").otherwise(F.col("segment_id")).alias("segment_id"), turn.alias("label_idx"),
     )
     record = lambda c, where="true": keys.where(where).select("segment_id", "label_idx", c.alias("record"))
-    whole = assemble.with_integration(assemble.assemble(ids, record(text), record(said, "label_idx % 7 <> 3"), record(face)), facial_names_segment=True)
+    whole = assemble.with_integration(assemble.assemble(ids, record(text), record(said, "role <> 'system'"), record(face)), facial_names_segment=True)
     i = F.col("integration")
     return whole.select("segment_id", "label_idx", F.array_join(i["validation_errors"], ";").alias("validation_errors"), F.array_join(i["alignment_errors"], ";").alias("alignment_errors"), i["alignment_status"].alias("alignment_status"))
 
@@ -341,3 +341,11 @@ def subword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = docs.select(F.explode(subwords.words_of(F.col("text"))).alias("w")).distinct().where("length(w) < 9")
     parts = F.array(*(F.when(F.length("w") >= a + n - 1, F.concat(F.lit(p), F.substr("w", F.lit(a), F.lit(n)))) for p, a, n in _PIECES))
     return subwords.subword_counts(docs, ["doc_id"], "text", words.select(F.explode(parts).alias("piece")))
+
+
+@_query("""with t as (select doc_id, concat(chr(160), text, chr(8195), chr(160), lang, chr(10)) as text from documents)
+select doc_id, length(regexp_replace(text, '^[\\s\\x{00A0}\\x{2003}]+|[\\s\\x{00A0}\\x{2003}]+$', '', 'g'))::int as char_count, len(list_filter(string_split_regex(text, '[\\s\\x{00A0}\\x{2003}]+'), lambda w: w <> ''))::int as word_count from t""")
+def unicode_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts between no-break and wide spaces, which are white space as any other."""
+    text = F.concat(F.lit("\u00a0"), "text", F.lit("\u2003\u00a0"), "lang", F.lit("\n"))
+    return text_pipeline.surface_features(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "char_count", "word_count")

@@ -25,7 +25,7 @@ def _finite(value: object) -> float | None:
     return float(value) if value is not None and abs(value) < float("inf") else None
 
 
-def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = 600_000) -> Iterator[pd.DataFrame]:
     """One session's next frames, taken in order of frame_index; the state is five values a measure, the eye and the count."""
     if state.hasTimedOut:
         state.remove()
@@ -49,11 +49,15 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                     means[c] = sum(history[c]) / len(history[c])
         rows.append((key[0], frame["frame_index"], blink, blinks, *(means[c] for c in SMOOTHED), _label(means["gaze"])))
     state.update((closed, blinks, *(history[c] for c in SMOOTHED)))
-    state.setTimeoutDuration(600_000)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUTPUT.split(", ")])
 
 
-def stream_temporal_features(frames: DataFrame) -> DataFrame:
+def stream_temporal_features(frames: DataFrame, idle_minutes: int | None = 10) -> DataFrame:
     """Streaming frames (session_id, frame_index, face_detected, ear, pitch, yaw, roll, gaze), in order within a session across
-    micro-batches, to the columns OUTPUT. Sessions idle for ten minutes are forgotten."""
-    return frames.groupBy("session_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    micro-batches, to the columns OUTPUT. Sessions idle for that long are forgotten; with None none are, for streams that end."""
+    idle_ms = idle_minutes and idle_minutes * 60_000
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    step = lambda key, batches, state: advance(key, batches, state, idle_ms)
+    return frames.groupBy("session_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
