@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import stats
-from .queries import _query, _rounded, _table
+from .operators import assemble, frames, media, stats, validate
+from .queries import MEDIA_SQL, TEMPORAL_SQL, _frames, _media, _query, _rounded, _segments, _table
 from .sources import audio, readers, sinks
 from .sources.stages import Stages
 
@@ -75,3 +75,57 @@ def box_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
 select x.b::int as x_bin, y.b::int as y_bin, count(c.x_bin) as n from (select unnest([0, 1, 2, 3]) as b) x cross join (select unnest([0, 1, 2]) as b) y left join c on c.x_bin = x.b and c.y_bin = y.b group by all""")
 def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.heat_map(_table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", [1, 10, 25, 40, 50], [0.02, 0.05, 0.08, 0.1])
+
+
+@_query(f"""with {TEMPORAL_SQL}, g as (select session_id, count(*) as n, count(*) filter (where face_detected = 1) as d, sum(blink)::bigint as b from temporal group by session_id)
+select session_id, unnest([format('Frames: {{}}', n), format('Faces detected: {{}}', d), printf('Coverage: %.2f%%', round(d * 100.0::double / n, 2)), printf('Duration: %.2f s', round(n / 25.0::double, 2)), format('Blinks: {{}}', b), printf('Blinks per minute: %.2f', round(b / (n / 25.0::double / 60), 2))]) as line from g""")
+def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable summaries, written as text files of one line a measure and read again."""
+    summary = frames.session_summary(frames.temporal_features(_frames(spark, sf_dir)), 25.0)
+    rounded = summary.withColumns({c: F.round(c, 2) for c in ("face_coverage_percent", "duration_seconds", "blink_rate_per_minute")})
+    path = sinks.scratch_folder(spark, "lines")
+    sinks.save_records(sinks.session_text(rounded), path)
+    return readers.read_records(spark, path, "session_id string, line string")
+
+
+@_query("select 'documents' as name, count(*)::bigint as n from documents union all select 'labels', count(*) from labels union all select 'features', 2")
+def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a run written as JSON and read again, pinned to what the tables hold."""
+    path = sinks.scratch_folder(spark, "metadata")
+    counts = {n: _table(spark, sf_dir, n).count() for n in ("documents", "labels")}
+    for n, expected in counts.items():
+        validate.require_count(_table(spark, sf_dir, n), expected)
+    sinks.save_metadata(spark, path, 0.0, counts, ["word_count", "char_count"], {"documents": sf_dir})
+    said = readers.read_records(spark, path, "counts map<string,bigint>, features array<string>, runtime_seconds double").where("runtime_seconds > 0")
+    return said.select(F.explode(F.map_concat("counts", F.create_map(F.lit("features"), F.size("features").cast("long")))).alias("name", "n"))
+
+
+@_query(f"""with {MEDIA_SQL}, wrong as (select segment_id, label_idx, vid from pairs union all select segment_id, 0, '1' from (select distinct segment_id from man) union all select segment_id, 99, '99' from (select distinct segment_id from raw)),
+n as (select a.segment_id from (select segment_id, count(*) as c from man group by 1) a join (select segment_id, count(*) as c from raw group by 1) b on a.segment_id = b.segment_id and a.c = b.c),
+e as (select w.*, count(*) over (partition by w.segment_id, w.label_idx) > 1 as rows_, count(*) over (partition by w.segment_id, vid) > 1 as files_ from wrong w)
+select segment_id, label_idx, vid as local_video_id, concat_ws(',', case when rows_ then 'doubled row' end, case when files_ then 'doubled file' end, case when not exists (select 1 from man m where m.segment_id = e.segment_id and m.label_idx = e.label_idx) then 'no such row' end,
+    case when not exists (select 1 from raw r where r.segment_id = e.segment_id and r.num::varchar = e.vid) then 'no such file' end, case when segment_id in (select segment_id from n) then 'counts agree' end) as errors from e
+where errors <> ''""")
+def exception_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exceptions that name pairs of even sources, doubled ones and ones of nothing, each with all that is wrong with it."""
+    manifest, raw, exceptions = _media(spark, sf_dir)
+    pairs = media.pair_media(manifest, raw, exceptions, check=False).select("segment_id", "label_idx", "local_video_id")
+    first = manifest.select("segment_id").distinct().select("segment_id", F.lit(0).alias("label_idx"), F.lit("1").alias("local_video_id"))
+    nothing = raw.select("segment_id").distinct().select("segment_id", F.lit(99).alias("label_idx"), F.lit("99").alias("local_video_id"))
+    found = media.exception_errors(manifest, raw, pairs.unionByName(first).unionByName(nothing))
+    return found.withColumn("errors", F.concat_ws(",", "errors"))
+
+
+@_query("""with s as (select conv_id::varchar as segment_id, turn::int as label_idx, text, role from conversations)
+select segment_id, label_idx, case role when 'user' then 'available' when 'assistant' then 'error' else 'unavailable' end as status, case when role = 'user' then case when length(text) > 120 then substr(text, 1, 120) || '...' else text end end as shown,
+    case when role = 'user' then length(text)::int end as word_count, case when role = 'user' then 3 end as dims, case when role = 'user' then round(length(text) / 7.0::double, 6) end as quality, case when role = 'user' then 2 end as units from s""")
+def display_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a screen shows of records of which some are there, some failed and some are missing."""
+    status = F.when(F.col("role") == "user", "available").when(F.col("role") == "assistant", "error").otherwise("unavailable")
+    n = F.length("text")
+    scalars = [n.alias("word_count"), (n / 3).alias("avg_word_length"), F.lit(0.5).alias("sentiment_normalized"), F.lit(None).cast("double").alias("msttr_10"), F.array_repeat(F.lit(0.1), 3).alias("labse_embedding")]
+    text = F.struct(status.alias("status"), "text", F.struct(*scalars).alias("features"))
+    speech = F.struct(status.alias("status"), F.lit(70).alias("feature_dim"), F.create_map(F.lit("b"), F.lit(1.0), F.lit("a"), F.lit(2.0)).alias("features"), F.struct((n / 7).alias("quality_score"), F.lit(0.5).alias("speech_ratio"), F.lit(1.0).alias("snr_estimate")).alias("quality"))
+    face = F.struct(status.alias("status"), F.lit(90.0).alias("face_coverage_percent"), F.lit(3).alias("blink_count"), F.lit(4.0).alias("blink_rate_per_minute"), F.struct(F.lit("not_run").alias("status")).alias("openface"), F.create_map(F.lit("AU01"), F.lit(1.0), F.lit("AU02"), F.lit(2.0)).alias("au_statistics"))
+    rows = _segments(spark, sf_dir).select("segment_id", "label_idx", assemble.display_text(text).alias("t"), assemble.display_speech(speech).alias("s"), assemble.display_facial(face).alias("f"))
+    return _rounded(rows.where("t.status = s.status and s.status = f.status").select("segment_id", "label_idx", "t.status", F.col("t.text_preview").alias("shown"), "t.word_count", F.col("t.labse_dim").alias("dims"), F.col("s.quality_score").alias("quality"), F.col("f.au_count").alias("units")))

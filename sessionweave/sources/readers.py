@@ -52,6 +52,11 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return both.select("source_id", "pos", F.get("x.intervals", 0).alias("start"), F.get("x.intervals", 1).alias("end"), feature.alias("features"))
 
 
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON text a row, by schema; a text that isn't JSON fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def list_media(spark: SparkSession, path: str, pattern: str = "*.mp4") -> DataFrame:
     """(segment_id, local_video_id, video_path) of files below path: the first folder and the file's name without its ending.
 
