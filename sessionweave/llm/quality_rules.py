@@ -2,9 +2,10 @@
 
 A text's words become numbers and its suffixes are sorted by prefix doubling: each round compares twice as many words, and only
 suffixes that are still tied stay in. All texts of a step are sorted together, a text's words never comparing equal to another's.
-Neighbours' longest common prefixes then give each position's longest repeat, and the common-prefix intervals of at least
-`least_repeat` words give the maximal repeated substrings. Their spans are united; a text fails if they cover more than
-`most_covered` of its words or if the longest repeat exceeds `most_longest` words.
+Longest common prefixes of neighbours then give each position's longest repeat, the larger of its two neighbours'. Every maximal repeated
+substring, which is what an interval of common prefixes stands for, is at each of its places the longest repeat there or within it, so the
+spans of the positions' longest repeats of at least `least_repeat` words have the same union, and intervals needn't be formed. A text fails if
+they cover more than `most_covered` of its words or if the longest repeat exceeds `most_longest` words.
 
 Nulls and edge cases: a null or empty text has no words and fails the base rules; repeated rows each give a row; an empty table
 gives no rows. Columns other than id and text are not read.
