@@ -15,11 +15,12 @@ Texts with one fingerprint in common form a cell. Copies (equal words) are folde
    shingle sets, the rarest first: of sets of similarity s each has a common shingle among its first n - ceil(s * n) + 1. That is exact.
    Of a pair one text is outside the cell's largest group, so a large group of near copies makes no pairs of its own.
 
-A candidate passes if sketches allow the similarity. A sketch cuts the range of hashes into 512 bins and has two bits a bin: whether the text has
-a hash there, and the last bit of the least one. Of bins that either text has, those with equal least hashes are as frequent as the texts are similar;
-equal and unequal last bits tell how many they are, up to a deviation of 0.6 / sqrt(bins) at most. Four deviations are allowed, so a pair at 0.8
-fails with a chance of about 3e-5. Pairs that pass are verified on the whole sets. The second round tests sketches where candidates meet, so that
-those that fail are neither shuffled nor written.
+A candidate passes if sketches allow the similarity. A sketch cuts the range of hashes into 512 bins and has three bits a bin: whether the text
+has a hash there, and the last two bits of the least one. Of the N bins that either of two texts has, those with equal least hashes are a sample of
+their common shingles, taken without replacement; how many they are is told by the last bits, which unequal hashes share by chance one time in four. Both
+deviations are known, and four of them are allowed, so a pair at 0.8 fails with a chance of about 3e-5; for texts of few shingles the
+sample is nearly the whole set. Pairs that pass are verified on the whole sets. The second round tests sketches where candidates meet, so that those
+that fail are neither shuffled nor written.
 
 Texts don't move with their fingerprints: a row is known by its place in the stored table (Parquet file and row), by which the few texts that have to
 be verified are fetched and the rows that go are left out. Lists of such rows are broadcast up to `SENT` rows, beyond that joined by
@@ -51,7 +52,7 @@ SAMPLES = 24
 SAMPLED = 5
 #: Texts of a cell beyond which the second round goes by prefixes.
 DENSE_CELL = 64
-#: Longs of the two halves of a sketch, 64 bins each.
+#: Longs of each of the three parts of a sketch, 64 bins each.
 SKETCH = 8
 #: Rows of a list that is broadcast, of some 80 bytes each.
 SENT = 500_000
@@ -73,13 +74,14 @@ def samples_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH longs of occupied bins and SKETCH of the last bits there, of distinct hashes in order."""
+    """SKETCH longs of occupied bins, twice as many of the last bits there, and the number of hashes, of distinct hashes in order."""
     bins = (hashes >> np.uint64(64 - 6 - (SKETCH.bit_length() - 1))).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
-    bits = np.zeros((2, 64 * SKETCH), np.uint8)
+    bits = np.zeros((3, 64 * SKETCH), np.uint8)
     bits[0, bins[first]] = 1
-    bits[1, bins[first]] = hashes[first] & np.uint64(1)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+    for k in (0, 1):
+        bits[1 + k, bins[first]] = hashes[first] >> np.uint64(k) & np.uint64(1)
+    return np.append(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel(), len(hashes))
 
 
 def prints(source: DataFrame, words: int) -> DataFrame:
@@ -132,12 +134,16 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 def similar_sketches(a: str, b: str, least: float) -> F.Column:
     """Whether both sketches allow that similarity."""
-    at = lambda c, half: [F.get(c, half * SKETCH + k) for k in range(SKETCH)]
-    total = lambda parts: reduce(lambda x, y: x + y, map(F.bit_count, parts))
-    both = [x.bitwiseAND(y) for x, y in zip(at(a, 0), at(b, 0), strict=True)]
-    either = total([x.bitwiseOR(y) for x, y in zip(at(a, 0), at(b, 0), strict=True)])
-    unlike = total([o.bitwiseAND(x.bitwiseXOR(y)) for o, x, y in zip(both, at(a, 1), at(b, 1), strict=True)])
-    return total(both) - 2 * unlike >= F.lit(least) * either - 4 * F.sqrt(F.lit(0.36) * either)
+    at = lambda c, part: [F.get(c, part * SKETCH + k) for k in range(SKETCH)]
+    total = lambda parts: reduce(lambda x, y: x + y, map(F.bit_count, parts)).cast("double")
+    two = lambda f, part: [f(x, y) for x, y in zip(at(a, part), at(b, part), strict=True)]
+    common, apart = two(lambda x, y: x.bitwiseAND(y), 0), two(lambda x, y: x.bitwiseXOR(y), 1)
+    unlike = [o.bitwiseAND(x.bitwiseOR(y)) for o, x, y in zip(common, apart, two(lambda x, y: x.bitwiseXOR(y), 2), strict=True)]
+    both, either = total(common), total(two(lambda x, y: x.bitwiseOR(y), 0))
+    equal = (3 * both - 4 * total(unlike)) / 3
+    whole = (F.get(a, 3 * SKETCH) + F.get(b, 3 * SKETCH)) / F.lit(1 + least)  # shingles of both, if they are just so similar
+    spread = F.lit(least * (1 - least)) * either * F.greatest(F.lit(0.0), 1 - either / whole) + F.greatest(F.lit(0.0), both - F.lit(least) * either) / 3
+    return equal >= F.lit(least) * either - 4 * F.sqrt(spread) - 1
 
 
 def with_end(pairs: DataFrame, end: str, values: DataFrame, value: str) -> DataFrame:

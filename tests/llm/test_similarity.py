@@ -88,11 +88,13 @@ def test_sketches_allow_what_is_similar():
     rnd = np.random.default_rng(8)
 
     def allowed(a, b):
-        x, y = (similarity.sketch_of(np.unique(v)).view(np.uint64) for v in (a, b))
+        (x, n), (y, m) = ((v[:-1].view(np.uint64), int(v[-1])) for v in (similarity.sketch_of(np.unique(v)) for v in (a, b)))
         count = lambda v: sum(int(k).bit_count() for k in v)
-        half = similarity.SKETCH
-        both, either = x[:half] & y[:half], x[:half] | y[:half]
-        return count(both) - 2 * count(both & (x[half:] ^ y[half:])) >= 0.8 * count(either) - 4 * (0.36 * count(either)) ** 0.5
+        k = similarity.SKETCH
+        both, either = x[:k] & y[:k], count(x[:k] | y[:k])
+        unlike, held = count(both & ((x[k : 2 * k] ^ y[k : 2 * k]) | (x[2 * k :] ^ y[2 * k :]))), count(both)
+        spread = 0.16 * either * max(0, 1 - either / ((n + m) / 1.8)) + max(0, held - 0.8 * either) / 3
+        return (3 * held - 4 * unlike) / 3 >= 0.8 * either - 4 * spread**0.5 - 1
 
     for size in (5, 40, 300, 5000):
         passed = [[], []]
@@ -101,4 +103,18 @@ def test_sketches_allow_what_is_similar():
             cut = size // 10
             passed[0].append(allowed(h[: size - cut], h[cut:]))
             passed[1].append(allowed(h[: size // 2 + size // 8], h[size // 2 - size // 8 :]))
-        assert all(passed[0]) and (size < 300 or sum(passed[1]) <= 2)
+        assert all(passed[0]) and (size < 40 or sum(passed[1]) <= 2)
+
+
+def test_the_sketch_column_is_the_plain_rule(spark):
+    """Near pairs pass and far ones don't, as a column too."""
+    rnd = np.random.default_rng(4)
+    rows = []
+    for k, (size, cut) in enumerate([(n, c) for n in (6, 60, 900) for c in (0.0, 0.1, 0.2, 0.35, 0.5)] * 20):
+        h = rnd.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + rnd.integers(0, 2, size).astype(np.uint64)
+        a, b = np.unique(h[: size - int(size * cut)]), np.unique(h[int(size * cut) :])
+        rows.append((k, similarity.sketch_of(a).tolist(), similarity.sketch_of(b).tolist(), len(np.intersect1d(a, b)) / len(np.union1d(a, b)), size))
+    df = spark.createDataFrame(rows, "k long, a array<long>, b array<long>, s double, size int")
+    found = df.select("s", "size", similarity.similar_sketches("a", "b", 0.8).alias("passes")).collect()
+    assert all(r["passes"] for r in found if r["s"] >= 0.8)
+    assert not any(r["passes"] for r in found if r["s"] < 0.6 and r["size"] >= 60)
