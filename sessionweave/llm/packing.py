@@ -35,7 +35,7 @@ from .common import as_bytes, slices, written
 #: Pieces of one length that are ranked together; more of them are dealt to several groups.
 RANKED_TOGETHER = 200_000
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 
 
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -119,7 +119,7 @@ class WordTokenizer:
         """Numbers words so that equal ones share one, and gives a word of each number. Words of one hash are compared byte by byte."""
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ahead, back = _powers(1 << max(22, len(data).bit_length()))
+        ahead, back = _powers(1 << max(21, len(data).bit_length()))
         with np.errstate(over="ignore"):
             sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ahead[: len(data)])])
             hashes = (sums[last] - sums[first]) * back[first]
