@@ -280,7 +280,9 @@ def correlation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Degrees of freedom are whole, so Student's distribution has a closed sum: of powers of the squared cosine, the sine being |r|.
-_P_SQL = """with c as (select lang, corr(quality, length(text)) as r, count(*) as n from labels join documents using (doc_id) group by lang union all select 'all', corr(quality, toxic), count(*) from labels),
+_P_SQL = """with every as (select lang, covar_pop(quality, length(text)) / nullif(stddev_pop(quality) * stddev_pop(length(text)), 0) as r, count(*) as n from labels join documents using (doc_id) group by lang
+    union all select 'all', covar_pop(quality, toxic) / nullif(stddev_pop(quality) * stddev_pop(toxic), 0), count(*) from labels),
+c as (select * from every where n > 2 and abs(r) < 1 - 1e-9),
 t as (select lang, r, n, n - 2 as v, unnest(range(0, (n - 2 + (n % 2)) // 2)) as j from c),
 s as (select lang, r, n, v, j, case when j = 0 then 0 when v % 2 = 0 then ln((2 * j - 1) / (2.0::double * j)) else ln(2 * j / (2.0::double * j + 1)) end as step from t),
 p as (select lang, r, n, v, exp(sum(step) over (partition by lang order by j) + j * ln(1 - r * r)) as term, j from s where v % 2 = 0 or j < (v - 1) // 2)
@@ -290,8 +292,9 @@ select lang, round(r, 6) + 0.0 as r, n, round(1 - case when v % 2 = 0 then abs(r
 @_query(_P_SQL)
 def correlation_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, docs = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents")
-    by_lang = labels.join(docs, "doc_id").groupBy("lang").agg(F.corr("quality", F.length("text")).alias("r"), F.count("*").alias("n"))
-    found = by_lang.unionByName(labels.agg(F.corr("quality", "toxic").alias("r"), F.count("*").alias("n")).withColumn("lang", F.lit("all")))
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("r")  # noqa: E731  corr fails where a value never changes
+    by_lang = labels.join(docs, "doc_id").withColumn("size", F.length("text")).groupBy("lang").agg(r("quality", "size"), F.count("*").alias("n"))
+    found = by_lang.unionByName(labels.agg(r("quality", "toxic"), F.count("*").alias("n")).withColumn("lang", F.lit("all"))).where("n > 2 and abs(r) < 1 - 1e-9")
     return _rounded(found.select("lang", "r", "n", stats.p_value(F.col("r"), F.col("n")).alias("p")))
 
 
