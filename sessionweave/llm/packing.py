@@ -36,6 +36,8 @@ from .common import as_bytes, slices, written
 RANKED_TOGETHER = 200_000
 #: Distinct words whose ids a Python worker remembers.
 REMEMBERED = 400_000
+#: Bytes of text that are encoded at once; some thirty times as much is held meanwhile.
+STEP = 1 << 20
 
 
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -119,7 +121,7 @@ class WordTokenizer:
         """Numbers words so that equal ones share one, and gives a word of each number. Words of one hash are compared byte by byte."""
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ahead, back = _powers(1 << max(21, len(data).bit_length()))
+        ahead, back = _powers(1 << max(20, len(data).bit_length()))
         with np.errstate(over="ignore"):
             sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ahead[: len(data)])])
             hashes = (sums[last] - sums[first]) * back[first]
@@ -178,7 +180,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = 2048, closing_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path, closing_id)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", STEP):
             ids, ends = tokenizer.encode(as_bytes(part.column(1)))
             raw, rows, owner, before = memoryview(ids.astype("<u4")).cast("B"), [], [], 0
             for k, end in enumerate(ends.tolist()):
