@@ -149,3 +149,16 @@ def test_subword_counts_equal_brute_force(spark):
     found = {r["id"]: r["token_count"] for r in subwords.subword_counts(df, ["id"], "text", pieces).collect()}
     split = lambda t: (t or "").replace(" ", " ").replace(",", " , ").replace("#", " # ").split()
     assert found == {k: 2 + sum(brute_count(w, vocabulary) for w in split(t)) for k, t in texts.items()}
+
+
+@pytest.mark.parametrize("most_sent", [0, 9, 60])
+def test_vocabularies_of_any_size_count_alike(spark, monkeypatch, most_sent):
+    """Doubled pieces are one; more distinct ones than are sent to the tasks are joined."""
+    monkeypatch.setattr(subwords, "LARGEST", most_sent)
+    rng = random.Random(4)
+    vocabulary = {"".join(rng.choices("abcé", k=rng.randrange(1, 4))) for _ in range(20)} | {"##" + "".join(rng.choices("abcé", k=rng.randrange(1, 3))) for _ in range(12)} | {",", "##", "#"}
+    words = ["".join(rng.choices("abcé", k=rng.randrange(1, 9))) for _ in range(60)] + ["x", "ax", "a" * 100, "a" * 101, "#", ","]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(900, None)], "id long, text string")
+    pieces = spark.createDataFrame([(p,) for p in vocabulary] * 3 + [(None,)] * 99, "piece string")
+    found = {r["id"]: r["token_count"] for r in subwords.subword_counts(df, ["id"], "text", pieces).collect()}
+    assert found == {k: 2 + brute_count(w, vocabulary) for k, w in enumerate(words)} | {900: 2}
