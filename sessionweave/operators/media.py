@@ -66,6 +66,26 @@ def _checked(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None)
     require_empty(named.join(even, "segment_id", "left_semi"), "exceptions of sources whose counts agree")
 
 
+def _suspect(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None) -> bool:
+    """Whether `_checked` may find anything, in one pass: rows and exceptions are counted by source and row, files and exceptions by source and
+    number, and both then by source. Keys with a NULL in them are suspect where joins wouldn't meet them, and so are exceptions beside a file
+    id that isn't written like its number."""
+    number = F.col("local_video_id").cast("string").try_cast("long")
+    row = F.struct(F.lit("row").alias("kind"), F.col("label_idx").try_cast("long").alias("key"), F.lit(True).alias("plain"))
+    file = F.struct(F.lit("file").alias("kind"), number.alias("key"), F.coalesce(number.cast("string") == F.col("local_video_id").cast("string"), F.lit(False)).alias("plain"))
+    side = lambda df, n, key: df.select("segment_id", F.lit(n).alias("side"), key.alias("k"))
+    every = side(manifest, 0, row).unionByName(side(raw, 0, file))
+    if exceptions is not None:
+        every = every.unionByName(side(exceptions, 1, row)).unionByName(side(exceptions, 1, file))
+    counts = [F.count_if(F.col("side") == 0).alias("there"), F.count_if(F.col("side") == 1).alias("named"), F.bool_and("plain").alias("plain")]
+    met = every.select("segment_id", "side", "k.*").groupBy("segment_id", "kind", "key").agg(*counts)
+    missing = F.col("segment_id").isNull() | F.col("key").isNull() | (F.col("there") == 0) | ~F.col("plain")
+    wrong = (F.col("there") > 1) | (F.col("named") > 1) | ((F.col("kind") == "file") & F.col("key").isNull()) | ((F.col("named") > 0) & missing)
+    total = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0))
+    sources = met.groupBy("segment_id").agg(F.bool_or(wrong).alias("wrong"), ((total("row", "named") > 0) & (total("row", "there") == total("file", "there"))).alias("even"))
+    return bool(sources.agg(F.bool_or(F.col("wrong") | F.col("even"))).first()[0])
+
+
 def map_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None = None, check: bool = True) -> DataFrame:
     """Every manifest row and every file that no row has, in one table: segment_id, label_idx, start, end, chronological_rank,
     local_video_id, video_path, duration_sec, has_video, has_audio, manifest_count, raw_count.
@@ -74,7 +94,7 @@ def map_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None
     them. Rows, files and exceptions are put together and dealt by source once; counts, places and partners are windows within a
     source. Of a row without a file the file's columns are NULL, of a file without a row the row's. With `check`, what doesn't fit raises.
     """
-    if check:
+    if check and _suspect(manifest, raw, exceptions):
         _checked(manifest, raw, exceptions)
     media = [c for c in ("video_path", "duration_sec", "has_video", "has_audio") if c in raw.columns]
     rows = manifest.select("segment_id", F.lit(0).alias("side"), "label_idx", "start", "end")
@@ -84,12 +104,13 @@ def map_media(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None
         both = both.unionByName(exceptions.select("segment_id", F.lit(2).alias("side"), "label_idx", "local_video_id"), allowMissingColumns=True)
     source = lambda *more: Window.partitionBy("segment_id", *more)
     row, file = F.col("side") == 0, F.col("side") == 1
-    ranked = both.withColumns({"manifest_count": F.count_if(row).over(source()), "raw_count": F.count_if(file).over(source()), "rank": F.row_number().over(source("side").orderBy("start", "end", "label_idx", "number", "local_video_id")) - 1})
+    placed = both.withColumn("_place", F.row_number().over(source().orderBy("side", "start", "end", "label_idx", "number", "local_video_id")) - 1)
+    counted = placed.withColumns({"manifest_count": F.count_if(row).over(source()), "raw_count": F.count_if(file).over(source())})
+    ranked = counted.withColumn("rank", F.when(row, F.col("_place")).otherwise((F.col("_place") - F.col("manifest_count")).cast("int")))
     partner = F.when(F.col("manifest_count") == F.col("raw_count"), F.col("rank"))
     if exceptions is not None:
-        named = F.col("side") == 2
-        ranked = ranked.withColumns({"_row": F.max(F.when(named, F.col("local_video_id"))).over(source("label_idx")), "_file": F.max(F.when(named, F.col("label_idx"))).over(source("local_video_id"))}).where("side < 2")
-        partner = F.when(F.col("manifest_count") == F.col("raw_count"), F.col("rank")).when(row & F.col("_row").isNotNull(), F.col("label_idx")).when(file, F.col("_file"))
+        ranked = ranked.withColumn("_file", F.max(F.when(F.col("side") == 2, F.col("label_idx"))).over(source("local_video_id"))).where("side < 2")
+        partner = partner.when(row, F.col("label_idx")).when(file, F.col("_file"))
     paired = ranked.withColumn("_pair", partner)
     whole = F.struct("local_video_id", *media)
     met = paired.withColumns({"_has": F.max(F.when(file & F.col("_pair").isNotNull(), whole)).over(source("_pair")), "_taken": F.max(F.when(row & F.col("_pair").isNotNull(), True)).over(source("_pair"))})

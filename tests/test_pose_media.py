@@ -107,3 +107,32 @@ def test_mapped_files_are_looked_up_in_a_listing(spark, tmp_path):
         media.check_mapping(gone, files)
     with pytest.raises(ValueError, match="doubled_rows"):
         media.check_mapping(mapped.union(mapped), files)
+
+
+def counted_jobs(spark, action):
+    """Jobs that an action runs."""
+    group = "counted"
+    spark.sparkContext.setJobGroup(group, group)
+    action()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found
+
+
+def test_a_sound_mapping_is_checked_in_one_pass(spark):
+    """All contracts hold: they are looked at together, not one job or more for each."""
+    manifest = spark.createDataFrame([("a", 0, 0.0, 1.0), ("a", 1, 1.0, 2.0), ("b", 0, 0.0, 2.0)], "segment_id string, label_idx int, start double, end double")
+    raw = spark.createDataFrame([("a", "2"), ("b", "1")], "segment_id string, local_video_id string")
+    exceptions = spark.createDataFrame([("a", 1, "2")], "segment_id string, label_idx int, local_video_id string")
+    assert counted_jobs(spark, lambda: media.pair_media(manifest, raw, exceptions)) <= 4
+    assert {tuple(r) for r in media.pair_media(manifest, raw, exceptions).select("segment_id", "label_idx", "local_video_id").collect()} == {("a", 1, "2"), ("b", 0, "1")}
+
+
+@pytest.mark.parametrize("named", [[("a", 1, "02")], [("a", None, "2")], [("a", 1, None)], [("b", 0, "1")], [("a", 1, "x")], [("a", 7, "2")], [("a", 1, "2"), ("a", 0, "2")], [("a", 1, "2"), ("a", 1, "2")]])
+def test_each_wrong_exception_is_refused_and_named(spark, named):
+    manifest = spark.createDataFrame([("a", 0, 0.0, 1.0), ("a", 1, 1.0, 2.0), ("b", 0, 0.0, 2.0)], "segment_id string, label_idx int, start double, end double")
+    raw = spark.createDataFrame([("a", "2"), ("b", "1")], "segment_id string, local_video_id string")
+    exceptions = spark.createDataFrame(named, "segment_id string, label_idx int, local_video_id string")
+    with pytest.raises(ValueError):
+        media.pair_media(manifest, raw, exceptions)
+    assert media.exception_errors(manifest, raw, exceptions).count() == len(named)
