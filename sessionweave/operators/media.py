@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +38,21 @@ def _counts(rows: DataFrame, name: str) -> DataFrame:
 def exception_errors(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame) -> DataFrame:
     """(segment_id, label_idx, local_video_id, errors) of exceptions that don't fit: doubled rows or files, rows or files that don't exist,
     and sources whose counts agree, so that nothing is to be excepted. Each error is a name; exceptions without any are left out."""
-    named = exceptions.select("segment_id", "label_idx", "local_video_id")
-    twice = lambda *keys: F.count("*").over(Window.partitionBy(*keys)) > 1
-    marked = named.withColumns({"_rows": twice("segment_id", "label_idx"), "_files": twice("segment_id", "local_video_id")})
-    rows = manifest.select("segment_id", "label_idx").distinct().withColumn("_row", F.lit(True))
-    files = raw.select("segment_id", "local_video_id").distinct().withColumn("_file", F.lit(True))
+    named = exceptions.select("segment_id", "label_idx", "local_video_id", F.lit(True).alias("_named"))
+    keyed = lambda *keys: reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+
+    def met(own: DataFrame, others: DataFrame, twice: str, there: str, *keys: str) -> DataFrame:
+        same = Window.partitionBy(*keys)
+        marks = {twice: F.count_if(F.col("_named")).over(same) > 1, there: keyed(*keys) & (F.count_if(F.col("_named").isNull()).over(same) > 0)}
+        return own.unionByName(others.select(*keys), allowMissingColumns=True).withColumns(marks).where("_named")
+
+    marked = met(named, manifest, "_rows", "_row", "segment_id", "label_idx")
+    marked = met(marked, raw, "_files", "_file", "segment_id", "local_video_id")
     even = _counts(manifest, "a").join(_counts(raw, "b"), "segment_id").where("a = b").select("segment_id", F.lit(True).alias("_even"))
-    met = marked.join(rows, ["segment_id", "label_idx"], "left").join(files, ["segment_id", "local_video_id"], "left").join(even, "segment_id", "left")
-    rules = {"doubled row": F.col("_rows"), "doubled file": F.col("_files"), "no such row": F.col("_row").isNull(), "no such file": F.col("_file").isNull(), "counts agree": F.col("_even").isNotNull()}
+    found = marked.join(even, "segment_id", "left")
+    rules = {"doubled row": F.col("_rows"), "doubled file": F.col("_files"), "no such row": ~F.col("_row"), "no such file": ~F.col("_file"), "counts agree": F.col("_even").isNotNull()}
     errors = F.array_compact(F.array(*(F.when(broken, name) for name, broken in rules.items())))
-    return met.select("segment_id", "label_idx", "local_video_id", errors.alias("errors")).where(F.size("errors") > 0)
+    return found.select("segment_id", "label_idx", "local_video_id", errors.alias("errors")).where(F.size("errors") > 0)
 
 
 def _checked(manifest: DataFrame, raw: DataFrame, exceptions: DataFrame | None) -> None:

@@ -136,3 +136,14 @@ def test_each_wrong_exception_is_refused_and_named(spark, named):
     with pytest.raises(ValueError):
         media.pair_media(manifest, raw, exceptions)
     assert media.exception_errors(manifest, raw, exceptions).count() == len(named)
+
+
+def test_exceptions_are_looked_up_with_few_shuffles(spark):
+    """Each table is dealt once for each key, not once more for distinct keys."""
+    manifest = spark.range(4).select(F.lit("a").alias("segment_id"), F.col("id").cast("int").alias("label_idx"))
+    raw = spark.range(3).select(F.lit("a").alias("segment_id"), F.col("id").cast("string").alias("local_video_id"))
+    exceptions = spark.createDataFrame([("a", 1, "2"), (None, 1, "2"), ("a", 9, "9")], "segment_id string, label_idx int, local_video_id string")
+    found = media.exception_errors(manifest, raw, exceptions)
+    assert {tuple(r)[:3]: r["errors"] for r in found.collect()} == {(None, 1, "2"): ["no such row", "no such file"], ("a", 9, "9"): ["no such row", "no such file"]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
