@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sessionweave.operators import align, vectors
@@ -70,3 +71,15 @@ def test_components_of_an_empty_table(spark):
     for empty in (df, df.limit(0)):
         out, ratios = vectors.principal_components(empty, "id", "v")
         assert out.columns == ["id", "components"] and out.collect() == [] and ratios == []
+
+
+def test_similarities_are_held_a_bounded_number_at_a_time(spark):
+    """A block of queries meets a block of the corpus in steps, and none is left out by that."""
+    rows = spark.range(1500).select("id", F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("v"))
+
+    def held(ids, own, similar):
+        return pd.DataFrame({"query": ids, "neighbour": own[: len(ids)], "similarity": float(similar.size)})
+
+    sizes = vectors._in_blocks(rows, rows, "id", "v", held, 1, 1).collect()
+    assert sorted(r["query"] for r in sizes) == list(range(1500))
+    assert max(r["similarity"] for r in sizes) <= vectors.STEP < 1500 * 1500
