@@ -144,16 +144,17 @@ class RuleModel:
         rules = list(found)
         if not rules:  # too few rows to split
             return cls((), (), float(np.log(y.mean() / (1 - y.mean()))))
-        z = np.column_stack([_holds(r, x) for r in rules]).astype(np.float64)
-        z, kept = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows are one
-        rules = [rules[k] for k in kept]
+        z = np.column_stack([_holds(r, x) for r in rules])  # a byte each, as the driver holds them all
+        kept = np.unique(z, axis=1, return_index=True)[1]  # rules that hold for the same rows are one
+        z, rules = z[:, kept], [rules[k] for k in kept]
         weights, b = cls._lasso(z, y, penalty, rounds)
         return cls(tuple(r for r, w in zip(rules, weights, strict=True) if w), tuple(float(w) for w in weights if w), float(b))
 
     @staticmethod
     def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
         """Accelerated proximal gradient steps; the intercept isn't penalised."""
-        a = np.column_stack([z, np.ones(len(y))])
+        a = np.ones((len(y), z.shape[1] + 1))
+        a[:, :-1] = z
         v = np.ones(a.shape[1])
         for _ in range(20):
             v = a.T @ (a @ v)

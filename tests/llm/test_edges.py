@@ -120,3 +120,21 @@ def test_classifier(docs, labels):
     found = by_id(quality_classifier.score_quality(docs, labels))
     assert sum(map(len, found.values())) == len(ROWS) and all(0 <= r["score"] <= 1 for v in found.values() for r in v)
     assert {r["score"] for v in by_id(quality_classifier.score_quality(docs, labels.limit(0))).values() for r in v} == {0.5}
+
+
+def test_fitting_rules_holds_one_matrix_of_numbers():
+    import tracemalloc
+
+    import numpy as np
+
+    from sessionweave.llm.quality_classifier import RuleModel
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 15))
+    y = (x[:, 0] + x[:, 3] * x[:, 5] + rng.normal(size=4000) > 0).astype(float)
+    tracemalloc.start()
+    model = RuleModel.fit(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.rules) > 20 and ((model.predict(x) > 0.5) == y).mean() > 0.7
+    assert peak < 4000 * 560 * 16  # two matrices of 40 trees' 14 rules
