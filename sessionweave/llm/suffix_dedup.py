@@ -175,11 +175,12 @@ class SuffixIndex:
         schema = ", ".join(f"{c} long" for c in self.order) + ", key long, at int, n long, level int, seen boolean"
         alike = rows.repartitionByRange(*self.order).sortWithinPartitions(*self.order, F.col("level") == 0)
         run = Table(alike.mapInArrow(_neighbours(self.order), schema), "level")
-        met = run.df.where("level = 0 and (seen or n > 1)").select(*self.order, "seen", F.struct("key", "at").alias("place"))
-        found = written(own.df.join(met, self.order).where(F.col("seen") | (F.struct("key", "at") != F.col("place"))).select("key", "at"), "matches")
-        for table in (own, folded, *(level for _, level in self.levels[merging:])):
+        for table in (folded, *(level for _, level in self.levels[merging:])):  # run holds all that is needed of them
             table.drop()
         self.levels[merging:] = [(rank, run)]
+        met = run.df.where("level = 0 and (seen or n > 1)").select(*self.order, "seen", F.struct("key", "at").alias("place"))
+        found = written(own.df.join(met, self.order).where(F.col("seen") | (F.struct("key", "at") != F.col("place"))).select("key", "at"), "matches")
+        own.drop()
         return found
 
     def shared(self, after: int | None = None) -> Table:

@@ -138,3 +138,33 @@ def test_fitting_rules_holds_one_matrix_of_numbers():
     tracemalloc.stop()
     assert len(model.rules) > 20 and ((model.predict(x) > 0.5) == y).mean() > 0.7
     assert peak < 4000 * 560 * 16  # two matrices of 40 trees' 14 rules
+
+
+def test_an_index_drops_what_a_merge_has_taken_over(spark, monkeypatch):
+    """While places are looked up, only the batch's suffixes and the merged levels are on disk."""
+    from sessionweave.llm import suffix_dedup
+
+    alive, seen = set(), []
+
+    class Counted(suffix_dedup.Table):
+        def __init__(self, df, name, *more, **options):
+            super().__init__(df, name, *more, **options)
+            alive.add(self)
+            self.name = name
+
+        def drop(self, part=""):
+            super().drop(part)
+            alive.discard(self)
+
+    def looked_up(df, name):
+        if name == "matches":
+            seen.append(sorted(t.name for t in alive))
+        return df
+
+    monkeypatch.setattr(suffix_dedup, "Table", Counted)
+    monkeypatch.setattr(suffix_dedup, "written", looked_up)
+    docs = spark.createDataFrame([(k, f"text {k} " * 60) for k in range(6)], "key long, text string")
+    index = suffix_dedup.SuffixIndex()
+    for k in range(2):
+        index.extend(docs.where(f"key div 3 = {k}"))
+    assert seen == [["level", "suffixes"], ["level", "suffixes"]]
