@@ -35,8 +35,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def own_shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of queries that run meanwhile are deleted as each query ends."""
-    name = "spark.sql.shuffleDependency.fileCleanup.enabled"
+    """Shuffle files of queries that run meanwhile are deleted as each query ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")
     try:

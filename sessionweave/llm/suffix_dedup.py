@@ -14,7 +14,8 @@ Documents arrive in batches by key (`SuffixIndex.add`). Copies within a batch ar
 merged with those of the existing levels in sorted order, and neighbours are compared: an entry whose neighbour from a level
 agrees in prefix and context matches in full. The contexts that are new become a level of the smallest size, and levels of equal
 size merge until all sizes differ, so that a batch meets a logarithmic number of levels; as the batch's scan goes through all of them in
-order anyway, the merged level is what the scan puts out. The index stays open for further batches.
+order anyway, the merged level is what the scan puts out. The index stays open for further batches, unless one is added as the last:
+its scan goes through all levels and puts out only what is still looked up, that is, entries whose prefix a neighbour has too.
 
 Suffixes that share a prefix but not the context match in part. Only their contexts' bytes are fetched; within a prefix the windows
 through it are compared at each offset, in sorted order, the first place of each window staying. A prefix with more contexts than
@@ -123,22 +124,30 @@ def _suffixes(docs: DataFrame, kind: Minimizers) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "".join(f"{c} long, " for c in kind.lead) + "context long, key long, at int")
 
 
-def _neighbours(order: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _neighbours(order: list[str], shared: list[str] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A merge scan: rows sorted by `order`, then from older to newer levels and the batch (0) last, with whether the row before is
-    alike; those of levels that don't merge (-1) are left out."""
+    alike; those of levels that don't merge (-1) are left out. With `shared`, the leading columns of `order`, so are rows that neither
+    match nor agree in these with a neighbour; a row whose neighbour isn't at hand stays."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            same = np.ones(batch.num_rows, bool)
+            same, near = np.ones(batch.num_rows, bool), None
             for k, c in enumerate(order):
                 x = batch.column(c).to_numpy()
                 same &= x == np.concatenate([[x[0] if last is None else last[k]], x[:-1]])
+                if shared is not None and k == len(shared) - 1:
+                    near = same | np.concatenate([same[1:], [True]])
+                    near[0] |= last is None
             same[0] &= last is not None
             last = [batch.column(c)[-1].as_py() for c in order]
-            kept = np.flatnonzero(batch.column("level").to_numpy() >= 0)
+            level = batch.column("level").to_numpy()
+            wanted = level >= 0
+            if near is not None:
+                wanted &= near | ((level == 0) & (same | (batch.column("n").to_numpy() > 1)))
+            kept = np.flatnonzero(wanted)
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept)).columns, pa.array(same[kept])], names=[*batch.schema.names, "seen"])
 
     return scan
@@ -153,28 +162,32 @@ class SuffixIndex:
         self.levels: list[tuple[int, Table]] = []
         self.texts: DataFrame | None = None
         self.last_key: int | None = None
+        self.complete = False
 
     def _entries(self, level: Table) -> DataFrame:
         """(order, key, at) of the contexts that were new in the level's scan, or came from the levels that it merged."""
         return level.df.where("level > 0 or not seen").select(*self.order, "key", "at")
 
-    def extend(self, docs: DataFrame) -> DataFrame:
-        """Indexes a batch (key, text); gives its places (key, at) whose context was seen earlier."""
+    def extend(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """Indexes a batch (key, text); gives its places (key, at) whose context was seen earlier. After the last none may follow."""
+        if self.complete:
+            raise ValueError("the last batch was added")
+        self.complete = last
         keys = docs.agg(F.min("key"), F.max("key")).first()
         if keys[0] is not None and self.last_key is not None and keys[0] <= self.last_key:
             raise ValueError("keys must grow from batch to batch")
         self.last_key = keys[1] if keys[1] is not None else self.last_key
         self.texts = docs if self.texts is None else self.texts.unionByName(docs)
-        own = Table(_suffixes(docs, self.kind), "suffixes")
-        folded = Table(own.df.groupBy(*self.order).agg(F.min(F.struct("key", "at")).alias("place"), F.count("*").alias("n")).select(*self.order, "place.*", "n", F.lit(0).alias("level")), "folded")
+        own = Table(_suffixes(docs, self.kind), "suffixes", "zstd")
+        folded = Table(own.df.groupBy(*self.order).agg(F.min(F.struct("key", "at")).alias("place"), F.count("*").alias("n")).select(*self.order, "place.*", "n", F.lit(0).alias("level")), "folded", "zstd")
         rows, rank, merging = folded.df, 0, len(self.levels)
-        while merging and self.levels[merging - 1][0] == rank:
+        while merging and (last or self.levels[merging - 1][0] == rank):
             rank, merging = rank + 1, merging - 1
         for k, (_, level) in enumerate(self.levels):
             rows = rows.unionByName(self._entries(level).withColumns({"n": F.lit(0).cast("long"), "level": F.lit(1 if k >= merging else -1)}))
         schema = ", ".join(f"{c} long" for c in self.order) + ", key long, at int, n long, level int, seen boolean"
         alike = rows.repartitionByRange(*self.order).sortWithinPartitions(*self.order, F.col("level") == 0)
-        run = Table(alike.mapInArrow(_neighbours(self.order), schema), "level")
+        run = Table(alike.mapInArrow(_neighbours(self.order, self.kind.lead if last else None), schema), "level", "zstd")
         for table in (folded, *(level for _, level in self.levels[merging:])):  # run holds all that is needed of them
             table.drop()
         self.levels[merging:] = [(rank, run)]
@@ -324,7 +337,8 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     index = SuffixIndex(length, anchor, most_contexts)
     try:
-        matches = reduce(DataFrame.unionByName, [index.extend(batch) for batch in _batches(rows, batches)])
+        dealt = _batches(rows, batches)
+        matches = reduce(DataFrame.unionByName, [index.extend(batch, batch is dealt[-1]) for batch in dealt])
         parts = index.shared()
     finally:
         index.close()

@@ -168,3 +168,51 @@ def test_an_index_drops_what_a_merge_has_taken_over(spark, monkeypatch):
     for k in range(2):
         index.extend(docs.where(f"key div 3 = {k}"))
     assert seen == [["level", "suffixes"], ["level", "suffixes"]]
+
+
+def test_shuffle_files_go_as_a_scratch_table_is_written(spark):
+    import gc
+    import glob
+    import time
+
+    from sessionweave.llm.common import Table
+
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    roots = [root[k].getPath() for k in range(len(root))]
+    gc.collect()
+    before = {f for r in roots for f in glob.glob(f"{r}/*/shuffle_*")}
+    kept = spark.range(20_000).groupBy((F.col("id") % 1000).alias("k")).count()  # held, so that collecting garbage deletes nothing of it
+    store = Table(kept, "counted")
+    for _ in range(100):
+        left = {f for r in roots for f in glob.glob(f"{r}/*/shuffle_*")} - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and store.df.count() == 1000 == kept.count()
+    store.drop()
+
+
+@pytest.mark.parametrize("number", [1, 2, 3, 4])
+def test_the_last_batch_writes_only_what_is_looked_up(spark, number):
+    """Texts of their own leave next to no entries; the result is that of an open index, and no batch may follow."""
+    import random
+
+    rnd = random.Random(number)
+    own = ["".join(rnd.choices("abcdefghijklmnop ", k=4000)) for _ in range(40)]
+    own[31] = own[2][:1500] + own[31][:500] + own[9][700:1900]
+    docs = spark.createDataFrame(list(enumerate(own)), "key long, text string")
+    step = -(-40 // number)
+    dealt = [docs.where(F.expr(f"key div {step} = {k}")) for k in range(number)]
+    written_out = {}
+    for last in (False, True):
+        index = suffix_dedup.SuffixIndex()
+        matches = [r for k, batch in enumerate(dealt) for r in index.extend(batch, last and k == number - 1).collect()]
+        parts = index.shared()
+        written_out[last] = sorted(matches), sorted(parts.df.collect()), sum(level.df.count() for _, level in index.levels)
+        if last:
+            with pytest.raises(ValueError):
+                index.extend(docs.withColumn("key", F.col("key") + 100))
+        parts.drop()
+        index.close()
+    assert written_out[True][:2] == written_out[False][:2] and written_out[True][0]
+    assert written_out[True][2] * 3 < written_out[False][2]
