@@ -45,6 +45,18 @@ def own_shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Queries that run meanwhile pass so many rows at a time to Python, which bounds the executors' memory besides the heap, too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows if before is None or int(before) < 1 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Table:
     """A scratch table in the shared folder: `df` reads it. It goes with drop(), or at the latest when the driver ends."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, written
+from .common import STEP_BYTES, as_bytes, slices, small_batches, written
 
 #: Pieces of one length that are ranked together; more of them are dealt to several groups.
 RANKED_TOGETHER = 200_000
@@ -49,26 +49,42 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
 
 
-def _unlike(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which words differ from the word that `other` names for each, by length or any byte."""
+def _unlike(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np.ndarray, held: np.ndarray | None = None, edges: np.ndarray | None = None) -> np.ndarray:
+    """Which words differ by length or any byte from the word that `other` names for each: one of them, or of those between `edges` in `held`."""
     size = last - first
-    bad = size != size[other]
-    rows = np.flatnonzero(~bad & (other != np.arange(len(other))))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+    if held is None:
+        base, ends, theirs = first[other], last[other], padded
+    else:
+        base, ends, theirs = edges[other].astype(np.int64), edges[other + 1].astype(np.int64), held
+    bad = size != ends - base
+    rows = np.flatnonzero(~bad & (theirs is not padded or other != np.arange(len(other))))
+    eight, their_eight = (np.lib.stride_tricks.as_strided(x[:8].view(np.uint64), (len(x) - 7,), (1,)) for x in (padded, theirs))
     for at in (0, 8):  # most words end here
         rest = np.minimum(size[rows] - at, 8).astype(np.uint64)
         mask = np.where(rest < 8, (np.uint64(1) << (np.uint64(8) * (rest % np.uint64(8)))) - np.uint64(1), ~np.uint64(0))
-        bad[rows[((eight[first[rows] + at] ^ eight[first[other[rows]] + at]) & mask) != 0]] = True
+        bad[rows[((eight[first[rows] + at] ^ their_eight[base[rows] + at]) & mask) != 0]] = True
         rows = rows[size[rows] > at + 8]
     left = size[rows] - 16
     if len(rows):
         inner = np.arange(int(left.sum())) - np.repeat(np.cumsum(left) - left, left)
-        same = data[np.repeat(first[rows] + 16, left) + inner] == data[np.repeat(first[other[rows]] + 16, left) + inner]
+        same = data[np.repeat(first[rows] + 16, left) + inner] == theirs[np.repeat(base[rows] + 16, left) + inner]
         bad[rows[~np.logical_and.reduceat(same, np.cumsum(left) - left)]] = True
     return np.flatnonzero(bad)
 
 
+def _hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of the words' bytes, the same wherever a word stands."""
+    ahead, back = _powers(1 << max(21, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        valued = data.astype(np.uint64)
+        valued += np.uint64(1)
+        valued *= ahead[: len(data)]
+        np.cumsum(valued, out=sums[1:])
+        return (sums[last] - sums[first]) * back[first]
+
+
 _RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
@@ -87,81 +103,130 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[bytes, int] = {b"": 0}
-        self.flat, self.starts = array("I", [self.closing_id]), array("q", [0, 1])
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Gives every new word a code; a word of ASCII gets the ids of its runs of letters, its digits and its runs of marks."""
-        joint, new, codes = [], [], self.codes
+        """Words are kept as bytes in one buffer, found by their hashes in order; those that share another's hash are kept apart."""
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.words, self.edges = bytearray(8), array("I", [0, 0])  # eight bytes follow the last word
+        self.odd: dict[bytes, int] = {}
+        self.flat, self.starts = array("I", [self.closing_id]), array("I", [0, 1])
+
+    def _known(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word that is remembered by its hash, else -1."""
+        if not len(self.hashes) or not len(first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        codes = np.full(len(first), -1)
+        codes[hit] = self.numbers[at[hit]]
+        held, edges = np.frombuffer(self.words, np.uint8), np.frombuffer(self.edges, np.uint32)
+        codes[hit[_unlike(data, first[hit], last[hit], codes[hit], held, edges)]] = -1
+        return codes
+
+    def _codes(self, words: list[bytes]) -> dict[bytes, int]:
+        """The numbers of the words that are remembered."""
+        last = np.cumsum([len(w) for w in words], dtype=np.int64)
+        first = last - np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        found = self._known(data, first, last, _hashes(data, first, last)).tolist()
+        return {w: c for w, code in zip(words, found, strict=True) if (c := self.odd.get(w, -1) if code < 0 else code) >= 0}
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, int]:
+        """Gives every new word a number; a word of ASCII gets the ids of its runs of letters, its digits and its runs of marks."""
+        joint, new = [], []
         for word in words:
             if word.isalpha() or not word.isascii() or b"'" in word or b"<|" in word or word != word.lower():
                 new.append(word)
             else:
                 joint.append((word, _RUNS.findall(word)))
-        new += {p for _, ps in joint for p in ps if p not in codes and p not in words}
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self._add(word, found.ids)
-        flat, starts = self.flat, self.starts
+        parts = list({p for _, ps in joint for p in ps}.difference(words))
+        codes, flat, starts, before = self._codes(parts), self.flat, self.starts, len(self.starts) - 1
+        new += [p for p in parts if p not in codes]
+        added: list[bytes] = []
+
+        def add(word: bytes, ids: list[int] | array) -> None:
+            codes[word] = before + len(added)
+            added.append(word)
+            flat.extend(ids)
+            starts.append(len(flat))
+
+        for k in range(0, len(new), 2000):  # what the tokenizer gives for a word is large
+            some = new[k : k + 2000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                add(word, found.ids)
         joint.sort(key=lambda j: len(j[1]))  # a word that is a run itself comes before those it is part of
         for word, ps in joint:
             if len(ps) == 1:
-                self._add(word, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+                add(word, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
             else:
-                self._add(word, [i for p in ps for i in flat[starts[codes[p]] : starts[codes[p] + 1]]])
-
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        self.codes[word] = len(self.starts) - 1
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
+                add(word, [i for p in ps for i in flat[starts[codes[p]] : starts[codes[p] + 1]]])
+        self._remember(added, before)
+        return codes
+
+    def _remember(self, words: list[bytes], number: int) -> None:
+        """Words whose ids have been put down, from that number on."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        last = np.cumsum(sizes)
+        joined = b"".join(words)
+        hashes = _hashes(np.frombuffer(joined, np.uint8), last - sizes, last)
+        numbers = np.arange(number, number + len(words), dtype=np.uint32)
+        self.edges.extend((last + self.edges[-1]).tolist())
+        self.words[-8:] = joined + bytes(8)
+        order = np.argsort(hashes, kind="stable")
+        hashes, numbers = hashes[order], numbers[order]
+        at = np.searchsorted(self.hashes, hashes)
+        taken = np.concatenate([[False], hashes[1:] == hashes[:-1]])
+        if len(self.hashes):
+            taken |= self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+        self.odd.update((words[k - number], k) for k in numbers[taken].tolist())
+        self.hashes = np.insert(self.hashes, at[~taken], hashes[~taken])
+        self.numbers = np.insert(self.numbers, at[~taken], numbers[~taken])
 
     @staticmethod
-    def _alike(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers words so that equal ones share one, and gives a word of each number. Words of one hash are compared byte by byte."""
+    def _alike(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers words so that equal ones share one, and gives a word of each number and its hash. Words of one hash are compared byte by byte."""
+        hashes = _hashes(data, first, last)
         if not len(first):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ahead, back = _powers(1 << max(22, len(data).bit_length()))
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * ahead[: len(data)])])
-            hashes = (sums[last] - sums[first]) * back[first]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), hashes
         order = np.argsort(hashes)
         fresh = np.concatenate([[True], np.diff(hashes[order]) != 0])
         number = np.empty(len(first), np.int64)
         number[order] = np.cumsum(fresh) - 1
         sample = order[fresh]
         odd = _unlike(data, first, last, sample[number])
-        if not len(odd):
-            return number, sample
-        more: dict[bytes, int] = {}  # words that share another's hash
-        extra = []
-        for k in odd.tolist():
-            word = data[first[k] : last[k]].tobytes()
-            if word not in more:
-                more[word] = len(sample) + len(more)
-                extra.append(k)
-            number[k] = more[word]
-        return number, np.concatenate([sample, np.array(extra, np.int64)])
+        if len(odd):
+            more: dict[bytes, int] = {}  # words that share another's hash
+            extra = []
+            for k in odd.tolist():
+                word = data[first[k] : last[k]].tobytes()
+                if word not in more:
+                    more[word] = len(sample) + len(more)
+                    extra.append(k)
+                number[k] = more[word]
+            sample = np.concatenate([sample, np.array(extra, np.int64)])
+        return number, sample, hashes[sample]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's closed by the closing id, and where each text ends."""
-        if len(self.codes) > REMEMBERED:
+        if len(self.starts) > REMEMBERED or max(len(self.flat) // 2, len(self.words) // 8) > 4 * REMEMBERED:
             self._forget()
         joined = b" ".join([*(t if b"<|" in t else t.lower() for t in texts), b""])
         data = np.frombuffer(joined, np.uint8)
         edges = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
         first, last = edges[::2], edges[1::2]  # of each word
-        one, sample = self._alike(data, first, last)
-        distinct = [joined[a:b] for a, b in zip(first[sample].tolist(), last[sample].tolist(), strict=True)]
-        coded = list(map(self.codes.get, distinct))
-        if None in coded:
-            self._learn({w for w, code in zip(distinct, coded, strict=True) if code is None})
-            coded = list(map(self.codes.get, distinct))
+        one, sample, hashes = self._alike(data, first, last)
+        coded = self._known(data, first[sample], last[sample], hashes)
+        new = np.flatnonzero(coded < 0)
+        if len(new):
+            words = [joined[a:b] for a, b in zip(first[sample[new]].tolist(), last[sample[new]].tolist(), strict=True)]
+            learned = self._learn([w for w in words if w not in self.odd])
+            coded[new] = [self.odd[w] if w in self.odd else learned[w] for w in words]
         text_ends = np.cumsum([len(t) + 1 for t in texts])
         words_before = np.searchsorted(first, text_ends)
-        known = np.insert(np.array(coded, np.int64)[one], words_before, 0)
-        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32)
-        sizes = np.diff(starts)[known]
+        known = np.insert(coded[one], words_before, 0)
+        starts, flat = np.frombuffer(self.starts, np.uint32), np.frombuffer(self.flat, np.uint32)
+        begun = starts[known].astype(np.int64)
+        sizes = starts[known + 1] - begun
         ends = np.cumsum(sizes)
-        ids = flat[np.repeat(starts[known] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = flat[np.repeat(begun - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, ends[words_before + np.arange(len(texts))]
 
 
@@ -178,9 +243,9 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, length: int = 2048, closing_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path, closing_id)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", STEP_BYTES // 2):
             ids, ends = tokenizer.encode(as_bytes(part.column(1)))
-            raw, rows, owner, before = memoryview(ids.astype("<u4")).cast("B"), [], [], 0
+            raw, rows, owner, before = memoryview(ids.astype("<u4", copy=False)).cast("B"), [], [], 0
             for k, end in enumerate(ends.tolist()):
                 whole, rest = divmod(end - before, length)
                 cuts = [*range(0, whole * length + 1, length), whole * length + rest // grain * grain, end - before]
@@ -291,7 +356,8 @@ def packing_plan(counts: dict[int, int], length: int) -> pd.DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", grain: int = 32, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]."""
     spark = docs.sparkSession
-    pieces = written(pieces_of(docs, tokenizer_path, length, closing_id, id_col, text_col, with_ids, grain), "pieces")
+    with small_batches(spark):
+        pieces = written(pieces_of(docs, tokenizer_path, length, closing_id, id_col, text_col, with_ids, grain), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # length / grain + grain rows at most
     if not counts:
         return pieces.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)

@@ -216,3 +216,35 @@ def test_the_last_batch_writes_only_what_is_looked_up(spark, number):
         index.close()
     assert written_out[True][:2] == written_out[False][:2] and written_out[True][0]
     assert written_out[True][2] * 3 < written_out[False][2]
+
+
+def test_remembered_words_take_little_memory():
+    """Words are held as bytes and numbers in arrays: under 90 bytes for each, where objects of their own took some 250."""
+    import random
+    import tracemalloc
+
+    rnd = random.Random(8)
+    tokenizer = packing.WordTokenizer(tokenizer_path(), 1)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=9)) + rnd.choice(["", ",", "."]) for _ in range(400)).encode() for _ in range(150)]
+    tokenizer.encode(texts[:1])
+    tracemalloc.start()
+    for k in range(1, 150, 10):
+        tokenizer.encode(texts[k : k + 10])
+    now = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(tokenizer.starts) > 59_000 and now < 90 * len(tokenizer.starts)
+    ids, ends = tokenizer.encode(texts[3:5])
+    assert ids.tolist() == [i for t in texts[3:5] for i in [*tokenizer.tokenizer.encode(t.decode(), add_special_tokens=False).ids, 1]] and len(ends) == 2
+
+
+def test_packing_hands_python_few_rows_at_a_time(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def write(df, kind):
+        seen.append((kind, int(spark.conf.get(name))))
+        return df
+
+    monkeypatch.setattr(packing, "written", write)
+    packing.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tokenizer_path())
+    assert seen == [("pieces", 1000)] and spark.conf.get(name) == before
