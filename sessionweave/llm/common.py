@@ -79,10 +79,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join by equal keys that is never broadcast. Spark sizes rows that an explode makes, arrays and what files hold in few bytes
+    too low, and would send such a table through the driver."""
+    return df.hint("merge")
+
+
 def with_few(df: DataFrame, rows: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
     """df joined with rows, which are broadcast if there are at most so many."""
     few = rows.limit(most + 1).count() <= most
-    return df.join(F.broadcast(rows) if few else rows, on, how)
+    return df.join(F.broadcast(rows) if few else shuffled(rows), on, how)
 
 
 def _file(spark: SparkSession, path: str) -> tuple:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, shuffled
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the least of u and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").withColumn("m", F.least("u", "m"))
+    return shuffled(edges).join(least, "u").withColumn("m", F.least("u", "m"))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, as_bytes, slices, written
+from .common import Table, as_bytes, shuffled, slices, written
 from .components import connected_components
 
 #: Entries of a grid cell beyond which its fingerprints go on to the grid of one-bit segments.
@@ -111,16 +111,16 @@ def links(distinct: DataFrame) -> DataFrame:
     if width > 1:
         cells = entered(distinct, width)
         sizes = cells.groupBy("cell").count().where("count > 1")
-        shared = Table(cells.join(sizes, "cell"), "cells").df
+        shared = Table(shuffled(cells).join(sizes, "cell"), "cells").df
         sparse, dense = shared.where(F.col("count") <= DENSE_CELL), shared.where(F.col("count") > DENSE_CELL).select("fp", "rep").distinct()
         left, right = sparse.select("cell", F.col("fp").alias("fp_a"), F.col("rep").alias("a")), sparse.select("cell", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
         close = (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= 2)
-        found.append(left.join(right, "cell").where(close).select("a", "b"))
+        found.append(shuffled(left).join(right, "cell").where(close).select("a", "b"))
     else:
         dense = distinct
     cells = entered(dense, 1)
     least = cells.groupBy("cell").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
-    found.append(cells.join(least, "cell").select(F.col("rep").alias("a"), "b").where("a <> b"))
+    found.append(shuffled(cells).join(least, "cell").select(F.col("rep").alias("a"), "b").where("a <> b"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -128,15 +128,15 @@ def groups(prints: DataFrame) -> DataFrame:
     """(fp, group): the distinct fingerprints and the least one that links of up to two bits reach, whatever the ids are."""
     distinct = written(prints.select("fp").distinct().withColumn("rep", F.col("fp")), "distinct")
     found = connected_components(links(distinct))
-    return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
+    return shuffled(distinct).join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row per document: id, fp (signed long), component (least id that links of up to two bits reach)."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    grouped = written(prints.groupBy("fp").agg(F.min("id").alias("rep")).join(groups(prints), "fp"), "grouped")
-    named = grouped.join(grouped.groupBy("group").agg(F.min("rep").alias("component")), "group").select("fp", "component")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    grouped = written(shuffled(prints.groupBy("fp").agg(F.min("id").alias("rep"))).join(groups(prints), "fp"), "grouped")
+    named = shuffled(grouped).join(grouped.groupBy("group").agg(F.min("rep").alias("component")), "group").select("fp", "component")
+    return shuffled(prints).join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def fingerprint_hex(fp: str = "fp") -> F.Column:
