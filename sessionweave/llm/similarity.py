@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, as_bytes, slices, source_of, with_few
+from .common import Table, as_bytes, shuffled, slices, source_of, with_few
 from .components import connected_components
 from .simhash import fingerprints_of_hashes, links, shingle_hashes
 
@@ -149,10 +149,10 @@ def similar_sketches(a: str, b: str, least: float) -> F.Column:
 def with_end(pairs: DataFrame, end: str, values: DataFrame, value: str) -> DataFrame:
     """Pairs (a, b, ...) with the value (node, value) of one end; those of an end in many pairs are spread over tasks."""
     parts = pairs.groupBy(end).agg(F.expr(f"cast(ceil(count(*) / {_PARTNERS}) as int)").alias("parts"))
-    named = values.select(F.col("node").alias(end), F.col(value).alias(f"{end}_{value}")).join(parts, end)
+    named = shuffled(values.select(F.col("node").alias(end), F.col(value).alias(f"{end}_{value}"))).join(parts, end)
     spread = named.select(end, f"{end}_{value}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     other = "b" if end == "a" else "a"
-    return pairs.join(parts, end).withColumn("part", F.pmod(F.hash(other), "parts").cast("int")).drop("parts").join(spread, [end, "part"]).drop("part")
+    return shuffled(shuffled(pairs).join(parts, end).withColumn("part", F.pmod(F.hash(other), "parts").cast("int")).drop("parts")).join(spread, [end, "part"]).drop("part")
 
 
 def ordered(x: str, y: str) -> list[F.Column]:
@@ -167,7 +167,7 @@ def verified(candidates: DataFrame, nodes: DataFrame, source: DataFrame, words:
     compared = with_end(with_end(pairs.df, "a", nodes, "sketch"), "b", nodes, "sketch")
     passed = Table(compared.where(similar_sketches("a_sketch", "b_sketch", similarity)).select("a", "b"), "passed")
     ends = passed.df.select(F.col("a").alias("node")).union(passed.df.select("b")).distinct()
-    sets = Table(shingle_sets(fetched(source, nodes.join(ends, "node").select("node", "file", "at")), words), "sets")
+    sets = Table(shingle_sets(fetched(source, shuffled(nodes).join(ends, "node").select("node", "file", "at")), words), "sets")
     common = F.size(F.array_intersect("a_found", "b_found"))
     either = F.size("a_found") + F.size("b_found") - common
     both = with_end(with_end(passed.df, "a", sets.df, "found"), "b", sets.df, "found")
@@ -186,10 +186,10 @@ def pairs_apart(cells: DataFrame, similarity: float) -> DataFrame:
     """Candidates (a, b) of different groups of cells (cell, node, shingles, group, sketch): all that numbers of shingles and sketches allow."""
     by_group = cells.groupBy("cell", "group").agg(F.count("*").alias("n"))
     mixed = by_group.groupBy("cell").agg(F.max_by("group", F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    named = cells.join(mixed, "cell")
+    named = shuffled(cells).join(mixed, "cell")
     left, right = (named.select("cell", "most", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "shingles", "group", "sketch"))) for n in "ab")
     once = (F.col("b_group") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
-    met = left.where("a_group <> most").join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity) & similar_sketches("a_sketch", "b_sketch", similarity))
+    met = shuffled(left.where("a_group <> most")).join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity) & similar_sketches("a_sketch", "b_sketch", similarity))
     return met.select(*ordered("a_node", "b_node"))
 
 
@@ -198,9 +198,9 @@ def prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     entries = sets.select("node", F.explode("found").alias("cell"))
     frequent = entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("node")
-    placed = entries.join(frequent, "cell").withColumns({"place": F.row_number().over(own.orderBy("n", "cell")), "common": F.count("*").over(own)})
+    placed = shuffled(entries).join(frequent, "cell").withColumns({"place": F.row_number().over(own.orderBy("n", "cell")), "common": F.count("*").over(own)})
     length = F.col("shingles") - F.ceil(F.lit(similarity - 1e-9) * F.col("shingles")) + 1
-    return placed.join(texts, "node").where(F.col("place") <= length - (F.col("shingles") - F.col("common"))).select("cell", *texts.columns)
+    return shuffled(placed).join(texts, "node").where(F.col("place") <= length - (F.col("shingles") - F.col("common"))).select("cell", *texts.columns)
 
 
 def groups(copies: DataFrame, source: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -216,27 +216,27 @@ def groups(copies: DataFrame, source: DataFrame, words: int = 5, similarity: flo
     entries = nodes.select("node", "shingles", F.explode(F.array_distinct(F.array_append("samples", F.col("fp")))).alias("cell"))
     head = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "shingles"))
     sizes = entries.groupBy("cell").agg(F.count("*").alias("count"), head.alias("head")).where("count > 1")
-    cells = kept(entries.join(sizes, "cell").select("cell", "node", "shingles", "count", F.col("head.node").alias("a_node"), F.col("head.shingles").alias("a_shingles")), "cells")
+    cells = kept(shuffled(entries).join(sizes, "cell").select("cell", "node", "shingles", "count", F.col("head.node").alias("a_node"), F.col("head.shingles").alias("a_shingles")), "cells")
     firsts = cells.withColumn("b_shingles", F.col("shingles")).where(near_sizes(similarity) & (F.col("node") != F.col("a_node"))).select(*ordered("a_node", "node"))
     distinct = kept(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
     near = links(distinct).select(*ordered("a", "b"))
     scratch.append(verified(firsts.union(near), nodes, source, words, similarity))
     found = scratch[-1].df
     known = connected_components(found)
-    grouped = cells.select("cell", "node", "shingles", "count").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    grouped = shuffled(cells.select("cell", "node", "shingles", "count")).join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     several = grouped.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("cell")
-    mixed = kept(grouped.join(several, "cell"), "mixed")
+    mixed = kept(shuffled(grouped).join(several, "cell"), "mixed")
     sketches = nodes.select("node", "sketch")
-    apart = [pairs_apart(mixed.where(F.col("count") <= DENSE_CELL).drop("count").join(sketches, "node"), similarity)]
-    dense = mixed.where(F.col("count") > DENSE_CELL).select("node", "shingles", "group").distinct().join(sketches, "node")
+    apart = [pairs_apart(shuffled(mixed.where(F.col("count") <= DENSE_CELL).drop("count")).join(sketches, "node"), similarity)]
+    dense = mixed.where(F.col("count") > DENSE_CELL).select("node", "shingles", "group").distinct().hint("merge").join(sketches, "node")
     if not dense.isEmpty():
-        sets = kept(shingle_sets(fetched(source, nodes.join(dense, "node", "left_semi").select("node", "file", "at")), words), "dense")
+        sets = kept(shingle_sets(fetched(source, shuffled(nodes).join(dense, "node", "left_semi").select("node", "file", "at")), words), "dense")
         apart.append(pairs_apart(kept(prefixes(dense, sets, similarity), "prefixes"), similarity))
     scratch.append(verified(reduce(DataFrame.union, apart), nodes, source, words, similarity))
     reached = connected_components(found.union(scratch[-1].df))
     for t in scratch:
         t.drop()
-    return copies.select("node").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
+    return shuffled(copies.select("node")).join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, carry: Sequence[str] = ()) -> DataFrame:
@@ -257,8 +257,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     folded = made.df.groupBy("copy").agg(F.min(order).alias("least"), *rest)
     copies = Table(folded.select(F.monotonically_increasing_id().alias("node"), "least", "least.file", "least.at", "shingles", "fp", "samples", "sketch"), "copies")
     named = groups(copies.df, source, words, similarity)
-    stay = Table(copies.df.join(named, "node").groupBy("group").agg(F.min("least").alias("least")).select("least.file", "least.at"), "stay")
-    gone = made.df.select("file", "at").join(stay.df, ["file", "at"], "left_anti")
+    stay = Table(shuffled(copies.df).join(named, "node").groupBy("group").agg(F.min("least").alias("least")).select("least.file", "least.at"), "stay")
+    gone = shuffled(made.df.select("file", "at")).join(stay.df, ["file", "at"], "left_anti")
     few = gone.limit(SENT + 1).count() <= SENT
     left = fetched(source, Table(gone, "gone").df, "left_anti") if few else fetched(source, stay.df, "left_semi")
     made.drop()

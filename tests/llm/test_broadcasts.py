@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sessionweave.llm import common, simhash
+from sessionweave.llm import common, similarity, simhash
+
+from .test_similarity import near_texts
 
 
 @pytest.fixture
@@ -44,3 +46,15 @@ def test_exploded_cells_are_not_broadcast(spark, tmp_path, plans):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert any("Generate explode" in p for p in plans)
     assert not any("Generate" in line for p in plans for line in broadcast(p))
+
+
+def test_nothing_that_grows_is_broadcast_among_near_copies(spark, tmp_path, plans, monkeypatch):
+    """With lists too long to be sent, no scratch table of the stage has a broadcast of exploded rows, arrays or files of cells."""
+    monkeypatch.setattr(similarity, "SENT", -1)
+    monkeypatch.setattr(similarity, "DENSE_CELL", 4)
+    texts = near_texts(random.Random(6))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    similarity.one_of_each_group(spark.read.parquet(str(tmp_path / "docs")))
+    assert len(plans) > 15
+    for line in (line for p in plans for line in broadcast(p)):
+        assert not any(word in line for word in ("Generate", "MapInArrow", "array<", "/cells-", "/copies-", "/edges-", "/candidates-"))
