@@ -11,9 +11,11 @@ Texts with one fingerprint in common form a cell. Copies (equal words) are folde
 1. Each text of a cell is compared with the cell's head, the first one in a random order that is the same for all cells. That joins
    nearly all near copies, at one candidate per text and cell however full a cell is.
 2. Cells that then hold several groups are looked at once more, for candidates between groups only. In a cell of up to `DENSE_CELL`
-   texts all of them are taken. The texts of fuller cells, which may share no more than a passage, are joined by the prefixes of their
-   shingle sets, the rarest first: of sets of similarity s each has a common shingle among its first n - ceil(s * n) + 1. That is exact.
-   Of a pair one text is outside the cell's largest group, so a large group of near copies makes no pairs of its own.
+   texts all of them are taken. The texts of fuller cells, blocks by their cells' largest groups, are joined by their deviations: the shingles
+   that a text has besides those that over half of the block has, and those that it lacks of them. Two texts differ in as many shingles as
+   both deviate by, less twice what their deviations have in common. So w, a text's deviations less its share of what a link allows, decides: the
+   text of least w is linked to all whose w it makes up for, without a comparison; others link only if their deviations have half the sum of
+   their w in common, so that they meet by one of the rarest. That is exact. Copies with changes of their own share few deviations, however many they are.
 
 A candidate passes if sketches allow the similarity. A sketch cuts the range of hashes into 512 bins and has three bits a bin: whether the text
 has a hash there, and the last two bits of the least one. Of the N bins that either of two texts has, those with equal least hashes are a sample of
@@ -182,25 +184,67 @@ def near_sizes(similarity: float) -> F.Column:
     return F.least("a_shingles", "b_shingles") >= F.lit(similarity - 1e-9) * F.greatest("a_shingles", "b_shingles")
 
 
-def pairs_apart(cells: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) of different groups of cells (cell, node, shingles, group, sketch): all that numbers of shingles and sketches allow."""
+def largest_group(cells: DataFrame) -> DataFrame:
+    """(cell, most) of the cells (cell, group, ...) with several groups: the one with the most texts."""
     by_group = cells.groupBy("cell", "group").agg(F.count("*").alias("n"))
-    mixed = by_group.groupBy("cell").agg(F.max_by("group", F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    named = shuffled(cells).join(mixed, "cell")
-    left, right = (named.select("cell", "most", *(F.col(c).alias(f"{n}_{c}") for c in ("node", "shingles", "group", "sketch"))) for n in "ab")
+    return by_group.groupBy("cell").agg(F.max_by("group", F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+
+
+def pairs_apart(cells: DataFrame, similarity: float, *more: F.Column) -> DataFrame:
+    """Candidates (a, b) of different groups of cells (cell, node, shingles, group, sketch, ...): all that numbers of shingles, `more` and sketches allow."""
+    named = shuffled(cells).join(largest_group(cells), "cell")
+    left, right = (named.select("cell", "most", *(F.col(c).alias(f"{n}_{c}") for c in cells.columns if c != "cell")) for n in "ab")
     once = (F.col("b_group") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
-    met = shuffled(left.where("a_group <> most")).join(right.drop("most"), "cell").where((F.col("a_group") != F.col("b_group")) & once & near_sizes(similarity) & similar_sketches("a_sketch", "b_sketch", similarity))
+    allowed = [F.col("a_group") != F.col("b_group"), once, near_sizes(similarity), *more, similar_sketches("a_sketch", "b_sketch", similarity)]
+    met = shuffled(left.where("a_group <> most")).join(right.drop("most"), "cell").where(reduce(lambda x, y: x & y, allowed))
     return met.select(*ordered("a_node", "b_node"))
 
 
-def prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(cell, node, shingles, group, sketch) for the shingles in the texts' prefixes that several of the texts have; rarest first, then by hash."""
-    entries = sets.select("node", F.explode("found").alias("cell"))
+def deviations(texts: DataFrame, sets: DataFrame, similarity: float) -> Table:
+    """(block, node, shingles, group, off, w) of texts (block, node, shingles, group): what a text has besides the shingles that over half of its
+    block's texts have, and what it lacks of them, as one set; `w` is its size less the share of the text's shingles that a link allows."""
+    held = shuffled(texts).join(sets, "node")
+    counts = held.select("block", F.explode("found").alias("x")).groupBy("block", "x").agg(F.count("*").alias("n"))
+    usual = Table(counts.join(texts.groupBy("block").agg(F.count("*").alias("all")), "block").where("2 * n > all").select("block", "x"), "usual")
+    few = usual.df.limit(SENT + 1).count() <= SENT
+    arrays = usual.df.groupBy("block").agg(F.collect_list("x").alias("usual"))
+    both = held.join(F.broadcast(arrays) if few else shuffled(arrays), "block", "left").withColumn("usual", F.coalesce("usual", F.expr("cast(array() as array<long>)")))
+    off = F.concat(F.array_except("found", "usual"), F.array_except("usual", "found"))
+    share = (1 - similarity + 1e-9) / (1 + similarity - 1e-9)
+    out = Table(both.select("block", "node", "shingles", "group", off.alias("off")).withColumn("w", F.size("off") - F.lit(share) * F.col("shingles")), "deviations")
+    usual.drop()
+    return out
+
+
+def linked_by_hubs(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of a block's texts with its hub, the text of least w, that follow from w alone; and the texts with the groups that these
+    links make, `within` the hub's or not, and `other`, the least w that a partner in another group can have."""
+    hubs = apart.groupBy("block").agg(F.min(F.struct("w", F.xxhash64("node").alias("h"), "node", "group")).alias("hub"))
+    named = with_few(apart, hubs, ["block"], "inner", SENT).withColumn("near", F.col("w") + F.col("hub.w") <= 0)
+    links = named.where("near and node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    joined = named.groupBy("block", "group").agg(F.expr("bool_or(near or group = hub.group)").alias("within"), F.min("w").alias("least"))
+    beyond = joined.groupBy("block").agg(F.min(F.when(~F.col("within"), F.col("least"))).alias("beyond"))
+    regrouped = with_few(with_few(named, joined.drop("least"), ["block", "group"], "inner", SENT), beyond, ["block"], "inner", SENT)
+    own = F.when(F.col("within"), F.col("hub.group")).otherwise(F.col("group"))
+    other = F.when(F.col("within"), F.col("beyond")).otherwise(F.col("hub.w"))
+    return links, regrouped.select("block", "node", "shingles", own.alias("group"), "off", "w", "within", other.alias("other")).where("beyond is not null")
+
+
+def cells_of_deviations(texts: DataFrame) -> Table:
+    """(cell, node, shingles, group, w, v): the deviations by which texts of different groups can meet, the rarest first. Two texts whose deviations
+    have i in common differ in as many shingles as both have deviations, less 2 i; so they link if 2 i reaches the sum of their w. i is no more than
+    the deviations that a text shares with any other, so neither text's w exceeds the other's `v`."""
+    entries = texts.select("block", "node", F.explode("off").alias("x")).withColumn("cell", F.xxhash64("block", "x")).drop("x")
     frequent = entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    own = Window.partitionBy("node")
+    own = Window.partitionBy("block", "node")
     placed = shuffled(entries).join(frequent, "cell").withColumns({"place": F.row_number().over(own.orderBy("n", "cell")), "common": F.count("*").over(own)})
-    length = F.col("shingles") - F.ceil(F.lit(similarity - 1e-9) * F.col("shingles")) + 1
-    return shuffled(placed).join(texts, "node").where(F.col("place") <= length - (F.col("shingles") - F.col("common"))).select("cell", *texts.columns)
+    needed = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("other")) / 2 - 1e-6))
+    whole = shuffled(placed).join(texts.drop("off"), ["block", "node"]).withColumn("v", 2 * F.col("common") - F.col("w") + 1e-6)
+    met = Table(whole.where(F.col("place") <= F.col("common") - needed + 1), "met")
+    best = met.df.groupBy("block").agg(F.max("v").alias("best"))
+    out = Table(with_few(met.df, best, ["block"], "inner", SENT).where("within or w <= best").select("cell", "node", "shingles", "group", "w", "v"), "cells")
+    met.drop()
+    return out
 
 
 def groups(copies: DataFrame, source: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -208,9 +252,12 @@ def groups(copies: DataFrame, source: DataFrame, words: int = 5, similarity: flo
     similarity reach."""
     scratch: list[Table] = []
 
+    def stays(table: Table) -> DataFrame:
+        scratch.append(table)
+        return table.df
+
     def kept(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(Table(df, name))
-        return scratch[-1].df
+        return stays(Table(df, name))
 
     nodes = copies.where("shingles > 0")
     entries = nodes.select("node", "shingles", F.explode(F.array_distinct(F.array_append("samples", F.col("fp")))).alias("cell"))
@@ -220,20 +267,24 @@ def groups(copies: DataFrame, source: DataFrame, words: int = 5, similarity: flo
     firsts = cells.withColumn("b_shingles", F.col("shingles")).where(near_sizes(similarity) & (F.col("node") != F.col("a_node"))).select(*ordered("a_node", "node"))
     distinct = kept(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
     near = links(distinct).select(*ordered("a", "b"))
-    scratch.append(verified(firsts.union(near), nodes, source, words, similarity))
-    found = scratch[-1].df
+    found = stays(verified(firsts.union(near), nodes, source, words, similarity))
     known = connected_components(found)
     grouped = shuffled(cells.select("cell", "node", "shingles", "count")).join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     several = grouped.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("cell")
     mixed = kept(shuffled(grouped).join(several, "cell"), "mixed")
     sketches = nodes.select("node", "sketch")
     apart = [pairs_apart(shuffled(mixed.where(F.col("count") <= DENSE_CELL).drop("count")).join(sketches, "node"), similarity)]
-    dense = mixed.where(F.col("count") > DENSE_CELL).select("node", "shingles", "group").distinct().hint("merge").join(sketches, "node")
-    if not dense.isEmpty():
-        sets = kept(shingle_sets(fetched(source, shuffled(nodes).join(dense, "node", "left_semi").select("node", "file", "at")), words), "dense")
-        apart.append(pairs_apart(kept(prefixes(dense, sets, similarity), "prefixes"), similarity))
-    scratch.append(verified(reduce(DataFrame.union, apart), nodes, source, words, similarity))
-    reached = connected_components(found.union(scratch[-1].df))
+    full = mixed.where(F.col("count") > DENSE_CELL)
+    if not full.isEmpty():
+        dense = kept(shuffled(full).join(largest_group(full), "cell").select(F.col("most").alias("block"), "node", "shingles", "group").distinct(), "dense")
+        sets = kept(shingle_sets(fetched(source, shuffled(nodes).join(dense, "node", "left_semi").select("node", "file", "at")), words), "dense_sets")
+        by_hubs, texts = linked_by_hubs(stays(deviations(dense, sets, similarity)))
+        met = stays(cells_of_deviations(kept(texts, "regrouped")))
+        fits = (F.col("a_w") <= F.col("b_v")) & (F.col("b_w") <= F.col("a_v"))
+        apart.append(pairs_apart(shuffled(met).join(sketches, "node"), similarity, fits))
+        found = found.union(kept(by_hubs, "hubs"))
+    more = stays(verified(reduce(DataFrame.union, apart), nodes, source, words, similarity))
+    reached = connected_components(found.union(more))
     for t in scratch:
         t.drop()
     return shuffled(copies.select("node")).join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("group"))

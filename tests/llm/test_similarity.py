@@ -118,3 +118,22 @@ def test_the_sketch_column_is_the_plain_rule(spark):
     found = df.select("s", "size", similarity.similar_sketches("a", "b", 0.8).alias("passes")).collect()
     assert all(r["passes"] for r in found if r["s"] >= 0.8)
     assert not any(r["passes"] for r in found if r["s"] < 0.6 and r["size"] >= 60)
+
+def test_a_large_family_makes_few_candidates(spark, monkeypatch):
+    """Texts by few and by many changes of one text: the groups of brute force, without pairs of all those that are in none."""
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(220)]
+    texts = [edited(rnd, base, rnd.randrange(1, 14)) for _ in range(240)]
+    made = []
+    first = similarity.pairs_apart
+
+    def counted(*args):
+        made.append(first(*args).persist())
+        return made[-1]
+
+    monkeypatch.setattr(similarity, "pairs_apart", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in similarity.one_of_each_group(docs).collect()}
+    components = brute_components({d: brute_shingles(t) for d, t in enumerate(texts)}, similar)
+    assert found == {d for d, c in components.items() if d == c}
+    assert len(made) == 2 and made[1].count() < 4 * len(texts)
