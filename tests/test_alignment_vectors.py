@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 import pandas as pd
 from pyspark.sql import functions as F
@@ -83,3 +84,18 @@ def test_similarities_are_held_a_bounded_number_at_a_time(spark):
     sizes = vectors._in_blocks(rows, rows, "id", "v", held, 1, 1).collect()
     assert sorted(r["query"] for r in sizes) == list(range(1500))
     assert max(r["similarity"] for r in sizes) <= vectors.STEP < 1500 * 1500
+
+
+def test_vectors_are_not_copied_for_each_block(spark):
+    """Pairs of blocks are read from blocks stored once, of any lengths and numbers of rows; the pairs are those of a plain loop."""
+    rnd = np.random.default_rng(5)
+    rows = {k: rnd.normal(size=2 + k % 3) for k in range(61)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in rows.items()], "id long, v array<double>").repartition(3)
+    pairs = vectors.cosine_pairs(df.where("id % 5 = 0"), df, "id", "v", 3, 7)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    wanted = {(a, b): x @ y / np.linalg.norm(x) / np.linalg.norm(y) for a, x in rows.items() for b, y in rows.items() if a % 5 == 0 and a != b and len(x) == len(y)}
+    found = {(r["a"], r["b"]): r["similarity"] for r in pairs.collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
+    packed, _ = vectors._packed(df, "id", "v", 2, 4)
+    assert max(len(r["ids"]) for r in packed.collect()) <= 32
